@@ -1,0 +1,177 @@
+"""Versioned Parquet tables that change together.
+
+Layout under the root folder::
+
+    events/v=<n>/event_date=<day>/...   appended while version n was current
+    sessions/v=<n>, users/v=<n>, metrics/v=<n>
+    versions/<n>.json                   published last; the highest one is current
+
+A version records its ``floor``: events below it that were there when it was published are
+rolled up and no longer visible. Pruning thus rewrites no events; ``vacuum`` deletes the
+date folders that have sunk below the floor. Events that arrive late, with a date below
+the floor, belong to the new version and stay visible until the next rollup counts them.
+"""
+
+from __future__ import annotations
+
+import json
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from footfall.model import EVENTS, METRICS, SESSIONS, USERS
+from footfall.operators.filters import instant
+from footfall.operators.retention import Retention, retention_rollup
+from footfall.operators.state import build_sessions, build_users
+
+_ARRIVAL = [T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())]
+_SCHEMAS = {
+    "sessions": T.StructType([*SESSIONS.fields, *_ARRIVAL]),
+    "users": T.StructType([*USERS.fields, *_ARRIVAL]),
+    "metrics": METRICS,
+}
+_EVENT_FILES = T.StructType(
+    [*EVENTS.fields, T.StructField("v", T.IntegerType()), T.StructField("event_date", T.DateType())]
+)
+
+
+class Warehouse:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._path(self.root).getFileSystem(
+            spark.sparkContext._jsc.hadoopConfiguration()
+        )
+
+    def _path(self, text: str):
+        return self._jvm.org.apache.hadoop.fs.Path(text)
+
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    # versions
+
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.root}/versions")
+        if not self._fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in self._fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
+
+    def current(self) -> dict:
+        """The current version's record; version 0 is the empty warehouse."""
+        versions = self._versions()
+        if not versions:
+            return {"version": 0, "floor": None, "tables": {}}
+        path = f"{self.root}/versions/{versions[-1]}.json"
+        [row] = self.spark.read.text(path, wholetext=True).collect()
+        return json.loads(row.value)
+
+    def _publish(self, record: dict) -> None:
+        """Make a version current in one step: a rename, which never replaces a file."""
+        target = self._path(f"{self.root}/versions/{record['version']}.json")
+        draft = self._path(f"{self.root}/versions/_{record['version']}.draft")
+        stream = self._fs.create(draft, True)
+        stream.write(bytearray(json.dumps(record).encode()))
+        stream.close()
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise RuntimeError(f"version {record['version']} was published by another writer")
+
+    # reading
+
+    def events(self) -> DataFrame:
+        """Visible events; the filter prunes version and date folders."""
+        record = self.current()
+        path = f"{self.root}/events"
+        if not self._exists(path):
+            return self.spark.createDataFrame([], _EVENT_FILES).drop("v")
+        rows = self.spark.read.schema(_EVENT_FILES).parquet(path)
+        if record["floor"]:
+            floor = datetime.fromisoformat(record["floor"])
+            above = (F.col("event_date") >= F.lit(floor.date())) & (
+                F.col("timestamp") >= instant(floor)
+            )
+            rows = rows.where((F.col("v") >= record["version"]) | above)
+        return rows.drop("v")
+
+    def table(self, name: str) -> DataFrame:
+        """'sessions', 'users' or 'metrics' of the current version."""
+        version = self.current()["tables"].get(name)
+        if version is None:
+            return self.spark.createDataFrame([], _SCHEMAS[name])
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(f"{self.root}/{name}/v={version}")
+
+    # writing
+
+    def append_events(self, events: DataFrame) -> None:
+        version = self.current()["version"]
+        (
+            events.select(*EVENTS.names)
+            .withColumn("event_date", F.col("timestamp").cast("date"))
+            .sortWithinPartitions("event_date", "session_id", "timestamp", "id")
+            .write.mode("append")
+            .partitionBy("event_date")
+            .parquet(f"{self.root}/events/v={version}")
+        )
+
+    def _write(self, tables: dict[str, DataFrame], floor: str | None) -> None:
+        record = self.current()
+        version = record["version"] + 1
+        written = dict(record["tables"])
+        for name, rows in tables.items():
+            # A retry after a failure overwrites what the failed attempt left.
+            rows.select(*_SCHEMAS[name].names).write.mode("overwrite").parquet(
+                f"{self.root}/{name}/v={version}"
+            )
+            written[name] = version
+        self._publish({"version": version, "floor": floor, "tables": written})
+
+    def fold_entities(self, events: DataFrame) -> None:
+        """Merge appended events into the session and user tables."""
+        self._write(
+            {
+                "sessions": build_sessions(events, self.table("sessions"), arrival=True),
+                "users": build_users(events, self.table("users"), arrival=True),
+            },
+            self.current()["floor"],
+        )
+
+    def roll_up(self, as_of, retention: Retention = Retention()) -> None:
+        """Roll up and prune all tables, or on failure none of them.
+
+        Reads the expired date folders for the counts and the kept ones for one column;
+        writes sessions, users and metrics. Events themselves are not rewritten.
+        """
+        if not retention.auto_rollup:
+            return
+        after = retention_rollup(
+            self.events(),
+            self.table("sessions"),
+            self.table("users"),
+            self.table("metrics"),
+            as_of=as_of,
+            retention=retention,
+        )
+        del after["events"]
+        floor = self.current()["floor"]
+        cutoff = retention.cutoff(as_of).isoformat()
+        self._write(after, max(floor, cutoff) if floor else cutoff)
+
+    def vacuum(self) -> None:
+        """Delete date folders of earlier versions that lie wholly below the floor."""
+        record = self.current()
+        root = self._path(f"{self.root}/events")
+        if not record["floor"] or not self._fs.exists(root):
+            return
+        first_kept = record["floor"][:10]
+        for folder in self._fs.listStatus(root):
+            name = folder.getPath().getName()
+            if not name.startswith("v=") or int(name[2:]) >= record["version"]:
+                continue
+            for day in self._fs.listStatus(folder.getPath()):
+                label = day.getPath().getName()
+                if label.startswith("event_date=") and label[11:] < first_kept:
+                    self._fs.delete(day.getPath(), True)
