@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from footfall.functions.text import let, present
+
 _V4_TEXT = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
@@ -49,47 +51,59 @@ def v4_number(ip: Column) -> Column:
         F.split(ip, r"\."),
         lambda p: F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("bigint"),
     )
-    total = F.aggregate(
-        parts,
-        F.lit(0).cast("bigint"),
-        lambda acc, p: F.when(p.between(0, 255), acc * 256 + p),
+
+    def total(parts: Column) -> Column:
+        return F.when(
+            F.size(parts) == 4,
+            F.aggregate(
+                parts,
+                F.lit(0).cast("bigint"),
+                lambda acc, p: F.when(p.between(0, 255), acc * 256 + p),
+            ),
+        )
+
+    return F.when(ip.contains("."), let(parts, total))
+
+
+_NO_TEXT = "array<string>"
+
+
+def _pieces(text: Column) -> Column:
+    return F.when(present(text), F.split(text, ":")).otherwise(F.array().cast(_NO_TEXT))
+
+
+def _fill_gap(left: Column, right: Column) -> Column:
+    """Eight groups, with zeros between the sides; more than eight when there are too many."""
+    missing = F.greatest(8 - F.size(left) - F.size(right), F.lit(0))
+    return F.concat(left, F.array_repeat(F.lit("0"), missing), right)
+
+
+def _four_digits(group: Column) -> Column:
+    """A group's leading hex digits padded to four; NULL when none or out of range."""
+    digits = F.regexp_extract(
+        F.when(group == "", "0").otherwise(group), r"^\s*(?:0x)?0*([0-9a-f]+)", 1
     )
-    return F.when(F.size(parts) == 4, total)
+    return F.when((digits != "") & (F.length(digits) <= 4), F.lpad(digits, 4, "0"))
 
 
 def v6_hex(ip: Column) -> Column:
     """IPv6 as 32 hex digits; a gap is filled with zeros, NULL when malformed."""
-    halves = F.split(F.lower(ip), "::")
-
-    def hextets(half: Column) -> Column:
-        return F.when(present_half(half), F.split(half, ":")).otherwise(F.array().cast("array<string>"))
-
-    def present_half(half: Column) -> Column:
-        return half.isNotNull() & (half != "")
-
-    left, right = hextets(F.get(halves, 0)), hextets(F.get(halves, 1))
-    missing = 8 - F.size(left) - F.size(right)
-    gap = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)))
-    digits = F.transform(
-        F.concat(left, gap, right),
-        lambda h: F.ltrim(
-            F.regexp_extract(F.when(h == "", "0").otherwise(h), r"^\s*(?:0x)?([0-9a-f]+)", 1)
-        ),
-    )
-    padded = F.transform(
-        digits,
-        lambda d: F.when(
-            (d != "") & ~d.rlike("^0*[1-9a-f][0-9a-f]{4,}$"),
-            F.right(F.concat(F.lit("000"), d), F.lit(4)),
-        ),
-    )
-    well_formed = (
-        ip.contains(":")
-        & (F.size(halves) <= 2)
-        & (missing >= 0)
-        & ~F.exists(padded, lambda d: d.isNull())
+
+    def joined(groups: Column) -> Column:
+        whole = (F.size(groups) == 8) & ~F.exists(groups, lambda g: g.isNull())
+        return F.when(whole, F.array_join(groups, ""))
+
+    def groups(halves: Column) -> Column:
+        return F.when(
+            F.size(halves) <= 2,
+            F.transform(
+                _fill_gap(_pieces(F.get(halves, 0)), _pieces(F.get(halves, 1))), _four_digits
+            ),
+        )
+
+    return F.when(
+        ip.contains(":"), let(let(F.split(F.lower(ip), "::"), groups), joined)
     )
-    return F.when(well_formed, F.array_join(padded, ""))
 
 
 def describe_ip(ip: Column) -> Column:
@@ -144,8 +158,8 @@ def is_trusted(seen: Column, entries: list[str]) -> Column:
 
 def ip_in_cidr(ip: Column, entries: list[str]) -> Column:
     """Whether an address equals an entry or lies in one of its networks (IPv4 and IPv6)."""
-    described = F.transform(F.array(normalize_ip(ip)), describe_ip)
-    return F.exists(described, lambda seen: is_trusted(seen, trust_entries(entries)))
+    listed = trust_entries(entries)
+    return let(let(normalize_ip(ip), describe_ip), lambda seen: is_trusted(seen, listed))
 
 
 def trust_entries(trust: str | list[str]) -> list[str]:
@@ -168,56 +182,70 @@ def resolve_client_ip(remote: Column, forwarded: Column, trust: Trust) -> Column
     )
     if isinstance(trust, (bool, int, float)):
         back = max(1, int(trust))
-        chosen = F.when(F.size(hops) >= back, F.get(hops, F.size(hops) - back))
-        return F.when(is_valid_ip(chosen), chosen).otherwise(peer)
-    entries = trust_entries(trust)
-    described = F.transform(hops, describe_ip)
-    outside = F.filter(described, lambda seen: ~is_trusted(seen, entries))
-    chosen = F.coalesce(
-        F.try_element_at(outside, F.lit(-1))["text"], F.get(hops, F.lit(0))
-    )
-    return F.when(ip_in_cidr(remote, entries) & is_valid_ip(chosen), chosen).otherwise(peer)
+
+        def picked(hops: Column) -> Column:
+            return F.when(F.size(hops) >= back, F.get(hops, F.size(hops) - back))
+    else:
+        entries = trust_entries(trust)
+
+        def picked(hops: Column) -> Column:
+            outside = F.filter(
+                F.transform(hops, describe_ip), lambda seen: ~is_trusted(seen, entries)
+            )
+            last = F.try_element_at(outside, F.lit(-1))["text"]
+            return F.when(ip_in_cidr(remote, entries), F.coalesce(last, F.get(hops, F.lit(0))))
+
+    valid = let(let(hops, picked), lambda ip: F.when(is_valid_ip(ip), ip))
+    return F.coalesce(F.when(present(forwarded), valid), peer)
+
+
+def _mask_v6(clean: Column) -> Column:
+    """The first 48 bits in short form; NULL when malformed."""
+
+    def filled(half: Column) -> Column:
+        return F.filter(_pieces(half), lambda g: g != "")
+
+    def groups(halves: Column) -> Column:
+        # An IPv4 ending is left out: only the first three groups survive masking anyway.
+        tail = F.filter(filled(F.get(halves, 1)), lambda g: ~g.contains("."))
+        left = filled(F.get(halves, 0))
+        return F.when(F.size(halves) == 1, left).when(F.size(halves) == 2, _fill_gap(left, tail))
+
+    def first_three(groups: Column) -> Column:
+        return F.when(
+            F.size(groups) == 8,
+            F.transform(
+                F.slice(groups, 1, 3),
+                lambda g: F.regexp_extract(g, r"^(?:0x)?0*([0-9a-f]*)", 1),
+            ),
+        )
+
+    def short(parts: Column) -> Column:
+        zero_or = F.transform(parts, lambda g: F.when(g == "", "0").otherwise(g))
+        text = F.concat(F.array_join(zero_or, ":"), F.lit("::"))
+        return F.regexp_replace(F.regexp_replace(text, "(?::0)+::$", "::"), "^0::$", "::")
+
+    halves = F.split(F.lower(clean), "::")
+    return let(let(let(halves, groups), first_three), short)
 
 
 def mask_ip(ip: Column) -> Column:
     """Anonymise: IPv4 keeps 24 bits, IPv6 keeps 48; other text is returned as it is."""
-    bare = _strip_port(F.trim(ip))
-    clean = F.when(
-        bare.rlike(r"(?i)^::ffff:.*\."), F.regexp_replace(bare, r"(?i)^::ffff:", "")
-    ).otherwise(bare)
 
-    halves = F.split(F.lower(clean), "::")
+    def unmapped(bare: Column) -> Column:
+        mapped = bare.rlike(r"(?i)^::ffff:.*\.")
+        return F.when(mapped, F.regexp_replace(bare, r"(?i)^::ffff:", "")).otherwise(bare)
 
-    def filled(half: Column) -> Column:
-        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda h: h != "")
-
-    left, tail = filled(F.get(halves, 0)), filled(F.get(halves, 1))
-    # An IPv4 ending is cut off: only the first three groups survive masking anyway.
-    right = F.when(
-        F.coalesce(F.try_element_at(tail, F.lit(-1)).contains("."), F.lit(False)),
-        F.slice(tail, F.lit(1), F.size(tail) - 1),
-    ).otherwise(tail)
-    known = F.size(left) + F.size(right)
-    gap = F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0)))
-    groups = F.when(F.size(halves) == 2, F.concat(left, gap, right)).otherwise(left)
-
-    def group(index: int) -> Column:
-        digits = F.regexp_extract(F.get(groups, F.lit(index)), r"^(?:0x)?([0-9a-f]+)", 1)
-        return F.when(digits == "", "0").otherwise(F.regexp_replace(digits, "^0+(?=.)", ""))
-
-    h0, h1, h2 = group(0), group(1), group(2)
-    v6 = (
-        F.when((h0 == "0") & (h1 == "0") & (h2 == "0"), "::")
-        .when((h1 == "0") & (h2 == "0"), F.concat(h0, F.lit("::")))
-        .when(h2 == "0", F.concat(h0, F.lit(":"), h1, F.lit("::")))
-        .otherwise(F.concat(h0, F.lit(":"), h1, F.lit(":"), h2, F.lit("::")))
-    )
+    def masked(clean: Column) -> Column:
+        return (
+            F.when(clean.rlike(rf"^{_V4_TEXT}$"), F.regexp_replace(clean, r"\d+$", "0"))
+            .when(clean.contains(":"), _mask_v6(clean))
+            .otherwise(clean)
+        )
+
+    plain_v4 = ip.rlike(rf"^{_V4_TEXT}$")
     return (
         F.when(ip.isNull() | (ip == ""), None)
-        .when(clean.rlike(rf"^{_V4_TEXT}$"), F.regexp_replace(clean, r"\d+$", "0"))
-        .when(
-            clean.contains(":"),
-            F.when((F.size(halves) <= 2) & (F.size(groups) == 8), v6),
-        )
-        .otherwise(clean)
+        .when(plain_v4, F.regexp_replace(ip, r"\d+$", "0"))
+        .otherwise(let(let(_strip_port(F.trim(ip)), unmapped), masked))
     )

@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.text import utf16_length
 from footfall.model import (
@@ -105,7 +106,7 @@ def _cut_container(value, depth: int):
     return cut
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _truncate_large(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
