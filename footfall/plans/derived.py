@@ -49,7 +49,7 @@ _FULL_KEYS = "'{" + ",".join(f'"k{i}":{i}' for i in range(50)) + "}'"
 EVENT_KINDS = [
     {},
     {"event_type": "'12345'"},
-    {"event_type": "'\"  \\t \"'"},
+    {"event_type": "'\"   \"'"},
     {"session": "'{\"a\": 1}'"},
     {"url": "'\"' || repeat('u', 8193) || '\"'"},
     {"properties": "'\"text\"'"},

@@ -1,2 +1,267 @@
-def oracle_sql(ev, ev_s, ev_u):
-    return {}
+"""SQL oracles of the queries over derived inputs.
+
+The derivations come from ``derived``; what is then computed is written independently, from
+the rules, often only for the values that the derivations deal out.
+"""
+
+from __future__ import annotations
+
+from footfall.functions.agents import BOT_WORDS
+from footfall.functions.links import DOWNLOAD_EXTENSIONS
+from footfall.model import IDS_PER_BATCH, OPTIONAL_FIELDS, UTM_FIELDS
+from footfall.plans import derived
+from footfall.plans.settings import AS_OF
+from footfall.sources.sample import ADDRESSES, AGENTS, deal
+
+_RAW = """raw AS (SELECT e.*, p.url FROM events e
+  JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
+
+
+def _utf16(text: str) -> str:
+    return rf"(length({text}) + length(regexp_replace({text}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+def _select(columns: dict[str, str]) -> str:
+    return ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+
+
+# ---- payloads ---------------------------------------------------------------------------
+
+_PAYLOADS = f"""WITH {_RAW},
+members AS (SELECT {derived.BATCH_SQL} AS batch_id, event_id, ts, {_select(derived.MEMBER_SQL)} FROM raw),
+texts AS (SELECT batch_id, event_id, ts, {derived.EVENT_TEXT_SQL} AS text FROM members),
+grouped AS (SELECT batch_id, max(ts) AS received_at, string_agg(text, ',' ORDER BY event_id) AS joined,
+  arg_min(text, event_id) AS head FROM texts GROUP BY batch_id),
+shaped AS (SELECT *, encode(joined) AS joined_bytes FROM grouped),
+bodies AS (SELECT batch_id, received_at, coalesce(nullif({derived.BODY_SQL}, ''), '{{}}') AS b FROM shaped),
+checked AS (SELECT *, CASE WHEN octet_length(encode(b)) > 65536 THEN 'PAYLOAD_TOO_LARGE'
+  WHEN NOT json_valid(b) THEN 'BAD_REQUEST' WHEN json_type(b) = 'OBJECT' THEN NULL
+  WHEN json_type(b) <> 'ARRAY' THEN 'INVALID_PAYLOAD' WHEN json_array_length(b) = 0 THEN 'EMPTY_BATCH'
+  WHEN json_array_length(b) > 50 THEN 'BATCH_TOO_LARGE' END AS batch_error FROM bodies),
+listed AS (SELECT *, CASE WHEN json_type(b) = 'ARRAY' THEN json_extract(b, '$[*]') ELSE [CAST(b AS JSON)] END AS l
+  FROM checked WHERE batch_error IS NULL),
+parsed AS (SELECT batch_id, received_at, batch_error, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS e FROM listed
+  UNION ALL SELECT batch_id, received_at, batch_error, NULL, NULL FROM checked WHERE batch_error IS NOT NULL)
+"""
+
+_BLANK = r"'^[\s\x{A0}\x{FEFF}]+|[\s\x{A0}\x{FEFF}]+$'"
+_TYPE = f"regexp_replace(e ->> '$.event_type', {_BLANK}, '', 'g')"
+
+
+def _optional_check(name: str, longest: int) -> str:
+    kind = f"json_type(e, '$.{name}')"
+    return (
+        f"WHEN {kind} NOT IN ('NULL', 'VARCHAR') THEN 'INVALID_FIELD_TYPE' "
+        f"WHEN {kind} = 'VARCHAR' AND {_utf16(f'(e ->> {chr(39)}$.{name}{chr(39)})')} > {longest} THEN 'STRING_TOO_LONG'"
+    )
+
+
+# Keys of the dealt properties hold no dots or brackets, so a path's steps give its depth.
+_VALIDATED = f"""{_PAYLOADS}, objects AS (SELECT batch_id, pos, json_extract(e, '$.properties') AS p FROM parsed
+  WHERE json_type(e, '$.properties') = 'OBJECT'),
+nodes AS (SELECT o.batch_id, o.pos, t.key, t.type, t.fullkey, t.value FROM objects o, json_tree(o.p) t),
+facts AS (SELECT batch_id, pos,
+    count(*) FILTER (fullkey <> '$' AND NOT ends_with(fullkey, ']')) AS keys,
+    max({_utf16('key')}) FILTER (NOT ends_with(fullkey, ']')) AS longest_key,
+    max({_utf16("(value ->> '$')")}) FILTER (type = 'VARCHAR') AS longest_text,
+    max(len(regexp_extract_all(fullkey, '[.\\[]'))) FILTER (type IN ('OBJECT', 'ARRAY')) AS depth FROM nodes GROUP BY 1, 2),
+props AS (SELECT o.batch_id, o.pos, CASE WHEN depth >= 5 THEN 'PROP_DEPTH_EXCEEDED'
+    WHEN keys > 50 THEN 'PROP_KEY_COUNT_EXCEEDED' WHEN longest_key > 64 THEN 'PROP_KEY_TOO_LONG'
+    WHEN longest_text > 4096 THEN 'PROP_VALUE_TOO_LONG'
+    WHEN octet_length(encode(CAST(json(p) AS STRING))) > 16384 THEN 'PROP_SIZE_EXCEEDED' END AS prop_error
+  FROM objects o JOIN facts f ON o.batch_id = f.batch_id AND o.pos = f.pos),
+validated AS (SELECT v.*, CASE WHEN json_type(e, '$.properties') NOT IN ('NULL', 'OBJECT') THEN 'INVALID_PROPERTIES'
+    ELSE prop_error END AS properties_error, CASE
+  WHEN batch_error IS NOT NULL THEN batch_error
+  WHEN json_type(e) <> 'OBJECT' THEN 'INVALID_EVENT_OBJECT'
+  WHEN json_type(e, '$.event_type') IS DISTINCT FROM 'VARCHAR' OR {_TYPE} = '' THEN 'MISSING_EVENT_TYPE'
+  WHEN {_utf16(_TYPE)} > 128 THEN 'EVENT_TYPE_TOO_LONG'
+  {' '.join(_optional_check(n, m) for n, m in OPTIONAL_FIELDS.items())}
+  WHEN json_type(e, '$.properties') NOT IN ('NULL', 'OBJECT') THEN 'INVALID_PROPERTIES'
+  ELSE prop_error END AS error_code
+  FROM parsed v LEFT JOIN props p ON v.batch_id = p.batch_id AND v.pos = p.pos)
+"""
+_PARSED_COLUMNS = "batch_id, pos, e ->> '$.event_type' AS event_type, e ->> '$.user_id' AS user_id, e ->> '$.properties.k' AS k"
+
+
+def _mask(ip: str) -> str:
+    """Masking for the dealt addresses; their IPv6 forms have at most three leading groups."""
+    left = f"string_split(split_part(lower(regexp_extract({ip}, '[0-9A-Fa-f:]+')), '::', 1), ':')"
+
+    def group(i: int) -> str:
+        return f"coalesce(nullif(ltrim({left}[{i}], '0'), ''), '0')"
+
+    h0, h1, h2 = group(1), group(2), group(3)
+    return f"""CASE WHEN {ip} IS NULL OR {ip} = '' THEN NULL
+  WHEN regexp_matches({ip}, '\\d+\\.\\d+\\.\\d+\\.\\d+') THEN regexp_extract({ip}, '(\\d+\\.\\d+\\.\\d+)\\.\\d+', 1) || '.0'
+  WHEN {h1} = '0' AND {h2} = '0' THEN {h0} || '::' WHEN {h2} = '0' THEN {h0} || ':' || {h1} || '::'
+  ELSE {h0} || ':' || {h1} || ':' || {h2} || '::' END"""
+
+
+def _browser(ua: str) -> str:
+    return f"""CASE WHEN coalesce({ua}, '') = '' THEN 'Unknown' WHEN {ua} LIKE '%Edg/%' THEN 'Edge'
+  WHEN {ua} LIKE '%OPR/%' OR {ua} LIKE '%Opera%' THEN 'Opera' WHEN {ua} LIKE '%Chrome%' THEN 'Chrome'
+  WHEN {ua} LIKE '%Safari%' THEN 'Safari' WHEN {ua} LIKE '%Firefox%' THEN 'Firefox' ELSE 'Other' END"""
+
+
+def _device(ua: str) -> str:
+    return f"""CASE WHEN coalesce({ua}, '') = '' THEN 'Unknown' WHEN lower({ua}) LIKE '%ipad%' THEN 'Tablet'
+  WHEN regexp_matches(lower({ua}), 'mobi|android|iphone') THEN 'Mobile' ELSE 'Desktop' END"""
+
+
+def _utm(url: str, name: str) -> str:
+    query = f"split_part(split_part({url}, '#', 1), '?', 2)"
+    first = f"list_filter(string_split({query}, '&'), lambda x: starts_with(x, '{name}='))[1]"
+    return f"nullif(url_decode(replace(substr({first}, {len(name) + 2}), '+', ' ')), '')"
+
+
+_ENRICHED = f"""{_VALIDATED}, req AS (SELECT *, {deal(ADDRESSES).replace('event_id', 'batch_id')} AS client_ip,
+  coalesce({deal(AGENTS, 'batch_id')}, '') AS agent FROM validated WHERE error_code IS NULL)
+SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, nullif(e ->> '$.session_id', '') AS session_id,
+  nullif(e ->> '$.user_id', '') AS user_id, nullif(e ->> '$.url', '') AS url, {_mask('client_ip')} AS ip, agent AS ua,
+  CASE WHEN batch_id % 3 = 0 THEN 'DE' ELSE nullif(e ->> '$.country', '') END AS country,
+  {_browser('agent')} AS browser, {_device('agent')} AS device_type, received_at AS timestamp,
+  {', '.join(f"coalesce(nullif(e ->> '$.{n}', ''), {_utm(f'(e ->> {chr(39)}$.url{chr(39)})', n)}) AS {n}" for n in UTM_FIELDS)}
+FROM req"""
+
+# ---- requests ---------------------------------------------------------------------------
+
+_REQUESTS = f"WITH req AS (SELECT {_select(derived.REQUEST_SQL)} FROM events)"
+
+
+def _normal(ip: str) -> str:
+    return f"""lower(regexp_replace(CASE WHEN starts_with(trim({ip}), '[') THEN regexp_extract({ip}, '\\[([^\\]]+)\\]', 1)
+  WHEN regexp_full_match(trim({ip}), '\\d+\\.\\d+\\.\\d+\\.\\d+:\\d+') THEN split_part(trim({ip}), ':', 1)
+  ELSE coalesce(trim({ip}), '') END, '^::ffff:', ''))"""
+
+
+def _trusted(ip: str) -> str:
+    """On the trust list, for normalised dealt addresses."""
+    return (
+        f"(regexp_full_match({ip}, '10\\.\\d+\\.\\d+\\.\\d+') OR {ip} = '192.168.1.7'"
+        f" OR starts_with({ip}, '2001:db8:'))"
+    )
+
+
+def _valid(ip: str) -> str:
+    octet = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    return f"(regexp_full_match({ip}, '{octet}(\\.{octet}){{3}}') OR regexp_full_match({ip}, '[0-9a-f:]+::[0-9a-f]+'))"
+
+
+_HOPS = f"""{_REQUESTS}, hops AS (SELECT *, {_normal('remote_address')} AS peer,
+  list_filter(list_transform(string_split(coalesce(x_forwarded_for, ''), ','), lambda x: {_normal('x')}), lambda x: x <> '') AS h
+  FROM req)"""
+_HEADER = (
+    "trim(coalesce(nullif(cf_ipcountry, ''), nullif(x_country_code, ''), nullif(cloudfront_viewer_country, '')))"
+)
+_COUNTRY = f"CASE WHEN length({_HEADER}) <= 16 THEN nullif(upper({_HEADER}), '') END"
+
+
+def _hop(back: int) -> str:
+    chosen = f"h[len(h) - {back - 1}]"
+    return f"""{_HOPS} SELECT id, CASE WHEN len(h) >= {back} AND {_valid(chosen)} THEN {chosen} ELSE peer END AS client_ip,
+  {_COUNTRY} AS country FROM hops"""
+
+
+_LISTED = f"""{_HOPS}, outs AS (SELECT *, list_filter(h, lambda x: NOT {_trusted('x')}) AS o FROM hops),
+picks AS (SELECT *, CASE WHEN len(o) > 0 THEN o[len(o)] ELSE h[1] END AS pick FROM outs)
+SELECT id, CASE WHEN {_trusted('peer')} AND len(h) > 0 AND {_valid('pick')} THEN pick ELSE peer END AS client_ip,
+  CASE WHEN {_trusted('peer')} THEN {_COUNTRY} END AS country FROM picks"""
+
+_LIMIT, _WINDOW_MS = derived.RATE[0], int(derived.RATE[1].total_seconds() * 1000)
+# One request of every address per round, each with the log of its accepted times.
+RATE_LIMIT_SQL = f"""WITH RECURSIVE calls AS (SELECT {derived.CALLER} AS ip, ts, event_id AS id,
+    CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ms, id) AS n FROM calls),
+fold AS (
+  SELECT ip, n, ts, id, [ms] AS log, false AS limited, CAST(0 AS BIGINT) AS retry_after FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT ip, n, ts, id, CASE WHEN len(kept) >= {_LIMIT} THEN kept ELSE list_append(kept, ms) END,
+    len(kept) >= {_LIMIT}, CASE WHEN len(kept) >= {_LIMIT}
+      THEN greatest(1, CAST(ceil((kept[1] + {_WINDOW_MS} - ms) / 1000.0) AS BIGINT)) ELSE 0 END
+  FROM (SELECT r.*, list_filter(f.log, lambda x: x > r.ms - {_WINDOW_MS}) AS kept
+        FROM fold f JOIN numbered r ON r.ip = f.ip AND r.n = f.n + 1))
+SELECT ip, ts, id, limited, retry_after FROM fold"""
+
+_BOT = "(?i)" + "|".join(BOT_WORDS)
+
+# ---- browser side -----------------------------------------------------------------------
+
+_CLIENT = f"""WITH {_RAW}, cli AS (SELECT event_id AS id, url, {_select({**derived.LONG_SQL, **derived.OPT_OUT})} FROM raw)"""
+_NOT_OPTED = "coalesce(dnt NOT IN ('1', 'yes'), true) AND coalesce(gpc, false) = false"
+_SIZES = """id, left(event_type, 128) AS event_type, length(left(referrer, 8192)) AS referrer_length,
+  length(left(properties ->> '$.text', 4096)) AS text_length, properties ->> '$.n' AS n, properties ->> '$.k' AS k"""
+
+
+def _host(url: str) -> str:
+    return f"lower(regexp_extract({url}, '(?i)^https?://(?:[^/@]*@)?([^:/?#]+)', 1))"
+
+
+_LINKS = f"""WITH size AS (SELECT count(*) AS n FROM pages), raw AS (
+  SELECT e.*, p.url AS page_url, q.url AS target_url FROM events e, size, pages p, pages q
+  WHERE p.page_id = e.event_id % n AND q.page_id = (e.event_id * 7 + 3) % n),
+clicks AS (SELECT event_id AS id, page_url, {_select(derived.CLICK_SQL)} FROM raw),
+usable AS (SELECT *, split_part(split_part(href, '?', 1), '#', 1) AS path FROM clicks
+  WHERE href <> '' AND NOT starts_with(href, 'javascript:'))
+SELECT id, 'download' AS event_type, nullif(lower(regexp_extract(path, '(?i)\\.([a-z0-9]+)$', 1)), '') AS extension,
+  href, nullif(target, '') AS target FROM usable
+  WHERE has_download_attr OR regexp_matches(href, '(?i)\\.({'|'.join(DOWNLOAD_EXTENSIONS)})($|\\?|#)')
+UNION ALL SELECT id, 'outbound_click', NULL, href, nullif(target, '') FROM usable
+  WHERE {_host('href')} <> '' AND {_host('page_url')} <> '' AND {_host('href')} <> {_host('page_url')}"""
+
+
+def oracle_sql(ev: str, ev_s: str, ev_u: str) -> dict[str, str]:
+    utm = {name: _utm("url", name) for name in UTM_FIELDS}
+    merged = {name: f"coalesce(nullif({derived.OWN_UTM}, ''), {sql})" for name, sql in utm.items()}
+    return {
+        "parse_payloads": f"{_PAYLOADS} SELECT {_PARSED_COLUMNS}, batch_error FROM parsed",
+        "explode_batches": f"{_PAYLOADS} SELECT {_PARSED_COLUMNS} FROM parsed WHERE batch_error IS NULL",
+        "validate_events": f"{_VALIDATED} SELECT batch_id, pos, error_code FROM validated",
+        "valid_event_fields": f"""{_VALIDATED} SELECT batch_id, pos, {_TYPE} AS event_type,
+  {', '.join(f"nullif(e ->> '$.{n}', '') AS {n}" for n in OPTIONAL_FIELDS)} FROM validated WHERE error_code IS NULL""",
+        "validate_properties": f"""{_VALIDATED} SELECT batch_id, pos, properties_error FROM validated
+  WHERE batch_error IS NULL""",
+        "quarantine_report": f"""{_VALIDATED}, firsts AS (SELECT batch_id, error_code, row_number() OVER
+    (PARTITION BY batch_id ORDER BY pos) AS n FROM validated WHERE error_code IS NOT NULL)
+SELECT v.batch_id, count(*) FILTER (v.error_code IS NULL) AS stored,
+  count(*) FILTER (v.error_code IS NOT NULL AND pos IS NOT NULL) AS dropped, max(f.error_code) AS first_error,
+  count(*) FILTER (v.error_code IS NULL) = 0 AS rejected
+FROM validated v LEFT JOIN firsts f ON f.batch_id = v.batch_id AND f.n = 1 GROUP BY v.batch_id""",
+        "enrich_events": _ENRICHED,
+        "stream_ingest": _ENRICHED,
+        "resolve_clients": _LISTED,
+        "resolve_clients_one_hop": _hop(1),
+        "resolve_clients_two_hops": _hop(2),
+        "resolve_clients_untrusted": f"{_HOPS} SELECT id, peer AS client_ip, CAST(NULL AS STRING) AS country FROM hops",
+        "normalize_ip": f"{_HOPS} SELECT id, peer AS ip FROM hops",
+        "ip_in_cidr": f"{_HOPS} SELECT id, {_trusted('peer')} AS trusted FROM hops",
+        "resolve_country": f"{_REQUESTS} SELECT id, coalesce({_COUNTRY}, nullif(client_country, '')) AS country FROM req",
+        "filter_bots": f"""{_REQUESTS} SELECT id, user_agent FROM req
+  WHERE user_agent IS NULL OR NOT regexp_matches(user_agent, '{_BOT}')""",
+        "rate_limit": RATE_LIMIT_SQL,
+        "stream_rate_limit": RATE_LIMIT_SQL,
+        "parse_browser": f"{ev} SELECT id, {_browser('ua')} AS browser FROM ev",
+        "parse_device": f"{ev} SELECT id, {_device('ua')} AS device_type FROM ev",
+        "mask_ip": f"{ev} SELECT id, {_mask('ip')} AS masked FROM ev",
+        "extract_utm": f"{ev} SELECT id, {_select(utm)} FROM ev",
+        "merge_utm": f"{ev} SELECT id, {_select(merged)} FROM ev",
+        "drop_opted_out": f"{_CLIENT} SELECT id FROM cli WHERE {_NOT_OPTED}",
+        "truncate_fields": f"{_CLIENT} SELECT {_SIZES} FROM cli",
+        "sanitize_events": f"{_CLIENT} SELECT {_SIZES} FROM cli WHERE {_NOT_OPTED}",
+        "classify_links": _LINKS,
+        "append_events": f"{ev} SELECT id, event_type, session_id, url, t AS timestamp FROM ev",
+        "track_events": f"""{ev} SELECT id, ' ' || event_type AS event_type, nullif(session_id, '') AS session_id,
+  nullif(user_id, '') AS user_id, url, {_mask('ip')} AS ip, nullif(ua, '') AS ua, nullif(country, '') AS country,
+  browser, device_type, t AS timestamp, nullif(referrer, '') AS referrer, {_select(utm)} FROM ev""",
+        "warehouse_rollup": f"""{ev} SELECT day AS date,
+  CASE WHEN event_type = 'pageview' THEN 'pageviews' ELSE event_type END AS metric, '' AS dimension, count(*) AS value
+FROM ev WHERE t < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY GROUP BY 1, 2""",
+        "stream_sessions": f"{ev_s} SELECT * FROM ses",
+        "stream_users": f"{ev_u} SELECT * FROM usr",
+        "stream_active_now": f"""{ev}, marks AS (SELECT session_id, unnest(range(date_trunc('minute', t) + INTERVAL 1 MINUTE,
+    date_trunc('minute', t) + INTERVAL 6 MINUTE, INTERVAL 1 MINUTE)) AS as_of FROM ev WHERE session_id <> '')
+SELECT as_of, count(DISTINCT session_id) AS active FROM marks
+WHERE as_of <= (SELECT max(t) FROM ev WHERE session_id <> '') - INTERVAL 1 MINUTE
+GROUP BY as_of""",
+        "stream_daily_views": f"{ev} SELECT day AS date, count(*) AS views FROM ev WHERE event_type = 'pageview' GROUP BY 1",
+    }

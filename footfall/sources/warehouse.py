@@ -25,6 +25,7 @@ from footfall.model import EVENTS, METRICS, SESSIONS, USERS
 from footfall.operators.filters import instant
 from footfall.operators.retention import Retention, retention_rollup
 from footfall.operators.state import build_sessions, build_users
+from footfall.sources.tables import conform
 
 _ARRIVAL = [T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())]
 _SCHEMAS = {
@@ -109,7 +110,8 @@ class Warehouse:
     def append_events(self, events: DataFrame) -> None:
         version = self.current()["version"]
         (
-            events.select(*EVENTS.names)
+            conform(events, EVENTS)
+            .select(*EVENTS.names)
             .withColumn("event_date", F.col("timestamp").cast("date"))
             .sortWithinPartitions("event_date", "session_id", "timestamp", "id")
             .write.mode("append")

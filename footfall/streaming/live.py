@@ -72,12 +72,12 @@ def read_latest(spark: SparkSession, folder: str, key: str, value: str) -> DataF
 _VERDICT = "ip string, id long, ts timestamp, limited boolean, retry_after long"
 
 
-def _limiter(limit: int, window_ms: int):
+def _limiter(limit: int, window_ms: int, expires: bool):
     def check(
         key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            # Idle for longer than the window: every accepted request has left the log.
+            # The watermark is past the window: every accepted request has left the log.
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "id"], kind="stable")
@@ -93,7 +93,9 @@ def _limiter(limit: int, window_ms: int):
             if not refused:
                 log.append(now)
         state.update((list(log),))
-        state.setTimeoutDuration(max(window_ms, 1))
+        if expires:
+            idle_until = max(times.tolist()) + window_ms
+            state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
         yield rows.assign(limited=limited, retry_after=waits)[
             ["ip", "id", "ts", "limited", "retry_after"]
         ]
@@ -102,25 +104,31 @@ def _limiter(limit: int, window_ms: int):
 
 
 def stream_rate_limit(
-    requests: DataFrame, max_requests: int = RATE_MAX, window: timedelta = RATE_WINDOW
+    requests: DataFrame,
+    max_requests: int = RATE_MAX,
+    window: timedelta = RATE_WINDOW,
+    *,
+    lateness: str | None = "1 day",
 ) -> DataFrame:
     """Rate limiting of a request stream [ip, ts, id], in arrival order.
 
-    State per address is the accepted times of the last window, at most ``max_requests``;
-    an address that falls silent loses its state. What a task sorts is one address's share
-    of one micro-batch, which the source's rate options bound.
+    State per address is the accepted times of the last window, at most ``max_requests``.
+    An address that falls silent loses its state once the watermark has passed; requests are
+    stamped on arrival, so ``lateness`` only has to exceed the disorder between sources.
+    With None no request is ever too late and no address is forgotten. What a task sorts is
+    one address's share of one micro-batch, which the source's rate options bound.
     """
     window_ms = int(window / timedelta(milliseconds=1))
-    return (
-        requests.select(
-            F.coalesce("ip", F.lit("")).alias("ip"), "id", F.col("ts").cast("timestamp").alias("ts")
-        )
-        .groupBy("ip")
-        .applyInPandasWithState(
-            _limiter(max_requests, window_ms),
-            _VERDICT,
-            "log array<long>",
-            "append",
-            GroupStateTimeout.ProcessingTimeTimeout,
-        )
+    timed = requests.select(
+        F.coalesce("ip", F.lit("")).alias("ip"), "id", F.col("ts").cast("timestamp").alias("ts")
+    )
+    expires = lateness is not None
+    if expires:
+        timed = timed.withWatermark("ts", lateness)
+    return timed.groupBy("ip").applyInPandasWithState(
+        _limiter(max_requests, window_ms, expires),
+        _VERDICT,
+        "log array<long>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout,
     )
