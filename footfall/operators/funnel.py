@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,9 +42,8 @@ def check_steps(steps) -> list[dict[str, str | None]]:
 
 def step_predicate(step: Mapping, ignore_case: bool = False) -> Column:
     if step["type"] == "pageview":
-        found = literal_contains(F.col("url"), step["value"], ignore_case)
-        return F.coalesce(is_pageview() & found, F.lit(False))
-    return F.coalesce(F.col("event_type") == step["value"], F.lit(False))
+        return is_pageview() & literal_contains(F.col("url"), step["value"], ignore_case)
+    return F.col("event_type") == step["value"]
 
 
 def filter_funnel_range(events: DataFrame, since=None, until=None) -> DataFrame:
@@ -101,14 +101,13 @@ def funnel(
 
     flags = [step_predicate(s, ignore_case) for s in checked]
     matched = (
-        ranged.where(has_session())
+        ranged.where(has_session() & reduce(lambda a, b: a | b, flags))
         .select(
             "session_id",
             _slice_number(slice_hours).alias("slice"),
             F.struct("timestamp", "id").alias("at"),
             *[flag.alias(f"is_{i}") for i, flag in enumerate(flags)],
         )
-        .where(" OR ".join(f"is_{i}" for i in range(count)))
     )
 
     # taken_s_k: where step k is taken in this slice when s steps were done on entering.

@@ -18,31 +18,36 @@ def check_goal(goal: str) -> str:
     return goal
 
 
-def _entity(kind: str, goal: Column, key: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), goal.alias("goal"), key.alias("key"))
+def _session_totals(flagged: DataFrame) -> DataFrame:
+    """One row: distinct sessions of all events, now and before."""
+    per_session = (
+        flagged.where(F.col("session_id").isNotNull())
+        .groupBy("session_id")
+        .agg(
+            F.bool_or("is_current").alias("now"), F.bool_or(~F.col("is_current")).alias("before")
+        )
+    )
+    return per_session.agg(
+        F.struct(F.count_if("now").alias("now"), F.count_if("before").alias("before"))
+    )
 
 
-def _per_goal(flagged: DataFrame, is_goal: Column) -> DataFrame:
-    """Counts per goal, plus one row (goal NULL) with the distinct sessions of all events.
+def _counts(flagged: DataFrame, *keys: str) -> DataFrame:
+    """Events, distinct users and distinct sessions, now and before, per key.
 
-    Events turn into (kind, goal, entity) rows that combine before the shuffle; the second
-    aggregate then only counts entities, so no distinct set is ever held in one place.
+    Each event becomes one row for its session and one for its user, and rows combine per
+    entity before the shuffle; the second aggregate then only counts entities, so no
+    distinct set is ever held in one place.
     """
-    every = F.col("event_type")
-    none = F.lit(None).cast("string")
-    entities = F.explode(
-        F.when(
-            is_goal,
-            F.array(
-                _entity("all", none, F.col("session_id")),
-                _entity("session", every, F.col("session_id")),
-                _entity("user", every, F.col("user_id")),
-            ),
-        ).otherwise(F.array(_entity("all", none, F.col("session_id"))))
+    entity = F.explode(
+        F.array(
+            F.struct(F.lit("session").alias("kind"), F.col("session_id").alias("key")),
+            F.struct(F.lit("user").alias("kind"), F.col("user_id").alias("key")),
+        )
     ).alias("entity")
     per_entity = (
-        flagged.select(entities, "is_current")
-        .groupBy("entity.kind", "entity.goal", "entity.key")
+        flagged.select(*keys, entity, "is_current")
+        .groupBy(*keys, "entity.kind", "entity.key")
         .agg(
             F.count_if(F.col("is_current")).alias("now"),
             F.count_if(~F.col("is_current")).alias("before"),
@@ -55,29 +60,19 @@ def _per_goal(flagged: DataFrame, is_goal: Column) -> DataFrame:
     def events(period: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == "session", F.col(period))), F.lit(0))
 
-    return per_entity.groupBy("goal").agg(
+    return per_entity.groupBy(*keys).agg(
         events("now").alias("count"),
         distinct("user", "now").alias("unique_users"),
         distinct("session", "now").alias("unique_sessions"),
         events("before").alias("prev_count"),
         distinct("user", "before").alias("prev_unique_users"),
         distinct("session", "before").alias("prev_unique_sessions"),
-        distinct("all", "now").alias("sessions"),
-        distinct("all", "before").alias("prev_sessions"),
     )
 
 
-_COUNTS = [
-    "count",
-    "unique_users",
-    "unique_sessions",
-    "prev_count",
-    "prev_unique_users",
-    "prev_unique_sessions",
-]
-
-
-def _with_rates(rows: DataFrame) -> DataFrame:
+def _with_rates(rows: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Adds the rates; the totals are one row of two numbers, whatever the events' size."""
+    rows = rows.withColumn("sessions", _session_totals(flagged).scalar())
     count, prev = F.col("count"), F.col("prev_count")
     change = F.when(prev == 0, F.when(count > 0, 100.0).otherwise(0.0)).otherwise(
         round_half_up((count - prev) / F.greatest(prev, F.lit(1)) * 10000) / F.lit(100.0)
@@ -87,11 +82,11 @@ def _with_rates(rows: DataFrame) -> DataFrame:
         "count",
         "unique_users",
         "unique_sessions",
-        percent(F.col("unique_sessions"), F.col("sessions")).alias("conversion_rate"),
+        percent(F.col("unique_sessions"), F.col("sessions.now")).alias("conversion_rate"),
         "prev_count",
         "prev_unique_users",
         "prev_unique_sessions",
-        percent(F.col("prev_unique_sessions"), F.col("prev_sessions")).alias(
+        percent(F.col("prev_unique_sessions"), F.col("sessions.before")).alias(
             "prev_conversion_rate"
         ),
         change.alias("change"),
@@ -101,29 +96,19 @@ def _with_rates(rows: DataFrame) -> DataFrame:
 def goal_conversion(events: DataFrame, period: Period, goal: str) -> DataFrame:
     """One row for ``goal`` (any event type, page views included), zeros when unseen."""
     flagged = flag_periods(events, period)
-    rows = _per_goal(flagged, F.col("event_type") == check_goal(goal))
-    one = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [*_COUNTS, "sessions", "prev_sessions"]])
-    return _with_rates(one.withColumn("goal", F.lit(goal)))
+    counted = _counts(flagged.where(F.col("event_type") == check_goal(goal)))
+    return _with_rates(counted.withColumn("goal", F.lit(goal)), flagged)
 
 
 def all_goal_conversions(events: DataFrame, period: Period) -> DataFrame:
-    """One row per non-pageview event type of the current period."""
-    rows = _per_goal(flag_periods(events, period), is_other_event())
-    # One row of two numbers, whatever the size of the events.
-    totals = rows.where(F.col("goal").isNull()).agg(
-        F.struct(
-            F.coalesce(F.sum("sessions"), F.lit(0)).alias("now"),
-            F.coalesce(F.sum("prev_sessions"), F.lit(0)).alias("before"),
-        )
-    )
-    listed = rows.where(F.col("goal").isNotNull() & (F.col("count") > 0)).withColumn(
-        "totals", totals.scalar()
-    )
-    return _with_rates(
-        listed.withColumn("sessions", F.col("totals.now")).withColumn(
-            "prev_sessions", F.col("totals.before")
-        )
-    )
+    """One row per non-pageview event type of the current period.
+
+    Two lean scans: session ids of everything, and the other columns of goal events only.
+    """
+    flagged = flag_periods(events, period)
+    counted = _counts(flagged.where(is_other_event()), "event_type")
+    listed = counted.where(F.col("count") > 0).withColumnRenamed("event_type", "goal")
+    return _with_rates(listed, flagged)
 
 
 def event_stats(events: DataFrame, period: Period) -> DataFrame:

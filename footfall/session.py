@@ -21,6 +21,13 @@ SPEED_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Speed settings that only a new session can take.
+STARTUP_SETTINGS = {
+    # Recording a Python call site for every column costs more than small queries take.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the result and speed settings to an existing session."""
@@ -34,7 +41,7 @@ def get_spark(app: str = "footfall", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS, **conf}.items():
+    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS, **STARTUP_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
