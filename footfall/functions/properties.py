@@ -31,14 +31,18 @@ def is_small_and_flat(text: Column) -> Column:
     return (F.octet_length(text) <= _SAFE_BYTES) & ~F.substring(text, 2, _SAFE_BYTES).rlike(r"[\[{]")
 
 
-def properties_error(text: Column, source: Column) -> Column:
+def may_overflow(body: Column) -> Column:
+    """Whether JSON text has a number that may not fit a double."""
+    return body.rlike(_OVERFLOW)
+
+
+def properties_error(text: Column, overflow: Column) -> Column:
     """First broken limit of a properties object in document order, or NULL.
 
-    ``text`` is the object as compact JSON and ``source`` the JSON it was parsed from. The
-    tokens are folded left to right with the open depth and the number of keys so far;
+    ``text`` is the object as compact JSON, in which a number that does not fit a double
+    reads "Infinity"; ``overflow`` tells whether its source has such numbers. The tokens are folded left to right with the open depth and the number of keys so far;
     brackets below ``PROP_DEPTH_MAX`` or keys beyond ``PROP_KEYS_MAX`` are errors.
     """
-    overflow = source.rlike(_OVERFLOW)
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("keys"), F.lit(None).cast("string").alias("code")
     )

@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall import model
-from footfall.functions.properties import properties_error
+from footfall.functions.properties import may_overflow, properties_error
 from footfall.functions.text import none_if_empty, trim_blanks, utf16_length
 from footfall.session import configure
 
 
+# Columns of a parsed payload that its validated events no longer have.
+_PARSED = ("event", "event_text", "overflow", "batch_error")
+
+
 def _kind(variant: Column) -> Column:
     """Type text of a VARIANT: NULL when absent, 'VOID' for JSON null."""
     return F.schema_of_variant(variant)
@@ -27,8 +31,9 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
 
     ``payloads`` has ``batch_id`` (the arrival number of the request) and ``body``; other
     columns are passed through. Adds ``pos``, ``event`` (VARIANT), ``event_text`` (the same
-    as compact JSON, members in their sent order) and ``batch_error``. A body that is
-    rejected as a whole keeps one row, without event.
+    as compact JSON, members in their sent order), ``overflow`` (the body may hold a number
+    beyond the range of a double) and ``batch_error``. A body that is rejected as a whole
+    keeps one row, without event.
     """
     configure(payloads.sparkSession)
     kept = [c for c in payloads.columns if c != "body"]
@@ -60,6 +65,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
             body.alias("body"),
             bracketed.alias("bracketed"),
             too_large.alias("too_large"),
+            may_overflow(body).alias("overflow"),
             F.try_parse_json(bracketed).alias("wrapped"),
             F.when(F.coalesce(F.col("body"), F.lit("")) == "", "{").otherwise(first).alias("shape"),
         )
@@ -70,11 +76,12 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
         F.col("batch_error").isNull(),
         F.arrays_zip(F.col("events").alias("event"), texts.alias("event_text")),
     )
-    return parsed.select(*kept, "batch_error", F.posexplode_outer(elements)).select(
+    return parsed.select(*kept, "overflow", "batch_error", F.posexplode_outer(elements)).select(
         *kept,
         "pos",
         F.col("col.event").alias("event"),
         F.col("col.event_text").alias("event_text"),
+        "overflow",
         "batch_error",
     )
 
@@ -113,7 +120,7 @@ def _properties_error() -> Column:
     text = F.get_json_object("event_text", "$.properties")
     return F.when(kind.isNull() | (kind == "VOID"), None).when(
         ~kind.startswith("OBJECT"), "INVALID_PROPERTIES"
-    ).otherwise(properties_error(text, F.col("event_text")))
+    ).otherwise(properties_error(text, F.col("overflow")))
 
 
 def validate_properties(parsed: DataFrame) -> DataFrame:
@@ -126,7 +133,7 @@ def validate_events(parsed: DataFrame) -> DataFrame:
 
     Rows of rejected bodies carry the body's error. No shuffle: one narrow projection.
     """
-    kept = [c for c in parsed.columns if c not in ("event", "event_text", "batch_error")]
+    kept = [c for c in parsed.columns if c not in _PARSED]
     checks = [
         F.col("batch_error"),
         F.when(
