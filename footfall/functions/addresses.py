@@ -37,32 +37,36 @@ def normalize_ip(ip: Column) -> Column:
 
 def is_valid_ip(ip: Column) -> Column:
     """A well-formed IPv4 or IPv6 address (IPv6 may carry a zone or end in IPv4 form)."""
-    plain = F.lower(F.regexp_replace(ip, r"(?<=:.{0,45})%[0-9A-Za-z.:-]+$", ""))
-    v6 = F.regexp_replace(plain, rf"(?<=:){_V4}$", "0:0")
-    groups = F.size(F.filter(F.split(v6, ":"), lambda h: h != ""))
-    full = v6.rlike(r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}$")
-    short = v6.rlike(rf"^{_HEXTETS}::{_HEXTETS}$") & (groups <= 7)
-    return F.coalesce(plain.rlike(rf"^{_V4}$") | full | short, F.lit(False))
+    def v6(plain: Column) -> Column:
+        groups = F.size(F.filter(F.split(plain, ":"), lambda h: h != ""))
+        full = plain.rlike(r"^[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){7}$")
+        return full | (plain.rlike(rf"^{_HEXTETS}::{_HEXTETS}$") & (groups <= 7))
+
+    bare = F.when(ip.contains("%"), F.regexp_replace(ip, "%[0-9A-Za-z.:-]+$", "")).otherwise(ip)
+    hex_only = F.when(bare.contains("."), F.regexp_replace(bare, rf"(?<=:){_V4}$", "0:0")).otherwise(bare)
+    known = F.when(ip.contains(":"), let(F.lower(hex_only), v6)).otherwise(ip.rlike(rf"^{_V4}$"))
+    return F.coalesce(known, F.lit(False))
 
 
 def v4_number(ip: Column) -> Column:
     """IPv4 as a number, NULL unless there are four parts from 0 to 255."""
-    parts = F.transform(
-        F.split(ip, r"\."),
-        lambda p: F.regexp_extract(p, r"^\s*(\d+)", 1).try_cast("bigint"),
-    )
 
     def total(parts: Column) -> Column:
-        return F.when(
-            F.size(parts) == 4,
-            F.aggregate(
-                parts,
-                F.lit(0).cast("bigint"),
-                lambda acc, p: F.when(p.between(0, 255), acc * 256 + p),
-            ),
-        )
+        octets = [F.get(parts, F.lit(i)) for i in range(4)]
+        return octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
 
-    return F.when(ip.contains("."), let(parts, total))
+    def loose_part(text: Column) -> Column:
+        # Text after a part's digits is ignored.
+        digits = F.regexp_extract(text, r"^\s*0*(\d{1,3})(?!\d)", 1)
+        return F.when(digits.rlike(rf"^{_OCTET}$"), digits.cast("bigint"))
+
+    def loose_total(parts: Column) -> Column:
+        return F.when(F.size(parts) == 4, total(parts))
+
+    parts = F.split(ip, r"\.")
+    return F.when(ip.rlike(rf"^{_V4}$"), let(parts.cast("array<bigint>"), total)).when(
+        ip.rlike(r"^\s*\d+[^.]*\.\s*\d"), let(F.transform(parts, loose_part), loose_total)
+    )
 
 
 _NO_TEXT = "array<string>"
@@ -106,10 +110,15 @@ def v6_hex(ip: Column) -> Column:
     )
 
 
-def describe_ip(ip: Column) -> Column:
-    """The forms of an address that trust checks need, computed once."""
+def _describe(ip: Column, entries: list[str]) -> Column:
+    """The forms of an address that checking it against ``entries`` needs."""
+    networks = [entry for entry in entries if "/" in entry]
+    v4 = any(":" not in network for network in networks)
+    v6 = any(":" in network for network in networks)
     return F.struct(
-        ip.alias("text"), v4_number(ip).alias("v4"), v6_hex(ip).alias("v6")
+        ip.alias("text"),
+        (v4_number(ip) if v4 else F.lit(None).cast("bigint")).alias("v4"),
+        (v6_hex(ip) if v6 else F.lit(None).cast("string")).alias("v6"),
     )
 
 
@@ -120,6 +129,23 @@ def _prefix_length(text: str | None, default: int) -> int | None:
     return int(digits[1]) if digits and int(digits[1]) <= default else None
 
 
+def _network_number(text: str) -> int | None:
+    parts = [re.match(r"\s*(\d+)", p) for p in text.split(".")]
+    if len(parts) != 4 or not all(p and int(p[1]) <= 255 for p in parts):
+        return None
+    return sum(int(p[1]) << (8 * (3 - i)) for i, p in enumerate(parts))
+
+
+def _network_hex(text: str) -> str | None:
+    """A network's 32 hex digits; a missing '::' counts as one at the end."""
+    left, _, right = text.strip().lower().partition("::")
+    before, after = ([g for g in half.split(":") if half] for half in (left, right))
+    groups = before + ["0"] * (8 - len(before) - len(after)) + after
+    if len(groups) != 8 or not all(re.fullmatch("[0-9a-f]{0,4}", g) for g in groups):
+        return None
+    return "".join(g.rjust(4, "0") for g in groups)
+
+
 def _matches_entry(seen: Column, entry: str) -> Column:
     """Whether a described address falls under one trust-list entry."""
     if "/" not in entry:
@@ -129,23 +155,25 @@ def _matches_entry(seen: Column, entry: str) -> Column:
         bits = _prefix_length(prefix, 128)
         if bits is None:
             return F.lit(False)
-        own = v6_hex(F.lit(network))
-        same = F.left(seen["v6"], F.lit(bits // 4)) == F.left(own, F.lit(bits // 4))
-        if bits % 4:
-            at, drop = bits // 4 + 1, 4 - bits % 4
-
-            def nibble(hex_text: Column) -> Column:
-                digit = F.conv(F.substring(hex_text, at, 1), 16, 10).cast("int")
-                return F.shiftright(digit, drop)
-
-            same = same & (nibble(seen["v6"]) == nibble(own))
+        own = _network_hex(network)
+        if own is None:
+            return F.lit(False)
+        whole, rest = divmod(bits, 4)
+        same = seen["v6"].isNotNull() & seen["v6"].startswith(own[:whole])
+        if rest:
+            # The digit that the prefix splits: those that share its leading bits.
+            kept = int(own[whole], 16) >> (4 - rest)
+            digits = [f"{d:x}" for d in range(16) if d >> (4 - rest) == kept]
+            same = same & F.substring(seen["v6"], whole + 1, 1).isin(digits)
         return F.coalesce(same, F.lit(False))
     bits = _prefix_length(prefix, 32)
     if bits is None:
         return F.lit(False)
-    own = v4_number(F.lit(network))
-    same = F.shiftright(seen["v4"], 32 - bits) == F.shiftright(own, 32 - bits)
-    return F.coalesce(same, F.lit(False))
+    own = _network_number(network)
+    if own is None:
+        return F.lit(False)
+    low = own >> (32 - bits) << (32 - bits)
+    return F.coalesce(seen["v4"].between(low, low + (1 << (32 - bits)) - 1), F.lit(False))
 
 
 def is_trusted(seen: Column, entries: list[str]) -> Column:
@@ -159,7 +187,10 @@ def is_trusted(seen: Column, entries: list[str]) -> Column:
 def ip_in_cidr(ip: Column, entries: list[str]) -> Column:
     """Whether an address equals an entry or lies in one of its networks (IPv4 and IPv6)."""
     listed = trust_entries(entries)
-    return let(let(normalize_ip(ip), describe_ip), lambda seen: is_trusted(seen, listed))
+    return let(
+        let(normalize_ip(ip), lambda bare: _describe(bare, listed)),
+        lambda seen: is_trusted(seen, listed),
+    )
 
 
 def trust_entries(trust: str | list[str]) -> list[str]:
@@ -190,7 +221,7 @@ def resolve_client_ip(remote: Column, forwarded: Column, trust: Trust) -> Column
 
         def picked(hops: Column) -> Column:
             outside = F.filter(
-                F.transform(hops, describe_ip), lambda seen: ~is_trusted(seen, entries)
+                F.transform(hops, lambda ip: _describe(ip, entries)), lambda seen: ~is_trusted(seen, entries)
             )
             last = F.try_element_at(outside, F.lit(-1))["text"]
             return F.when(ip_in_cidr(remote, entries), F.coalesce(last, F.get(hops, F.lit(0))))

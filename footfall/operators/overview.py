@@ -194,7 +194,8 @@ def overview_report(
     ]
     counted = (
         flag_periods(events, period)
-        .select(F.explode(F.array_compact(F.array(*entries))).alias("entry"))
+        .select(F.explode(F.array(*entries)).alias("entry"))
+        .where(F.col("entry").isNotNull())
         .groupBy("entry.section", "entry.key")
         .agg(F.count("*").alias("value"))
     )
