@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.period import ArgumentError
 
 PAGE_DEFAULT, PAGE_MAX = 50, 100
+# Up to this offset a page is a top-k; beyond it, it is found by counting.
+NEAR_OFFSET = 10_000
 PROFILE_EVENTS = 100
 COHORT_BASE = 500
 COHORT_WEEKS = 8
@@ -56,6 +58,51 @@ def users_total(users: DataFrame) -> DataFrame:
     return users.agg(F.count("*").alias("total"))
 
 
+def _near_page(users: DataFrame, rows: int, skipped: int) -> DataFrame:
+    """A page close to the start: each task keeps its best few rows."""
+    return users.orderBy(F.desc("last_seen"), F.asc("id")).offset(skipped).limit(rows)
+
+
+def _narrow(users: DataFrame, key: str, start: Column, rows: int, skipped: int, *within: str):
+    """The values of a time key, newest first, that the page overlaps.
+
+    Returns one row per value with ``start``, the number of users before it. Each value has
+    at least one user, so the page overlaps at most one value per row.
+    """
+    order = Window.partitionBy(*within).orderBy(F.desc(key))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    counted = users.groupBy(*within, key).agg(F.count("*").alias("n"), F.first(start).alias("base"))
+    placed = counted.withColumn(
+        "start", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    )
+    overlaps = (F.col("start") < skipped + rows) & (F.col("start") + F.col("n") > skipped)
+    return placed.where(overlaps).select(*within, key, "start")
+
+
+def _far_page(users: DataFrame, rows: int, skipped: int) -> DataFrame:
+    """A page far from the start, without sorting or collecting the users before it.
+
+    Counts per day tell which days the page overlaps, counts per second within those days
+    which seconds; only the users of these seconds are ranked. The counts are at most one
+    row per day, then 86,400 rows per day, and what is broadcast is at most a row per user
+    of the page.
+    """
+    keyed = users.withColumns(
+        {"_day": F.col("last_seen").cast("date"), "_second": F.date_trunc("second", "last_seen")}
+    )
+    days = _narrow(keyed, "_day", F.lit(0), rows, skipped).withColumnRenamed("start", "_base")
+    of_days = keyed.join(F.broadcast(days), "_day")
+    seconds = _narrow(of_days, "_second", F.col("_base"), rows, skipped, "_day")
+    ranked = keyed.join(F.broadcast(seconds), ["_day", "_second"]).withColumn(
+        "_rank",
+        F.col("start")
+        + F.row_number().over(
+            Window.partitionBy("_day", "_second").orderBy(F.desc("last_seen"), F.asc("id"))
+        ),
+    )
+    return ranked.where(F.col("_rank").between(skipped + 1, skipped + rows)).select(*users.columns)
+
+
 def users_page(users: DataFrame, events: DataFrame, limit=None, offset=None) -> DataFrame:
     """One page of users, most recently seen first.
 
@@ -63,12 +110,8 @@ def users_page(users: DataFrame, events: DataFrame, limit=None, offset=None) ->
     as a broadcast, so counting them shuffles next to nothing.
     """
     rows, skipped = check_page(limit, offset)
-    page = (
-        users.select(*_USER_COLUMNS)
-        .orderBy(F.desc("last_seen"), F.asc("id"))
-        .offset(skipped)
-        .limit(rows)
-    )
+    cut = _near_page if skipped <= NEAR_OFFSET else _far_page
+    page = cut(users.select(*_USER_COLUMNS), rows, skipped)
     wanted = F.broadcast(page.select(F.col("id").alias("user_id")))
     counts = (
         events.select("user_id")

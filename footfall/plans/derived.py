@@ -203,6 +203,12 @@ def _enriched(rows: DataFrame) -> DataFrame:
     return enrich.enrich_events(ingest.valid_events(checked), trust_client_country=True)
 
 
+def _stamped(rows: DataFrame) -> DataFrame:
+    checked = ingest.validate_events(ingest.parse_payloads(with_request(rows)))
+    stamped = enrich.stamp_server_fields(ingest.valid_events(checked))
+    return stamped.select("id", "event_type", "ua", "country", "timestamp")
+
+
 _ENRICHED = ["id", "event_type", "session_id", "user_id", "url", "ip", "ua", "country", "browser", "device_type",
              "timestamp", *UTM_FIELDS]
 
@@ -475,6 +481,7 @@ def queries() -> dict[str, Query]:
         "valid_event_fields": _payload_query(_valid_fields),
         "validate_properties": _payload_query(_property_errors),
         "quarantine_report": _payload_query(lambda p: ingest.quarantine_report(_validated(p))),
+        "stamp_server_fields": _payload_query(_stamped),
         "enrich_events": _payload_query(lambda p: _enriched(p).select(*_ENRICHED)),
         "resolve_clients": _resolve(TRUSTED),
         "resolve_clients_one_hop": _resolve(1),

@@ -115,8 +115,9 @@ def _utm(url: str, name: str) -> str:
     return f"nullif(url_decode(replace(substr({first}, {len(name) + 2}), '+', ' ')), '')"
 
 
-_ENRICHED = f"""{_VALIDATED}, req AS (SELECT *, {deal(ADDRESSES).replace('event_id', 'batch_id')} AS client_ip,
-  coalesce({deal(AGENTS, 'batch_id')}, '') AS agent FROM validated WHERE error_code IS NULL)
+_REQUESTED = f"""{_VALIDATED}, req AS (SELECT *, {deal(ADDRESSES).replace('event_id', 'batch_id')} AS client_ip,
+  coalesce({deal(AGENTS, 'batch_id')}, '') AS agent FROM validated WHERE error_code IS NULL)"""
+_ENRICHED = f"""{_REQUESTED}
 SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, nullif(e ->> '$.session_id', '') AS session_id,
   nullif(e ->> '$.user_id', '') AS user_id, nullif(e ->> '$.url', '') AS url, {_mask('client_ip')} AS ip, agent AS ua,
   CASE WHEN batch_id % 3 = 0 THEN 'DE' ELSE nullif(e ->> '$.country', '') END AS country,
@@ -227,6 +228,9 @@ SELECT v.batch_id, count(*) FILTER (v.error_code IS NULL) AS stored,
   count(*) FILTER (v.error_code IS NOT NULL AND pos IS NOT NULL) AS dropped, max(f.error_code) AS first_error,
   count(*) FILTER (v.error_code IS NULL) = 0 AS rejected
 FROM validated v LEFT JOIN firsts f ON f.batch_id = v.batch_id AND f.n = 1 GROUP BY v.batch_id""",
+        "stamp_server_fields": f"""{_REQUESTED}
+SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, agent AS ua,
+  CASE WHEN batch_id % 3 = 0 THEN 'DE' END AS country, received_at AS timestamp FROM req""",
         "enrich_events": _ENRICHED,
         "stream_ingest": _ENRICHED,
         "resolve_clients": _LISTED,

@@ -10,6 +10,7 @@ from footfall.plans import derived
 from footfall.plans.settings import (
     AS_OF,
     BUYERS_SINCE,
+    FUNNEL_RANGE,
     FUNNELS,
     PERIOD,
     PROFILE_USER,
@@ -196,6 +197,13 @@ _MERGED = f"""SELECT date, metric, dimension, CAST(sum(value) AS BIGINT) AS valu
 
 def oracle_sql() -> dict[str, str]:
     sql = {
+        "filter_period": f"{EV} SELECT id FROM ev WHERE cur",
+        "filter_prev_period": f"{EV} SELECT id FROM ev WHERE prev",
+        "filter_funnel_range": f"""{EV} SELECT id FROM ev
+  WHERE t >= TIMESTAMP '{FUNNEL_RANGE[0]}' AND t < TIMESTAMP '{FUNNEL_RANGE[1]}'""",
+        "literal_contains": f"{EV} SELECT id FROM ev WHERE url LIKE '%\\%20%' ESCAPE '\\'",
+        "non_null_non_empty": f"{EV} SELECT id FROM ev WHERE referrer IS NOT NULL AND referrer <> ''",
+        "event_type_predicate": f"{EV} SELECT id FROM ev WHERE event_type <> 'pageview'",
         "overview_totals": f"{EV} {_TOTALS}",
         "overview_prev_totals": f"""{EV} SELECT count(*) AS total_events, count(DISTINCT session_id) AS unique_sessions,
   count(DISTINCT user_id) AS unique_users FROM ev WHERE prev""",
@@ -208,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_views": f"""{EV} SELECT day AS date, count(*) AS views FROM ev WHERE cur AND event_type = 'pageview'
 GROUP BY day""",
         "available_goals": f"{EV} SELECT DISTINCT event_type FROM ev WHERE cur AND event_type <> 'pageview'",
-        "overview_report": _overview_report("'purchase'"),
+        "overview": _overview_report("'purchase'"),
         "goal_conversion": f"{EV} {_goal_row(chr(39) + 'purchase' + chr(39))}",
         "goal_conversion_pageview": f"{EV} {_goal_row(chr(39) + 'pageview' + chr(39))}",
         "goal_conversion_unseen": f"{EV} {_goal_row(chr(39) + 'never' + chr(39))}",
@@ -221,8 +229,8 @@ GROUP BY day""",
 WHERE cur AND event_type <> 'pageview' GROUP BY 1, 2""",
         "build_sessions": f"{EV_S} SELECT * FROM ses",
         "build_users": f"{EV_U} SELECT * FROM usr",
-        "merge_sessions": f"{EV_S} SELECT * FROM ses",
-        "merge_users": f"{EV_U} SELECT * FROM usr",
+        "upsert_sessions": f"{EV_S} SELECT * FROM ses",
+        "upsert_users": f"{EV_U} SELECT * FROM usr",
         "users_with_counts": f"""{EV_U} SELECT u.id, u.first_seen, u.last_seen, u.country, u.browser, u.device_type,
   count(e.id) AS event_count FROM usr u LEFT JOIN ev e ON e.user_id = u.id GROUP BY ALL""",
         "users_total": f"{EV_U} SELECT count(*) AS total FROM usr",

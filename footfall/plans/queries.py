@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from footfall.functions.text import present
 from footfall.operators import funnel as funnels
-from footfall.operators import goals, overview, retention, state, users
+from footfall.operators import filters, goals, overview, retention, state, users
 from footfall.plans import derived
 from footfall.plans.settings import (
     AS_OF,
     BUYERS_SINCE,
+    FUNNEL_RANGE,
     FUNNELS,
     PERIOD,
     PROFILE_USER,
@@ -34,6 +36,10 @@ def _over_events(job: Callable[..., DataFrame], *args, urls: bool = False) -> Qu
     return run
 
 
+def _ids(rows: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda events: rows(events).select("id")
+
+
 def _on_sessions(job: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     return lambda events: job(state.build_sessions(events))
 
@@ -110,6 +116,14 @@ def _overview_report(events: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     ev = _over_events
     found: dict[str, Query] = {
+        "filter_period": ev(_ids(lambda e: filters.filter_period(e, PERIOD))),
+        "filter_prev_period": ev(_ids(lambda e: filters.filter_prev_period(e, PERIOD))),
+        "filter_funnel_range": ev(_ids(lambda e: funnels.filter_funnel_range(e, *FUNNEL_RANGE))),
+        "literal_contains": ev(
+            _ids(lambda e: e.where(filters.literal_contains(F.col("url"), "%20"))), urls=True
+        ),
+        "non_null_non_empty": ev(_ids(lambda e: e.where(present(F.col("referrer"))))),
+        "event_type_predicate": ev(_ids(lambda e: e.where(filters.is_other_event()))),
         "overview_totals": ev(overview.overview_totals, PERIOD),
         "overview_prev_totals": ev(overview.overview_prev_totals, PERIOD),
         "active_now": ev(_on_sessions(lambda s: overview.active_now(s, AS_OF))),
@@ -120,7 +134,7 @@ def queries() -> dict[str, Query]:
         "countries": ev(overview.countries, PERIOD),
         "daily_views": ev(overview.daily_views, PERIOD),
         "available_goals": ev(overview.available_goals, PERIOD),
-        "overview_report": ev(_overview_report, urls=True),
+        "overview": ev(_overview_report, urls=True),
         "goal_conversion": ev(goals.goal_conversion, PERIOD, "purchase"),
         "goal_conversion_pageview": ev(goals.goal_conversion, PERIOD, "pageview"),
         "goal_conversion_unseen": ev(goals.goal_conversion, PERIOD, "never"),
@@ -129,8 +143,8 @@ def queries() -> dict[str, Query]:
         "event_trend": ev(goals.event_trend, PERIOD),
         "build_sessions": ev(state.build_sessions, urls=True),
         "build_users": ev(state.build_users),
-        "merge_sessions": ev(_merged(state.build_sessions), urls=True),
-        "merge_users": ev(_merged(state.build_users)),
+        "upsert_sessions": ev(_merged(state.build_sessions), urls=True),
+        "upsert_users": ev(_merged(state.build_users)),
         "users_with_counts": ev(_on_users(users.users_with_counts)),
         "users_total": ev(_on_users(lambda u, _: users.users_total(u))),
         "users_page": ev(_on_users(lambda u, e: users.users_page(u, e, 20, 10))),

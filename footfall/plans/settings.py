@@ -15,6 +15,9 @@ USERS_CUTOFF = datetime(2024, 1, 30, 6)
 BUYERS_SINCE = datetime(2024, 1, 29)
 PROFILE_USER = "8"
 
+# The upper bound, a bare date, is exclusive.
+FUNNEL_RANGE = ("2024-01-05", "2024-01-25")
+
 # Name to (steps, since, until).
 FUNNELS = {
     "funnel": ([{"value": "signup"}, {"value": "click", "label": "clicked"}, {"value": "purchase"}], None, None),
@@ -29,8 +32,7 @@ FUNNELS = {
     ),
     "funnel_range": (
         [{"value": "click"}, {"value": "click"}, {"type": "pageview", "value": "http"}, {"value": "purchase"}],
-        "2024-01-05",
-        "2024-01-25",
+        *FUNNEL_RANGE,
     ),
     "funnel_single_step": ([{"value": "error"}], None, "2024-01-20 12:00:00"),
 }

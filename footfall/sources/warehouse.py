@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from footfall.model import EVENTS, METRICS, SESSIONS, USERS
+from footfall.operators.enrich import append_events
 from footfall.operators.filters import instant
 from footfall.operators.retention import Retention, retention_rollup
 from footfall.operators.state import build_sessions, build_users
@@ -109,17 +110,12 @@ class Warehouse:
 
     def append_events(self, events: DataFrame) -> None:
         version = self.current()["version"]
-        (
-            conform(events, EVENTS)
-            .select(*EVENTS.names)
-            .withColumn("event_date", F.col("timestamp").cast("date"))
-            .sortWithinPartitions("event_date", "session_id", "timestamp", "id")
-            .write.mode("append")
-            .partitionBy("event_date")
-            .parquet(f"{self.root}/events/v={version}")
-        )
+        rows = conform(events, EVENTS).select(*EVENTS.names)
+        append_events(rows, f"{self.root}/events/v={version}")
 
-    def _write(self, tables: dict[str, DataFrame], floor: str | None) -> None:
+    def _write(
+        self, tables: dict[str, DataFrame], floor: str | None, absorbed: dict[str, int] | None = None
+    ) -> None:
         record = self.current()
         version = record["version"] + 1
         written = dict(record["tables"])
@@ -129,7 +125,14 @@ class Warehouse:
                 f"{self.root}/{name}/v={version}"
             )
             written[name] = version
-        self._publish({"version": version, "floor": floor, "tables": written})
+        self._publish(
+            {
+                "version": version,
+                "floor": floor,
+                "tables": written,
+                "absorbed": {**record.get("absorbed", {}), **(absorbed or {})},
+            }
+        )
 
     def fold_entities(self, events: DataFrame) -> None:
         """Merge appended events into the session and user tables."""
@@ -141,6 +144,23 @@ class Warehouse:
             self.current()["floor"],
         )
 
+    def absorb_deltas(self, name: str, folder: str) -> None:
+        """Merge a stream's micro-batch deltas of 'sessions' or 'users' into the table.
+
+        The version records the last batch merged, so a batch counts once; the folders of
+        merged batches may then be deleted. Without new batches no version is published.
+        """
+        done = self.current().get("absorbed", {}).get(name, -1)
+        schema = T.StructType([*_SCHEMAS[name].fields, T.StructField("batch_no", T.LongType())])
+        deltas = self.spark.read.schema(schema).parquet(folder).where(F.col("batch_no") > done)
+        newest = deltas.agg(F.max("batch_no")).first()[0]
+        if newest is None:
+            return
+        build = {"sessions": build_sessions, "users": build_users}[name]
+        added = deltas.where(F.col("batch_no") <= newest).drop("batch_no")
+        merged = build(None, self.table(name).unionByName(added), arrival=True)
+        self._write({name: merged}, self.current()["floor"], {name: newest})
+
     def roll_up(self, as_of, retention: Retention = Retention()) -> None:
         """Roll up and prune all tables, or on failure none of them.
 

@@ -156,6 +156,23 @@ def test_paging(tables):
     assert users.users_with_counts(made, events).where("event_count > 0").count() == 2
 
 
+def test_far_pages_equal_near_pages(tables):
+    """Pages found by counting, on seen times that repeat and cluster."""
+    import random
+
+    rng = random.Random(2)
+    made = tables.users(
+        *[
+            {"id": f"u{n:03d}", "last_seen": f"2026-03-{rng.choice([1, 1, 1, 2, 9]):02d} 10:00:{rng.randrange(4):02d}.{rng.randrange(3)}00"}
+            for n in range(200)
+        ]
+    ).select(*users._USER_COLUMNS)
+    for size, skipped in [(5, 0), (100, 50), (1, 117), (20, 190), (5, 200), (50, 99)]:
+        near = users._near_page(made, size, skipped).collect()
+        far = users._far_page(made, size, skipped).collect()
+        assert sorted(near) == sorted(far)
+
+
 def test_profile(tables):
     made = tables.users({"id": "u", "last_seen": "2026-03-01"})
     events = tables.events(
