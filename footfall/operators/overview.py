@@ -152,8 +152,7 @@ def overview(
     return sections
 
 
-# Sections cut to the top rows, and sections given in full.
-_CUT = ["top_pages", "top_referrers", "countries"]
+# Sections given in full; the others are cut to their top rows.
 _WHOLE = ["browsers", "devices", "daily_views", "available_goals"]
 
 
@@ -166,12 +165,11 @@ def overview_report(
     goal: str | None = None,
     limit: int = TOP,
 ) -> DataFrame:
-    """The whole overview as [section, key, value], from one scan of the events.
+    """The whole overview as [section, key, value] in one job.
 
-    Each event contributes one entry per section it counts in; entries combine per task
-    before the single shuffle. Unlike :func:`overview` this is one job, not nine.
+    One scan counts all lists: each event contributes one entry per list, and entries
+    combine per task before the shuffle. A second, narrower scan counts the totals.
     """
-    at, current = F.col("timestamp"), F.col("is_current")
     view = is_pageview()
 
     def entry(section: str, key: Column, when: Column) -> Column:
@@ -180,54 +178,34 @@ def overview_report(
         )
 
     entries = [
-        entry("sessions", F.col("session_id"), current),
-        entry("users", F.col("user_id"), current),
-        entry("prev_sessions", F.col("session_id"), ~current),
-        entry("prev_users", F.col("user_id"), ~current),
-        entry("top_pages", F.col("url"), current & view & F.col("url").isNotNull()),
-        entry("top_referrers", F.col("referrer"), current & present(F.col("referrer"))),
-        entry("browsers", F.col("browser"), current & F.col("browser").isNotNull()),
-        entry("devices", F.col("device_type"), current & F.col("device_type").isNotNull()),
-        entry("countries", F.col("country"), current & present(F.col("country"))),
-        entry("daily_views", iso_date(at), current & view),
-        entry("available_goals", F.col("event_type"), current & is_other_event()),
+        entry("top_pages", F.col("url"), view & F.col("url").isNotNull()),
+        entry("top_referrers", F.col("referrer"), present(F.col("referrer"))),
+        entry("browsers", F.col("browser"), F.col("browser").isNotNull()),
+        entry("devices", F.col("device_type"), F.col("device_type").isNotNull()),
+        entry("countries", F.col("country"), present(F.col("country"))),
+        entry("daily_views", iso_date(F.col("timestamp")), view),
+        entry("available_goals", F.col("event_type"), is_other_event()),
     ]
     counted = (
-        flag_periods(events, period)
+        filter_period(events, period)
         .select(F.explode(F.array(*entries)).alias("entry"))
         .where(F.col("entry").isNotNull())
         .groupBy("entry.section", "entry.key")
         .agg(F.count("*").alias("value"))
     )
 
-    best = Window.partitionBy("section").orderBy(F.desc("value"), F.asc("key"))
-    cut = (
-        counted.where(F.col("section").isin(_CUT))
+    # Each entry of a whole section is a list of its own, so one rank serves both kinds.
+    ranked_list = F.when(
+        F.col("section").isin(_WHOLE), F.concat_ws("=", "section", "key")
+    ).otherwise(F.col("section"))
+    best = Window.partitionBy("list").orderBy(F.desc("value"), F.asc("key"))
+    lists = (
+        counted.withColumn("list", ranked_list)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= limit)
-        .drop("rank")
-    )
-    whole = counted.where(F.col("section").isin(_WHOLE))
-    totals = (
-        counted.where(F.col("section").isin("sessions", "users", "prev_sessions", "prev_users"))
-        .groupBy("section")
-        .agg(F.count("key").alias("distinct"), F.sum("value").alias("events"))
-        .agg(
-            *[
-                F.coalesce(F.max(F.when(F.col("section") == section, F.col(source))), F.lit(0)).alias(
-                    name
-                )
-                for name, section, source in [
-                    ("total_events", "sessions", "events"),
-                    ("unique_sessions", "sessions", "distinct"),
-                    ("unique_users", "users", "distinct"),
-                    ("prev_total_events", "prev_sessions", "events"),
-                    ("prev_unique_sessions", "prev_sessions", "distinct"),
-                    ("prev_unique_users", "prev_users", "distinct"),
-                ]
-            ]
-        )
+        .drop("list", "rank")
     )
+    totals = overview_totals(events, period)
     totals = totals.unpivot([], totals.columns, "key", "value").select(
         F.lit("totals").alias("section"), "key", "value"
     )
@@ -236,7 +214,7 @@ def overview_report(
         F.lit("active_now").alias("key"),
         F.col("active_now").alias("value"),
     )
-    report = totals.unionByName(active).unionByName(cut).unionByName(whole)
+    report = totals.unionByName(active).unionByName(lists)
     report = report.withColumn("value", F.col("value").cast("double"))
     if goal:
         conversion = goals.goal_conversion(events, period, goal).drop("goal")

@@ -17,6 +17,7 @@ from footfall.functions.agents import parse_browser, parse_device
 from footfall.functions.links import extract_utm, merge_utm
 from footfall.model import OPTIONAL_FIELDS, UTM_FIELDS
 from footfall.operators import browser, clients, enrich, ingest
+from footfall.operators.collect import collect_requests
 from footfall.operators.retention import Retention
 from footfall.plans.settings import AS_OF
 from footfall.session import configure, shared_folder
@@ -154,7 +155,7 @@ def with_request(rows: DataFrame) -> DataFrame:
     """Request facts of a batch, dealt out by its number."""
     return rows.select(
         "*",
-        F.expr(deal(ADDRESSES).replace("event_id", "batch_id")).alias("client_ip"),
+        F.expr(by_batch(deal(ADDRESSES))).alias("client_ip"),
         F.expr(deal(AGENTS, "batch_id")).alias("user_agent"),
         F.expr("CASE WHEN batch_id % 3 = 0 THEN 'DE' END").alias("server_country"),
     )
@@ -179,6 +180,12 @@ def _parsed_columns(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _verdicts(rows: DataFrame) -> DataFrame:
+    """One row per body: accepted, or why not."""
+    parsed = ingest.parse_payloads(rows).where("pos IS NULL OR pos = 0")
+    return parsed.select("batch_id", "batch_error")
+
+
 def _validated(rows: DataFrame) -> DataFrame:
     checked = ingest.validate_events(ingest.parse_payloads(rows))
     return checked.withColumn("pos", F.col("pos").cast("bigint")).drop("received_at")
@@ -281,6 +288,25 @@ def _rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clients.rate_limit(sample_callers(read_sample(spark, sf_dir, "events")), *RATE)
 
 
+COLLECT_RATE = (2, timedelta(days=1))
+
+
+def by_batch(sql: str) -> str:
+    """Deal by batch instead of by event."""
+    return sql.replace("event_id", "batch_id")
+
+
+def _collected(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    columns = {k: by_batch(v) for k, v in REQUEST_SQL.items() if k not in ("id", "ts", "client_country")}
+    requests = sample_payloads(spark, sf_dir).select(
+        "*", *[F.expr(sql).alias(name) for name, sql in columns.items()]
+    )
+    limit, window = COLLECT_RATE
+    return collect_requests(
+        requests, trust=TRUSTED, trust_client_country=True, max_requests=limit, window=window
+    )
+
+
 # ---- per-row parts ----------------------------------------------------------------------
 
 
@@ -475,6 +501,7 @@ def _stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "read_payloads": _payload_query(_verdicts),
         "parse_payloads": _payload_query(lambda p: _parsed_columns(ingest.parse_payloads(p))),
         "explode_batches": _payload_query(lambda p: _parsed_columns(ingest.explode_batches(p))),
         "validate_events": _payload_query(_validated_columns),
@@ -492,6 +519,8 @@ def queries() -> dict[str, Query]:
         "resolve_country": _request_query(_country),
         "filter_bots": _request_query(lambda r: clients.filter_bots(r).select("id", "user_agent")),
         "rate_limit": _rate_limit,
+        "collect_events": lambda s, d: _collected(s, d)["events"].select(*_ENRICHED),
+        "collect_limited": lambda s, d: _collected(s, d)["limited"],
         "parse_browser": _event_columns(browser=lambda: parse_browser(F.col("ua"))),
         "parse_device": _event_columns(device_type=lambda: parse_device(F.col("ua"))),
         "mask_ip": _event_columns(masked=lambda: mask_ip(F.col("ip"))),

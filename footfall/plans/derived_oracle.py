@@ -6,6 +6,8 @@ the rules, often only for the values that the derivations deal out.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from footfall.functions.agents import BOT_WORDS
 from footfall.functions.links import DOWNLOAD_EXTENSIONS
 from footfall.model import IDS_PER_BATCH, OPTIONAL_FIELDS, UTM_FIELDS
@@ -117,13 +119,20 @@ def _utm(url: str, name: str) -> str:
 
 _REQUESTED = f"""{_VALIDATED}, req AS (SELECT *, {deal(ADDRESSES).replace('event_id', 'batch_id')} AS client_ip,
   coalesce({deal(AGENTS, 'batch_id')}, '') AS agent FROM validated WHERE error_code IS NULL)"""
+
+
+def _event_columns(ip: str, ua: str, country: str) -> str:
+    utm = [
+        f"coalesce(nullif(e ->> '$.{n}', ''), {_utm(f'(e ->> {chr(39)}$.url{chr(39)})', n)}) AS {n}" for n in UTM_FIELDS
+    ]
+    return f"""batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, nullif(e ->> '$.session_id', '') AS session_id,
+  nullif(e ->> '$.user_id', '') AS user_id, nullif(e ->> '$.url', '') AS url, {_mask(ip)} AS ip, {ua} AS ua,
+  coalesce({country}, nullif(e ->> '$.country', '')) AS country, {_browser(ua)} AS browser, {_device(ua)} AS device_type,
+  received_at AS timestamp, {', '.join(utm)}"""
+
+
 _ENRICHED = f"""{_REQUESTED}
-SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, nullif(e ->> '$.session_id', '') AS session_id,
-  nullif(e ->> '$.user_id', '') AS user_id, nullif(e ->> '$.url', '') AS url, {_mask('client_ip')} AS ip, agent AS ua,
-  CASE WHEN batch_id % 3 = 0 THEN 'DE' ELSE nullif(e ->> '$.country', '') END AS country,
-  {_browser('agent')} AS browser, {_device('agent')} AS device_type, received_at AS timestamp,
-  {', '.join(f"coalesce(nullif(e ->> '$.{n}', ''), {_utm(f'(e ->> {chr(39)}$.url{chr(39)})', n)}) AS {n}" for n in UTM_FIELDS)}
-FROM req"""
+SELECT {_event_columns('client_ip', 'agent', "CASE WHEN batch_id % 3 = 0 THEN 'DE' END")} FROM req"""
 
 # ---- requests ---------------------------------------------------------------------------
 
@@ -149,9 +158,10 @@ def _valid(ip: str) -> str:
     return f"(regexp_full_match({ip}, '{octet}(\\.{octet}){{3}}') OR regexp_full_match({ip}, '[0-9a-f:]+::[0-9a-f]+'))"
 
 
-_HOPS = f"""{_REQUESTS}, hops AS (SELECT *, {_normal('remote_address')} AS peer,
+_HOPS_CTE = f"""hops AS (SELECT *, {_normal('remote_address')} AS peer,
   list_filter(list_transform(string_split(coalesce(x_forwarded_for, ''), ','), lambda x: {_normal('x')}), lambda x: x <> '') AS h
   FROM req)"""
+_HOPS = f"{_REQUESTS}, {_HOPS_CTE}"
 _HEADER = (
     "trim(coalesce(nullif(cf_ipcountry, ''), nullif(x_country_code, ''), nullif(cloudfront_viewer_country, '')))"
 )
@@ -164,28 +174,43 @@ def _hop(back: int) -> str:
   {_COUNTRY} AS country FROM hops"""
 
 
-_LISTED = f"""{_HOPS}, outs AS (SELECT *, list_filter(h, lambda x: NOT {_trusted('x')}) AS o FROM hops),
-picks AS (SELECT *, CASE WHEN len(o) > 0 THEN o[len(o)] ELSE h[1] END AS pick FROM outs)
-SELECT id, CASE WHEN {_trusted('peer')} AND len(h) > 0 AND {_valid('pick')} THEN pick ELSE peer END AS client_ip,
-  CASE WHEN {_trusted('peer')} THEN {_COUNTRY} END AS country FROM picks"""
+_LISTED_CTES = f"""{_HOPS_CTE}, outs AS (SELECT *, list_filter(h, lambda x: NOT {_trusted('x')}) AS o FROM hops),
+picks AS (SELECT *, CASE WHEN len(o) > 0 THEN o[len(o)] ELSE h[1] END AS pick FROM outs)"""
+_LISTED_COLUMNS = f"""CASE WHEN {_trusted('peer')} AND len(h) > 0 AND {_valid('pick')} THEN pick ELSE peer END AS client_ip,
+  CASE WHEN {_trusted('peer')} THEN {_COUNTRY} END AS country"""
+_LISTED = f"{_REQUESTS}, {_LISTED_CTES} SELECT id, {_LISTED_COLUMNS} FROM picks"
 
-_LIMIT, _WINDOW_MS = derived.RATE[0], int(derived.RATE[1].total_seconds() * 1000)
-# One request of every address per round, each with the log of its accepted times.
-RATE_LIMIT_SQL = f"""WITH RECURSIVE calls AS (SELECT {derived.CALLER} AS ip, ts, event_id AS id,
-    CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms FROM events),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY ms, id) AS n FROM calls),
+
+def _fold(source: str, limit: int, window: timedelta) -> str:
+    """CTEs that end in ``fold``: one request of every address per round, with the log of its
+    accepted times. ``source`` names a CTE with ip, ts and id."""
+    ms = int(window / timedelta(milliseconds=1))
+    return f"""numbered AS (SELECT ip, ts, id, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms,
+  row_number() OVER (PARTITION BY ip ORDER BY CAST(floor(epoch_us(ts) / 1000) AS BIGINT), id) AS n FROM {source}),
 fold AS (
   SELECT ip, n, ts, id, [ms] AS log, false AS limited, CAST(0 AS BIGINT) AS retry_after FROM numbered WHERE n = 1
   UNION ALL
-  SELECT ip, n, ts, id, CASE WHEN len(kept) >= {_LIMIT} THEN kept ELSE list_append(kept, ms) END,
-    len(kept) >= {_LIMIT}, CASE WHEN len(kept) >= {_LIMIT}
-      THEN greatest(1, CAST(ceil((kept[1] + {_WINDOW_MS} - ms) / 1000.0) AS BIGINT)) ELSE 0 END
-  FROM (SELECT r.*, list_filter(f.log, lambda x: x > r.ms - {_WINDOW_MS}) AS kept
-        FROM fold f JOIN numbered r ON r.ip = f.ip AND r.n = f.n + 1))
+  SELECT ip, n, ts, id, CASE WHEN len(kept) >= {limit} THEN kept ELSE list_append(kept, ms) END,
+    len(kept) >= {limit}, CASE WHEN len(kept) >= {limit}
+      THEN greatest(1, CAST(ceil((kept[1] + {ms} - ms) / 1000.0) AS BIGINT)) ELSE 0 END
+  FROM (SELECT r.*, list_filter(f.log, lambda x: x > r.ms - {ms}) AS kept
+        FROM fold f JOIN numbered r ON r.ip = f.ip AND r.n = f.n + 1))"""
+
+
+RATE_LIMIT_SQL = f"""WITH RECURSIVE calls AS (SELECT {derived.CALLER} AS ip, ts, event_id AS id FROM events),
+{_fold('calls', *derived.RATE)}
 SELECT ip, ts, id, limited, retry_after FROM fold"""
 
 _BOT = "(?i)" + "|".join(BOT_WORDS)
 
+_BATCH_REQUESTS = {k: derived.by_batch(v) for k, v in derived.REQUEST_SQL.items() if k not in ("id", "ts", "client_country")}
+# Payloads with resolved clients (``who``) and the verdicts on their rates (``fold``).
+_COLLECTED = f"""{_VALIDATED.replace('WITH', 'WITH RECURSIVE', 1)},
+req AS (SELECT batch_id, received_at, {_select(_BATCH_REQUESTS)} FROM bodies),
+{_LISTED_CTES}, who AS (SELECT batch_id, received_at, user_agent, {_LISTED_COLUMNS} FROM picks),
+calls AS (SELECT client_ip AS ip, received_at AS ts, batch_id AS id FROM who),
+{_fold('calls', *derived.COLLECT_RATE)}"""
+
 # ---- browser side -----------------------------------------------------------------------
 
 _CLIENT = f"""WITH {_RAW}, cli AS (SELECT event_id AS id, url, {_select({**derived.LONG_SQL, **derived.OPT_OUT})} FROM raw)"""
@@ -215,6 +240,7 @@ def oracle_sql(ev: str, ev_s: str, ev_u: str) -> dict[str, str]:
     utm = {name: _utm("url", name) for name in UTM_FIELDS}
     merged = {name: f"coalesce(nullif({derived.OWN_UTM}, ''), {sql})" for name, sql in utm.items()}
     return {
+        "read_payloads": f"{_PAYLOADS} SELECT batch_id, batch_error FROM checked",
         "parse_payloads": f"{_PAYLOADS} SELECT {_PARSED_COLUMNS}, batch_error FROM parsed",
         "explode_batches": f"{_PAYLOADS} SELECT {_PARSED_COLUMNS} FROM parsed WHERE batch_error IS NULL",
         "validate_events": f"{_VALIDATED} SELECT batch_id, pos, error_code FROM validated",
@@ -244,6 +270,12 @@ SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, agent AS u
   WHERE user_agent IS NULL OR NOT regexp_matches(user_agent, '{_BOT}')""",
         "rate_limit": RATE_LIMIT_SQL,
         "stream_rate_limit": RATE_LIMIT_SQL,
+        "collect_limited": f"{_COLLECTED} SELECT id AS batch_id, retry_after FROM fold WHERE limited",
+        "collect_events": f"""{_COLLECTED}, kept AS (SELECT v.batch_id, v.received_at, v.pos, v.e, w.client_ip,
+    coalesce(w.user_agent, '') AS agent, w.country AS server FROM validated v JOIN who w ON w.batch_id = v.batch_id
+    JOIN fold f ON f.id = v.batch_id AND NOT f.limited
+  WHERE v.error_code IS NULL AND NOT coalesce(regexp_matches(w.user_agent, '{_BOT}'), false))
+SELECT {_event_columns('client_ip', 'agent', 'server')} FROM kept""",
         "parse_browser": f"{ev} SELECT id, {_browser('ua')} AS browser FROM ev",
         "parse_device": f"{ev} SELECT id, {_device('ua')} AS device_type FROM ev",
         "mask_ip": f"{ev} SELECT id, {_mask('ip')} AS masked FROM ev",
