@@ -165,6 +165,11 @@ def _payload_query(job: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(sample_payloads(spark, sf_dir))
 
 
+def _place():
+    """The place in the batch; -1 for a body without events."""
+    return F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos")
+
+
 def _parsed_columns(parsed: DataFrame) -> DataFrame:
     def text(path: str):
         return F.try_variant_get("event", path, "string")
@@ -172,7 +177,7 @@ def _parsed_columns(parsed: DataFrame) -> DataFrame:
     errors = ["batch_error"] if "batch_error" in parsed.columns else []
     return parsed.select(
         "batch_id",
-        F.col("pos").cast("bigint").alias("pos"),
+        _place(),
         text("$.event_type").alias("event_type"),
         text("$.user_id").alias("user_id"),
         text("$.properties.k").alias("k"),
@@ -192,7 +197,7 @@ def _validated(rows: DataFrame) -> DataFrame:
 
 
 def _validated_columns(rows: DataFrame) -> DataFrame:
-    return _validated(rows).select("batch_id", "pos", "error_code")
+    return _validated(rows).select("batch_id", _place(), "error_code")
 
 
 def _valid_fields(rows: DataFrame) -> DataFrame:
@@ -351,14 +356,18 @@ def _client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _length(text):
+    return F.coalesce(F.length(text), F.lit(0)).cast("bigint")
+
+
 def _sizes(rows: DataFrame) -> DataFrame:
     """Truncated text by its length, plus a property that must survive."""
     kept = F.get_json_object("properties", "$.text")
     return rows.select(
         "id",
         "event_type",
-        F.length("referrer").cast("bigint").alias("referrer_length"),
-        F.length(kept).cast("bigint").alias("text_length"),
+        _length(F.col("referrer")).alias("referrer_length"),
+        _length(kept).alias("text_length"),
         F.get_json_object("properties", "$.n").alias("n"),
         F.get_json_object("properties", "$.k").alias("k"),
     )

@@ -83,7 +83,7 @@ validated AS (SELECT v.*, CASE WHEN json_type(e, '$.properties') NOT IN ('NULL',
   ELSE prop_error END AS error_code
   FROM parsed v LEFT JOIN props p ON v.batch_id = p.batch_id AND v.pos = p.pos)
 """
-_PARSED_COLUMNS = "batch_id, pos, e ->> '$.event_type' AS event_type, e ->> '$.user_id' AS user_id, e ->> '$.properties.k' AS k"
+_PARSED_COLUMNS = "batch_id, coalesce(pos, -1) AS pos, e ->> '$.event_type' AS event_type, e ->> '$.user_id' AS user_id, e ->> '$.properties.k' AS k"
 
 
 def _mask(ip: str) -> str:
@@ -215,8 +215,8 @@ calls AS (SELECT client_ip AS ip, received_at AS ts, batch_id AS id FROM who),
 
 _CLIENT = f"""WITH {_RAW}, cli AS (SELECT event_id AS id, url, {_select({**derived.LONG_SQL, **derived.OPT_OUT})} FROM raw)"""
 _NOT_OPTED = "coalesce(dnt NOT IN ('1', 'yes'), true) AND coalesce(gpc, false) = false"
-_SIZES = """id, left(event_type, 128) AS event_type, length(left(referrer, 8192)) AS referrer_length,
-  length(left(properties ->> '$.text', 4096)) AS text_length, properties ->> '$.n' AS n, properties ->> '$.k' AS k"""
+_SIZES = """id, left(event_type, 128) AS event_type, coalesce(length(left(referrer, 8192)), 0) AS referrer_length,
+  coalesce(length(left(properties ->> '$.text', 4096)), 0) AS text_length, properties ->> '$.n' AS n, properties ->> '$.k' AS k"""
 
 
 def _host(url: str) -> str:
@@ -243,7 +243,7 @@ def oracle_sql(ev: str, ev_s: str, ev_u: str) -> dict[str, str]:
         "read_payloads": f"{_PAYLOADS} SELECT batch_id, batch_error FROM checked",
         "parse_payloads": f"{_PAYLOADS} SELECT {_PARSED_COLUMNS}, batch_error FROM parsed",
         "explode_batches": f"{_PAYLOADS} SELECT {_PARSED_COLUMNS} FROM parsed WHERE batch_error IS NULL",
-        "validate_events": f"{_VALIDATED} SELECT batch_id, pos, error_code FROM validated",
+        "validate_events": f"{_VALIDATED} SELECT batch_id, coalesce(pos, -1) AS pos, error_code FROM validated",
         "valid_event_fields": f"""{_VALIDATED} SELECT batch_id, pos, {_TYPE} AS event_type,
   {', '.join(f"nullif(e ->> '$.{n}', '') AS {n}" for n in OPTIONAL_FIELDS)} FROM validated WHERE error_code IS NULL""",
         "validate_properties": f"""{_VALIDATED} SELECT batch_id, pos, properties_error FROM validated

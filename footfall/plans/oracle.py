@@ -257,10 +257,10 @@ WHERE user_id = '{PROFILE_USER}' ORDER BY t DESC, id DESC LIMIT 100""",
         "prune_users": f"{EV_U} {_kept_users(_ts(USERS_CUTOFF))}",
         "anti_join_users": f"""{EV_U} SELECT * FROM usr WHERE id NOT IN (SELECT DISTINCT user_id FROM ev
   WHERE event_type = 'purchase' AND t >= {_ts(BUYERS_SINCE)} AND user_id IS NOT NULL)""",
-        "retention_rollup": f"""{EV_SU} SELECT 'events' AS table_name, count(*) AS row_count, CAST(NULL AS BIGINT) AS total
+        "retention_rollup": f"""{EV_SU} SELECT 'events' AS table_name, count(*) AS row_count, CAST(0 AS BIGINT) AS total
   FROM ev WHERE t >= {_CUT}
-  UNION ALL SELECT 'sessions', count(*), NULL FROM ses WHERE last_seen_at >= {_CUT}
-  UNION ALL SELECT 'users', count(*), NULL FROM ({_kept_users(_CUT)})
+  UNION ALL SELECT 'sessions', count(*), 0 FROM ses WHERE last_seen_at >= {_CUT}
+  UNION ALL SELECT 'users', count(*), 0 FROM ({_kept_users(_CUT)})
   UNION ALL SELECT 'metrics', count(*), CAST(sum(value) AS BIGINT) FROM ({_METRICS}) WHERE date > '{_ROLLUP_DAY}'""",
     }
     sql.update(derived.oracle_sql(EV, EV_S, EV_U))

@@ -100,7 +100,7 @@ def _retention_rollup(events: DataFrame) -> DataFrame:
         rows.agg(
             F.lit(name).alias("table_name"),
             F.count("*").alias("row_count"),
-            (F.sum("value") if name == "metrics" else F.lit(None).cast("bigint")).alias("total"),
+            (F.sum("value") if name == "metrics" else F.lit(0).cast("bigint")).alias("total"),
         )
         for name, rows in after.items()
     ]

@@ -2,6 +2,7 @@
 
 import os
 
+import pandas
 import pytest
 
 import __spark_entry__ as contract
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pandas.isna(value):
         return None
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return bool(value)
