@@ -26,7 +26,6 @@ from footfall.sources.sample import (
     AGENTS,
     EVENT_SQL,
     SESSION,
-    URL_SQL,
     deal,
     model_events,
     read_sample,

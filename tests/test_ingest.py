@@ -117,6 +117,9 @@ def test_bodies(spark):
         "[" + ",".join([one] * 51) + "]",
         ' \n [ {"event_type":"a"} , 7, null, "x", [] ]',
         "['single']",
+        '["{quoted", "[1]"]',
+        " " * 500 + one,
+        '{"event_type":"t","properties":"{}"}',
         '{"event_type":"a","event_type":"b"}',
     ) == [
         [None],
@@ -134,6 +137,9 @@ def test_bodies(spark):
         ["BATCH_TOO_LARGE"],
         [None] + ["INVALID_EVENT_OBJECT"] * 4,
         ["BAD_REQUEST"],
+        ["INVALID_EVENT_OBJECT"] * 2,
+        [None],
+        ["INVALID_PROPERTIES"],
         [None],
     ]
 
