@@ -184,37 +184,34 @@ def cohort_retention(
 ) -> DataFrame:
     """Users of each cohort week that come back 0 to ``weeks`` weeks later.
 
-    Sessions are first reduced to the earliest and latest start per user and week of the
-    calendar. A user's own weeks change once in seven days, so those two starts touch every
-    own week that the sessions between them do: nothing is lost, and a user with a large
-    share of all sessions shrinks to two rows per calendar week before the join.
+    A base of bounded size goes to the sessions as a broadcast, which drops all others
+    before any shuffle. For a larger base, sessions are first reduced to the earliest and
+    latest start per user and week of the calendar. A user's own weeks change once in seven
+    days, so those two starts touch every own week that the sessions between them do:
+    nothing is lost, and a user with a large share of all sessions shrinks to two rows per
+    calendar week before the join.
     """
     cohort = recent_users_base(users, base).select(
         F.col("id").alias("user_id"),
         _micros("first_seen").alias("first_micros"),
         week_label(F.col("first_seen"), week_system).alias("cohort_week"),
     )
-    if base is not None and base <= BROADCAST_USERS:
-        cohort_side = F.broadcast(cohort)
-    else:
-        cohort_side = cohort
     started = sessions.where(F.col("user_id").isNotNull()).select(
         "user_id", _micros("started_at").alias("micros")
     )
-    bounds = started.groupBy("user_id", F.floor(F.col("micros") / _WEEK_MICROS).alias("calendar_week")).agg(
-        F.min("micros").alias("earliest"), F.max("micros").alias("latest")
-    )
-    week_num = F.expr(f"(micros - first_micros) div {_WEEK_MICROS}").cast("int")
-    active = (
-        bounds.join(cohort_side, "user_id")
-        .select(
-            "user_id",
-            "cohort_week",
-            "first_micros",
-            F.explode(F.array("earliest", "latest")).alias("micros"),
+    if base is not None and base <= BROADCAST_USERS:
+        matched = started.join(F.broadcast(cohort), "user_id")
+    else:
+        calendar_week = F.floor(F.col("micros") / _WEEK_MICROS).alias("calendar_week")
+        bounds = started.groupBy("user_id", calendar_week).agg(
+            F.array(F.min("micros"), F.max("micros")).alias("bounds")
         )
-        .select("user_id", "cohort_week", week_num.alias("week_num"))
-        .where(F.col("week_num").between(0, weeks))
+        matched = bounds.join(cohort, "user_id").select(
+            "user_id", "cohort_week", "first_micros", F.explode("bounds").alias("micros")
+        )
+    week_num = F.expr(f"(micros - first_micros) div {_WEEK_MICROS}").cast("int")
+    active = matched.select("user_id", "cohort_week", week_num.alias("week_num")).where(
+        F.col("week_num").between(0, weeks)
     )
     retained = active.groupBy("cohort_week", "week_num").agg(
         F.count_distinct("user_id").alias("retained")
