@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontaminate, language, line_dedup, simhash
+from footfall.llm import bpe, decontaminate, language, line_dedup, quality, simhash
 from footfall.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_learned(read(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_learned(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "coverage", "n_tiles")
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op1_byte_bpe": op1_byte_bpe,
         "op3_simhash": op3_simhash,
         "op4_language": op4_language,
+        "op5_quality": op5_quality,
         "op6_decontamination": op6_decontamination,
         "op8_line_dedup": op8_line_dedup,
     }
