@@ -109,7 +109,8 @@ def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
 
     Of the rows that score above a threshold, the unlabelled share over the positive share bounds the prior
     from above; the smallest such bound over thresholds is taken, with a margin for the number of rows. The
-    classifier scores the half of each set that it has not learned from.
+    classifier scores the half of each set that it has not learned from. Two standard errors are taken off: a
+    prior too high would leave the risk of negatives below zero before they are told apart.
     """
     fit_p, test_p, fit_u, test_u = positives[::2], positives[1::2], unlabelled[::2], unlabelled[1::2]
     if not len(test_p) or not len(test_u):
@@ -122,7 +123,8 @@ def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
     margin = np.sqrt(np.log(200) / 2) * (1 / np.sqrt(len(high_u)) + 1 / np.sqrt(len(high_p)))
     bound = (above_u + margin) / above_p
     best = int(bound.argmin())
-    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+    spread = 2 * np.sqrt(above_u[best] * (1 - above_u[best]) / len(high_u) + above_p[best] * (1 - above_p[best]) / len(high_p))
+    return float(np.clip((above_u[best] - spread) / above_p[best], 0.01, 0.99))
 
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[np.ndarray, float]:
