@@ -95,6 +95,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def recounted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the number of characters of the text as it is now."""
+    return docs.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+
+
 def _line_rows(min_chars: int):
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

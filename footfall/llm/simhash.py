@@ -84,6 +84,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(members, "fingerprint").select("doc_id", "version", "fingerprint", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
+    """``docs`` with one row of each component, the one of the smallest id (then of the smallest text hash).
+
+    Rows that are equal in id and text are one row. Where no row of a component has an id, one row of each
+    of its fingerprints stays.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, budget)
+    # Rows of one fingerprint meet in map tasks first, those of a component after that.
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
+    chosen = stored(
+        found.groupBy("component_id", "fingerprint")
+        .agg(F.min(rank).alias("low"))
+        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
+        .agg(F.min("low").alias("low"))
+        .select(F.col("low.doc_id").alias("k_doc"), F.col("low.version").alias("k_version")),
+        "simhash-chosen",
+    )
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("own"), F.xxhash64(F.col(text_col).cast("binary")).alias("version"))
+    match = F.col("own").eqNullSafe(F.col("k_doc")) & (F.col("version") == F.col("k_version"))
+    kept = whole.join(chosen, match)
+    return kept.groupBy("own", "version").agg(F.first("doc").alias("doc")).select("doc.*")
+
+
 def _fingerprint_rows(width: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
