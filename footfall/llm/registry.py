@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontaminate, language, line_dedup, quality, simhash
+from footfall.llm import bpe, decontaminate, language, line_dedup, quality, simhash, urls
 from footfall.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read(spark, sf_dir, "documents"), bpe.public_codec())
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.filter_urls(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -42,6 +47,29 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP2_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut
+), parts AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split
+), rules(host, path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), fit AS (
+  SELECT p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.host, p.path
+)
+SELECT p.page_id, p.host, p.path, f.rule,
+       coalesce(f.verdict, CASE WHEN len(list_intersect(string_split_regex(p.host, '[.-]'),
+         ['casino', 'bets', 'poker', 'ads', 'spam', 'adult', 'porn', 'pills', 'viagra'])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN fit f ON p.host = f.host AND p.path = f.path
+"""
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT d.rowid AS r, d.doc_id, u.pos, d.parts[u.pos] AS line,
@@ -63,6 +91,7 @@ FROM judged GROUP BY r, doc_id
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_url_filter": op2_url_filter,
         "op3_simhash": op3_simhash,
         "op4_language": op4_language,
         "op5_quality": op5_quality,
@@ -72,4 +101,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op2_url_filter": OP2_SQL, "op8_line_dedup": OP8_SQL}
