@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontaminate, language, line_dedup, quality, simhash, urls
+from footfall.llm import bpe, decontaminate, embeddings, language, line_dedup, quality, simhash, urls
 from footfall.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "n_tiles")
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select(
@@ -96,6 +100,7 @@ def queries() -> dict[str, Query]:
         "op4_language": op4_language,
         "op5_quality": op5_quality,
         "op6_decontamination": op6_decontamination,
+        "op7_embeddings": op7_embeddings,
         "op8_line_dedup": op8_line_dedup,
     }
 
