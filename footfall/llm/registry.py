@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontaminate, embeddings, language, line_dedup, quality, simhash, substrings, urls
+from footfall.llm import bpe, decontaminate, embeddings, language, line_dedup, lm, quality, simhash, substrings, urls
 from footfall.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_learned(read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.without_repeats(read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "sources")
@@ -107,6 +111,7 @@ def queries() -> dict[str, Query]:
         "op6_decontamination": op6_decontamination,
         "op7_embeddings": op7_embeddings,
         "op8_line_dedup": op8_line_dedup,
+        "op9_lm_score": op9_lm_score,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
