@@ -15,7 +15,13 @@ SLICE_ROWS = 2_000
 SLICE_BYTES = 8 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts be a few MB; Spark's 64 MB, times buffers and workers, crowd small executors."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
