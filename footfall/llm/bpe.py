@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
+from hashlib import sha256
 from struct import pack
 
 import numpy as np
@@ -12,13 +13,12 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from footfall.llm.frames import slices, texts
 
 # Pre-tokens whose ids a task remembers, and the longest that it does.
-MEMO_TOKENS = 500_000
-PAIR_MEMO = 1_000_000
+MEMO_TOKENS = 300_000
+PAIR_MEMO = 300_000
 MEMO_CHARS = 64
 
 
@@ -232,11 +232,26 @@ def decode_ids(encoded: DataFrame, codec: Codec) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decode, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
-def token_digests(docs: DataFrame, codec: Codec) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them."""
-    return decode_ids(encode_texts(docs, codec), codec).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+def token_digests(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_tokens`` and the SHA-256 of the ids and of the bytes decoded from them.
+
+    What `encode_texts` and `decode_ids` give, digested in the same worker, so ids and bytes need not leave it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(codec)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sizes, hashes, decoded = [], [], []
+            for text in batch.column("text").to_pylist():
+                (ids,) = shared.value.encode([_text(text)])
+                sizes.append(len(ids) // 4)
+                hashes.append(sha256(ids).hexdigest())
+                decoded.append(sha256(shared.value.decode(ids)).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return texts(docs, id_col, text_col).mapInArrow(digest, schema)
 
 
 def _text(raw: bytes | None) -> str:
