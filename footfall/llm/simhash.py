@@ -199,6 +199,9 @@ def _linked(values: np.ndarray, masks: np.ndarray, blocks: np.ndarray, budget: i
     group = np.concatenate(([0], np.cumsum((masks[1:] != masks[:-1]) | (blocks[1:] != blocks[:-1]))))
     order = np.lexsort((keys, group))
     keys, group = keys[order], group[order]
+    # Groups cut in another order may meet in the same bits; a fingerprint counts once.
+    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (group[1:] != group[:-1])))
+    keys, group = keys[fresh], group[fresh]
     ends = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1
     starts = np.concatenate(([0], ends[:-1]))
     crowd = ends - starts > 1
