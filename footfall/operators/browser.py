@@ -4,25 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from footfall.functions.links import file_extension, host_of, is_download
 from footfall.functions.properties import truncate_properties
 from footfall.functions.text import none_if_empty, utf16_left
 from footfall.model import EVENT_TYPE_MAX, PROP_STRING_MAX, REFERRER_MAX, URL_MAX
 
-# Signals that mean "do not track".
-DNT_VALUES = ["1", "yes", "true"]
-GPC_VALUES = ["1", "true"]
+# Texts that mean "do not track"; the boolean true and the number 1 do as well.
+DNT_VALUES = ["1", "yes"]
+GPC_VALUES = ["1"]
 
 
 def drop_opted_out(events: DataFrame, dnt: str = "dnt", gpc: str = "gpc") -> DataFrame:
     """Remove events of visitors with Do Not Track or Global Privacy Control.
 
-    Signals may be text, numbers or booleans; all compare by their text form.
+    Signals may be text, numbers or booleans and compare by their type: the text 'true' is no opt-out.
     """
 
     def signalled(column: str, values: list[str]) -> Column:
-        return F.coalesce(F.col(column).cast("string").isin(values), F.lit(False))
+        kind = events.schema[column].dataType
+        if isinstance(kind, T.BooleanType):
+            said = F.col(column)
+        elif isinstance(kind, T.NumericType):
+            said = F.col(column) == 1
+        else:
+            said = F.col(column).cast("string").isin(values)
+        return F.coalesce(said, F.lit(False))
 
     return events.where(~signalled(dnt, DNT_VALUES) & ~signalled(gpc, GPC_VALUES))
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.addresses import mask_ip
 from footfall.functions.agents import parse_browser, parse_device
 from footfall.functions.links import extract_utm, merge_utm
-from footfall.functions.text import none_if_empty
+from footfall.functions.text import none_if_empty, trim_blanks
 from footfall.model import EVENTS, IDS_PER_BATCH, UTM_FIELDS
 from footfall.operators.clients import resolve_country
+from footfall.operators.filters import instant
 
 
 def stamp_server_fields(valid: DataFrame, trust_client_country: bool = False) -> DataFrame:
@@ -58,24 +61,33 @@ def enrich_events(valid: DataFrame, trust_client_country: bool = False) -> DataF
     return write_events(stamp_server_fields(valid, trust_client_country))
 
 
-def track_events(calls: DataFrame) -> DataFrame:
+def _named() -> Column:
+    return F.coalesce(trim_blanks(F.col("name")) != "", F.lit(False))
+
+
+def refused_calls(calls: DataFrame) -> DataFrame:
+    """The tracking calls that `track_events` leaves out: those whose name is NULL or blank."""
+    return calls.where(~_named())
+
+
+def track_events(calls: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Server-side tracking calls to table rows.
 
     ``calls`` has id (arrival number), name, properties, session_id, user_id, url, referrer,
-    ip, ua, country and called_at. Empty context becomes NULL and blank names are refused;
-    a name is stored as given, and no length limits apply.
+    ip, ua, country and called_at. Empty context becomes NULL; a call without a time takes
+    ``as_of``, by default the time (UTC) at which this is called; calls with a blank name are left out (see `refused_calls`). A name is
+    stored as given, and no length limits apply.
     """
     context = ["session_id", "user_id", "url", "referrer", "ip", "ua", "country"]
-    name = F.when(
-        F.col("name").rlike(r"\S"), F.col("name")
-    ).otherwise(F.raise_error(F.lit("an event needs a non-blank name")))
+    now = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+    called_at = F.coalesce(F.col("called_at").cast("timestamp_ntz"), instant(now))
     return write_events(
-        calls.select(
+        calls.where(_named()).select(
             "id",
-            name.alias("event_type"),
+            F.col("name").alias("event_type"),
             *[none_if_empty(F.col(c)).alias(c) for c in context],
             "properties",
-            F.col("called_at").cast("timestamp_ntz").alias("timestamp"),
+            called_at.alias("timestamp"),
             *[F.lit(None).cast("string").alias(c) for c in UTM_FIELDS],
         )
     )

@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.text import iso_date
@@ -39,8 +39,16 @@ def expired_events(events: DataFrame, cutoff: datetime) -> DataFrame:
     return prune_dates(events, None, cutoff).where(F.col("timestamp") < instant(cutoff))
 
 
+def _not_before(column: str, cutoff: datetime) -> Column:
+    """Pruning removes what is older; a row without a time is not."""
+    return F.coalesce(F.col(column) >= instant(cutoff), F.lit(True))
+
+
 def prune_events(events: DataFrame, cutoff: datetime) -> DataFrame:
-    return prune_dates(events, cutoff, None).where(F.col("timestamp") >= instant(cutoff))
+    """Drop events older than ``cutoff``; those without a time stay."""
+    if "event_date" in events.columns:
+        events = events.where(F.col("event_date").isNull() | (F.col("event_date") >= F.lit(cutoff.date())))
+    return events.where(_not_before("timestamp", cutoff))
 
 
 def _daily(events: DataFrame, metric) -> DataFrame:
@@ -83,7 +91,7 @@ def prune_metrics(metrics: DataFrame, cutoff: datetime) -> DataFrame:
 
 
 def prune_sessions(sessions: DataFrame, cutoff: datetime) -> DataFrame:
-    return sessions.where(F.col("last_seen_at") >= instant(cutoff))
+    return sessions.where(_not_before("last_seen_at", cutoff))
 
 
 def prune_users(users: DataFrame, retained: DataFrame, cutoff: datetime) -> DataFrame:
@@ -91,7 +99,7 @@ def prune_users(users: DataFrame, retained: DataFrame, cutoff: datetime) -> Data
 
     Only stale users meet the events, each event user once.
     """
-    stale = F.col("last_seen") < instant(cutoff)
+    stale = ~_not_before("last_seen", cutoff)
     active = retained.select(F.col("user_id").alias("id")).where("id IS NOT NULL").distinct()
     kept = users.where(stale).join(active, "id", "left_semi").select(*users.columns)
     return users.where(~stale).unionByName(kept)

@@ -91,9 +91,13 @@ def _far_page(users: DataFrame, rows: int, skipped: int) -> DataFrame:
         {"_day": F.col("last_seen").cast("date"), "_second": F.date_trunc("second", "last_seen")}
     )
     days = _narrow(keyed, "_day", F.lit(0), rows, skipped).withColumnRenamed("start", "_base")
-    of_days = keyed.join(F.broadcast(days), "_day")
+    # Users without a time are one day and one second of their own, the last.
+    days = days.withColumnRenamed("_day", "_of_day")
+    of_days = keyed.join(F.broadcast(days), F.col("_day").eqNullSafe(F.col("_of_day"))).drop("_of_day")
     seconds = _narrow(of_days, "_second", F.col("_base"), rows, skipped, "_day")
-    ranked = keyed.join(F.broadcast(seconds), ["_day", "_second"]).withColumn(
+    seconds = seconds.withColumnsRenamed({"_day": "_of_day", "_second": "_of_second"})
+    at = F.col("_day").eqNullSafe(F.col("_of_day")) & F.col("_second").eqNullSafe(F.col("_of_second"))
+    ranked = keyed.join(F.broadcast(seconds), at).withColumn(
         "_rank",
         F.col("start")
         + F.row_number().over(
@@ -103,14 +107,16 @@ def _far_page(users: DataFrame, rows: int, skipped: int) -> DataFrame:
     return ranked.where(F.col("_rank").between(skipped + 1, skipped + rows)).select(*users.columns)
 
 
-def users_page(users: DataFrame, events: DataFrame, limit=None, offset=None) -> DataFrame:
-    """One page of users, most recently seen first.
+def users_page(
+    users: DataFrame, events: DataFrame, limit=None, offset=None, near_offset: int = NEAR_OFFSET
+) -> DataFrame:
+    """One page of users, most recently seen first; users without a time come last.
 
     The page is cut before any event is read; its at most 100 users then go to the events
     as a broadcast, so counting them shuffles next to nothing.
     """
     rows, skipped = check_page(limit, offset)
-    cut = _near_page if skipped <= NEAR_OFFSET else _far_page
+    cut = _near_page if skipped <= near_offset else _far_page
     page = cut(users.select(*_USER_COLUMNS), rows, skipped)
     wanted = F.broadcast(page.select(F.col("id").alias("user_id")))
     counts = (

@@ -19,6 +19,7 @@ from footfall.model import OPTIONAL_FIELDS, UTM_FIELDS
 from footfall.operators import browser, clients, enrich, ingest
 from footfall.operators.collect import collect_requests
 from footfall.operators.retention import Retention
+from footfall.operators.state import build_sessions
 from footfall.plans.settings import AS_OF
 from footfall.session import configure, shared_folder
 from footfall.sources.sample import (
@@ -445,6 +446,37 @@ def _warehouse_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("metrics")
 
 
+LATE_CUTOFF = AS_OF - timedelta(days=20)
+LATE_IDS = 10_000_000
+
+
+def _warehouse_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive below the floor, before folds, deltas, a vacuum and the next rollup: all metrics."""
+    configure(spark)
+    store = Warehouse(spark, shared_folder(spark, "warehouse"))
+    rows = sample_events(spark, sf_dir)
+    store.append_events(rows)
+    store.fold_entities(store.events())
+    store.roll_up(AS_OF, Retention(keep_raw_days=20))
+    late = rows.where((F.col("id") % 7 == 0) & (F.col("timestamp") < F.lit(LATE_CUTOFF).cast("timestamp_ntz")))
+    store.append_events(late.withColumn("id", F.col("id") + LATE_IDS))
+    store.fold_entities(store.events())
+    deltas = build_sessions(late, arrival=True).withColumn("batch_no", F.lit(0))
+    folder = shared_folder(spark, "deltas")
+    deltas.write.partitionBy("batch_no").parquet(folder)
+    store.absorb_deltas("sessions", folder)
+    store.vacuum()
+    visible = store.events().where(F.col("id") >= LATE_IDS).agg(F.count("*").alias("value"))
+    seen = visible.select(
+        F.lit("").alias("date"), F.lit("late").alias("metric"), F.lit("").alias("dimension"), "value"
+    )
+    # Counted before the next rollup takes these events.
+    seen = spark.createDataFrame(seen.collect(), seen.schema)
+    store.roll_up(AS_OF, Retention(keep_raw_days=10))
+    store.vacuum()
+    return store.table("metrics").unionByName(seen)
+
+
 # ---- streams ----------------------------------------------------------------------------
 
 
@@ -541,6 +573,7 @@ def queries() -> dict[str, Query]:
         "append_events": _append_events,
         "track_events": _track_events,
         "warehouse_rollup": _warehouse_rollup,
+        "warehouse_late_events": _warehouse_late_events,
         "stream_ingest": _stream_ingest,
         "stream_sessions": _stream_sessions,
         "stream_users": _stream_users,

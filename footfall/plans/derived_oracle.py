@@ -292,6 +292,11 @@ SELECT {_event_columns('client_ip', 'agent', 'server')} FROM kept""",
         "warehouse_rollup": f"""{ev} SELECT day AS date,
   CASE WHEN event_type = 'pageview' THEN 'pageviews' ELSE event_type END AS metric, '' AS dimension, count(*) AS value
 FROM ev WHERE t < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY GROUP BY 1, 2""",
+        "warehouse_late_events": f"""{ev}, twice AS (SELECT *, false AS late FROM ev WHERE t < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY
+  UNION ALL SELECT *, true FROM ev WHERE t < TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY AND id % 7 = 0)
+SELECT day AS date, CASE WHEN event_type = 'pageview' THEN 'pageviews' ELSE event_type END AS metric, '' AS dimension,
+  count(*) AS value FROM twice GROUP BY 1, 2
+UNION ALL SELECT '', 'late', '', count(*) FROM twice WHERE late""",
         "stream_sessions": f"{ev_s} SELECT * FROM ses",
         "stream_users": f"{ev_u} SELECT * FROM usr",
         "stream_active_now": f"""{ev}, marks AS (SELECT session_id, unnest(range(date_trunc('minute', t) + INTERVAL 1 MINUTE,

@@ -133,48 +133,50 @@ def _overview_report(goal: str) -> str:
 
 
 def _funnel(steps: list[dict], since: str | None = None, until: str | None = None) -> str:
-    """The textbook form: each step joins the events again with the step before."""
-    ctes, selects = [], []
-    bounds = "e.session_id <> ''"
+    """A walk over each session's events in order that moves on when an event is the step waited for."""
+    bounds = "session_id <> ''"
     if since:
-        bounds += f" AND e.t >= TIMESTAMP '{since}'"
+        bounds += f" AND t >= TIMESTAMP '{since}'"
     if until:
-        bounds += f" AND e.t {'<' if len(until) == 10 else '<='} TIMESTAMP '{until}'"
+        bounds += f" AND t {'<' if len(until) == 10 else '<='} TIMESTAMP '{until}'"
+    wanted, labels = [], []
     for i, step in enumerate(steps):
         value = step["value"].replace("'", "''")
-        match = (
-            f"e.event_type = 'pageview' AND contains(e.url, '{value}')"
-            if step.get("type") == "pageview"
-            else f"e.event_type = '{value}'"
-        )
-        join = (
-            f"JOIN s{i - 1} p ON e.session_id = p.session_id AND (e.t > p.t OR (e.t = p.t AND e.id > p.id))"
-            if i
-            else ""
-        )
-        ctes.append(
-            f"s{i} AS (SELECT session_id, t, id FROM (SELECT e.session_id, e.t, e.id, row_number() OVER "
-            f"(PARTITION BY e.session_id ORDER BY e.t, e.id) AS n FROM ev e {join} WHERE {bounds} AND {match}) WHERE n = 1)"
-        )
-        label = step.get("label", step["value"]).replace("'", "''")
-        count = f"(SELECT count(*) FROM s{i})"
-        before = f"(SELECT count(*) FROM s{i - 1})" if i else "0"
-        selects.append(
-            f"SELECT {i} AS step_index, '{label}' AS step, {count} AS count, CAST(CASE WHEN {before} > 0 "
-            f"THEN floor((1 - {count} / CAST({before} AS DOUBLE)) * 100 + 0.5) ELSE 0 END AS BIGINT) AS dropoff"
-        )
-    return f"{EV}, {', '.join(ctes)} {' UNION ALL '.join(selects)}"
+        meets = f"event_type = '{value}'"
+        if step.get("type") == "pageview":
+            meets = f"event_type = 'pageview' AND contains(url, '{value}')"
+        wanted.append(f"coalesce({meets}, false)")
+        labels.append(f"({i}, '{step.get('label', step['value']).replace(chr(39), chr(39) * 2)}')")
+    return f"""WITH RECURSIVE {EV.removeprefix("WITH ")}, ordered AS (
+  SELECT session_id, [{", ".join(wanted)}] AS fits, row_number() OVER (PARTITION BY session_id ORDER BY t, id) AS place
+  FROM ev WHERE {bounds}
+), useful AS (
+  SELECT session_id, fits, row_number() OVER (PARTITION BY session_id ORDER BY place) AS place
+  FROM ordered WHERE list_bool_or(fits)
+), walk AS (
+  SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS done FROM useful
+  UNION ALL
+  SELECT w.session_id, u.place, w.done + CASE WHEN coalesce(u.fits[w.done + 1], false) THEN 1 ELSE 0 END
+  FROM walk w JOIN useful u ON u.session_id = w.session_id AND u.place = w.place + 1
+), reach AS (SELECT session_id, max(done) AS done FROM walk GROUP BY session_id),
+named(step_index, step) AS (VALUES {", ".join(labels)}),
+totals AS (SELECT step_index, step, (SELECT count(*) FROM reach WHERE done > step_index) AS count FROM named),
+paired AS (SELECT *, lag(count, 1, 0) OVER (ORDER BY step_index) AS before FROM totals)
+SELECT step_index, step, count,
+  CAST(CASE WHEN before = 0 THEN 0 ELSE floor((1 - count / CAST(before AS DOUBLE)) * 100 + 0.5) END AS BIGINT) AS dropoff
+FROM paired"""
 
 
 def _cohorts(label: str, base: int | None) -> str:
+    """Retained users by grouping pairs of user and week, joined with the sizes of the cohorts."""
     limit = f"ORDER BY first_seen DESC, id LIMIT {base}" if base is not None else ""
-    return f"""{EV_SU}, base AS (SELECT id, first_seen, {label} AS cohort_week FROM usr {limit}),
-act AS (SELECT b.id, b.cohort_week,
-    CAST(trunc((epoch_us(s.started_at) - epoch_us(b.first_seen)) / 604800000000.0) AS INTEGER) AS week_num
-  FROM base b JOIN ses s ON s.user_id = b.id)
-SELECT cohort_week, (SELECT count(DISTINCT id) FROM base WHERE base.cohort_week = act.cohort_week) AS cohort_size,
-  week_num, count(DISTINCT id) AS retained FROM act WHERE week_num BETWEEN 0 AND 8 GROUP BY cohort_week, week_num"""
-
+    return f"""{EV_SU}, member AS (SELECT id AS user_id, epoch_us(first_seen) AS joined, {label} AS cohort_week
+  FROM (SELECT * FROM usr {limit})),
+sizes AS (SELECT cohort_week, count(*) AS cohort_size FROM member GROUP BY 1),
+visits AS (SELECT DISTINCT user_id, cohort_week, CAST(trunc((epoch_us(started_at) - joined) / 604800000000.0) AS INTEGER) AS week_num
+  FROM ses JOIN member USING (user_id))
+SELECT cohort_week, any_value(cohort_size) AS cohort_size, week_num, count(*) AS retained
+FROM visits JOIN sizes USING (cohort_week) WHERE week_num >= 0 AND week_num <= 8 GROUP BY cohort_week, week_num"""
 
 
 _CUT = _ts(RETENTION.cutoff(AS_OF))
@@ -182,9 +184,14 @@ _METRICS = f"""SELECT day AS date, CASE WHEN event_type = 'pageview' THEN 'pagev
   '' AS dimension, count(*) AS value FROM ev WHERE t < {_CUT} GROUP BY 1, 2"""
 
 
-def _kept_users(cut: str) -> str:
-    return f"""SELECT * FROM usr WHERE NOT (last_seen < {cut} AND id NOT IN
-  (SELECT DISTINCT user_id FROM ev WHERE t >= {cut} AND user_id IS NOT NULL))"""
+def _kept_users(cut: str, users: str = "usr") -> str:
+    return f"""SELECT u.* FROM {users} u WHERE coalesce(u.last_seen >= {cut}, true)
+  OR EXISTS (SELECT 1 FROM ev e WHERE e.user_id = u.id AND e.t >= {cut})"""
+
+
+def _untimed(table: str, column: str) -> str:
+    return f"""(SELECT * REPLACE (CASE WHEN right(CAST(id AS VARCHAR), 1) NOT IN ('3', '4', '5') THEN {column} END AS {column})
+  FROM {table})"""
 
 
 _ROLLUP_DAY = RETENTION.rollup_cutoff(AS_OF).date().isoformat()
@@ -237,6 +244,9 @@ WHERE cur AND event_type <> 'pageview' GROUP BY 1, 2""",
         "users_page": f"""{EV_U} SELECT u.id, u.first_seen, u.last_seen, u.country, u.browser, u.device_type,
   count(e.id) AS event_count FROM usr u LEFT JOIN ev e ON e.user_id = u.id GROUP BY ALL
   ORDER BY u.last_seen DESC, u.id LIMIT 20 OFFSET 10""",
+        "users_page_far": f"""{EV_U} SELECT u.id, u.first_seen, u.last_seen, u.country, u.browser, u.device_type,
+  count(e.id) AS event_count FROM {_untimed("usr", "last_seen")} u LEFT JOIN ev e ON e.user_id = u.id GROUP BY ALL
+  ORDER BY u.last_seen DESC NULLS LAST, u.id LIMIT 100 OFFSET 30""",
         "user_profile": f"{EV_U} SELECT * FROM usr WHERE id = '{PROFILE_USER}'",
         "user_profile_events": f"""{EV} SELECT event_type, url, properties, t AS timestamp FROM ev
 WHERE user_id = '{PROFILE_USER}' ORDER BY t DESC, id DESC LIMIT 100""",
@@ -255,13 +265,18 @@ WHERE user_id = '{PROFILE_USER}' ORDER BY t DESC, id DESC LIMIT 100""",
         "prune_events": f"{EV} SELECT id, event_type, user_id, t AS timestamp FROM ev WHERE t >= {_CUT}",
         "prune_sessions": f"{EV_S} SELECT * FROM ses WHERE last_seen_at >= {_CUT}",
         "prune_users": f"{EV_U} {_kept_users(_ts(USERS_CUTOFF))}",
-        "anti_join_users": f"""{EV_U} SELECT * FROM usr WHERE id NOT IN (SELECT DISTINCT user_id FROM ev
-  WHERE event_type = 'purchase' AND t >= {_ts(BUYERS_SINCE)} AND user_id IS NOT NULL)""",
-        "retention_rollup": f"""{EV_SU} SELECT 'events' AS table_name, count(*) AS row_count, CAST(0 AS BIGINT) AS total
+        "prune_events_untimed": f"""{EV} SELECT id, event_type, t AS timestamp FROM {_untimed("ev", "t")}
+  WHERE coalesce(t >= {_CUT}, true)""",
+        "prune_sessions_untimed": f"""{EV_S} SELECT * FROM {_untimed("ses", "last_seen_at")}
+  WHERE coalesce(last_seen_at >= {_CUT}, true)""",
+        "prune_users_untimed": f"{EV_U} {_kept_users(_ts(USERS_CUTOFF), _untimed('usr', 'last_seen'))}",
+        "anti_join_users": f"""{EV_U} SELECT u.* FROM usr u LEFT JOIN (SELECT user_id, count(*) AS bought FROM ev
+  WHERE event_type = 'purchase' AND t >= {_ts(BUYERS_SINCE)} GROUP BY user_id) p ON p.user_id = u.id WHERE p.bought IS NULL""",
+        "retention_rollup": f"""{EV_SU} SELECT 'events' AS table_name, CAST(id AS VARCHAR) AS row_key, CAST(0 AS BIGINT) AS value
   FROM ev WHERE t >= {_CUT}
-  UNION ALL SELECT 'sessions', count(*), 0 FROM ses WHERE last_seen_at >= {_CUT}
-  UNION ALL SELECT 'users', count(*), 0 FROM ({_kept_users(_CUT)})
-  UNION ALL SELECT 'metrics', count(*), CAST(sum(value) AS BIGINT) FROM ({_METRICS}) WHERE date > '{_ROLLUP_DAY}'""",
+  UNION ALL SELECT 'sessions', id, 0 FROM ses WHERE last_seen_at >= {_CUT}
+  UNION ALL SELECT 'users', id, 0 FROM ({_kept_users(_CUT)})
+  UNION ALL SELECT 'metrics', date || ' ' || metric, value FROM ({_METRICS}) WHERE date > '{_ROLLUP_DAY}'""",
     }
     sql.update(derived.oracle_sql(EV, EV_S, EV_U))
     return sql

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.functions.text import present
+from footfall.model import METRICS
 from footfall.operators import funnel as funnels
 from footfall.operators import filters, goals, overview, retention, state, users
 from footfall.plans import derived
@@ -86,25 +87,30 @@ def _stored_metrics(events: DataFrame) -> DataFrame:
 
 
 def _retention_rollup(events: DataFrame) -> DataFrame:
-    """Size of each table after the rollup."""
-    empty = _both_rollups(events).where("value < 0")
+    """The rows of all four tables after the rollup: ids, and the metrics with their values."""
     after = retention.retention_rollup(
         events,
         state.build_sessions(events),
         state.build_users(events),
-        empty,
+        events.sparkSession.createDataFrame([], METRICS),
         as_of=AS_OF,
         retention=RETENTION,
     )
-    sizes = [
-        rows.agg(
+    rows = [
+        frame.select(
             F.lit(name).alias("table_name"),
-            F.count("*").alias("row_count"),
-            (F.sum("value") if name == "metrics" else F.lit(0).cast("bigint")).alias("total"),
+            (F.concat_ws(" ", "date", "metric") if name == "metrics" else F.col("id").cast("string")).alias("row_key"),
+            (F.col("value") if name == "metrics" else F.lit(0)).cast("bigint").alias("value"),
         )
-        for name, rows in after.items()
+        for name, frame in after.items()
     ]
-    return reduce(DataFrame.unionByName, sizes)
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _untimed(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose id ends in 3, 4 or 5 without their time."""
+    known = ~F.right(F.col("id").cast("string"), F.lit(1)).isin("3", "4", "5")
+    return rows.withColumn(column, F.when(known, F.col(column)))
 
 
 def _overview_report(events: DataFrame) -> DataFrame:
@@ -148,6 +154,9 @@ def queries() -> dict[str, Query]:
         "users_with_counts": ev(_on_users(users.users_with_counts)),
         "users_total": ev(_on_users(lambda u, _: users.users_total(u))),
         "users_page": ev(_on_users(lambda u, e: users.users_page(u, e, 20, 10))),
+        "users_page_far": ev(
+            _on_users(lambda u, e: users.users_page(_untimed(u, "last_seen"), e, 100, 30, near_offset=0))
+        ),
         "user_profile": ev(_on_users(lambda u, e: users.user_profile(u, e, PROFILE_USER)["user"])),
         "user_profile_events": ev(
             _on_users(
@@ -187,6 +196,19 @@ def queries() -> dict[str, Query]:
                 )
             )
         ),
+        "prune_events_untimed": ev(
+            lambda e: retention.prune_events(_untimed(e, "timestamp"), _CUTOFF).select("id", "event_type", "timestamp")
+        ),
+        "prune_sessions_untimed": ev(
+            _on_sessions(lambda s: retention.prune_sessions(_untimed(s, "last_seen_at"), _CUTOFF)), urls=True
+        ),
+        "prune_users_untimed": ev(
+            _on_users(
+                lambda u, e: retention.prune_users(
+                    _untimed(u, "last_seen"), retention.prune_events(e, USERS_CUTOFF), USERS_CUTOFF
+                )
+            )
+        ),
         "anti_join_users": ev(
             _on_users(
                 lambda u, e: retention.anti_join_users(

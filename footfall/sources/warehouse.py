@@ -2,21 +2,28 @@
 
 Layout under the root folder::
 
-    events/v=<n>/event_date=<day>/...   appended while version n was current
+    events/batch=<id>/event_date=<day>/...   one folder for each append, renamed into place
     sessions/v=<n>, users/v=<n>, metrics/v=<n>
-    versions/<n>.json                   published last; the highest one is current
+    versions/<n>.json                        published last; the highest one is current
 
-A version records its ``floor``: events below it that were there when it was published are
-rolled up and no longer visible. Pruning thus rewrites no events; ``vacuum`` deletes the
-date folders that have sunk below the floor. Events that arrive late, with a date below
-the floor, belong to the new version and stay visible until the next rollup counts them.
+A version records its ``floor`` and the batches a rollup has ``counted``: their events below
+the floor are rolled up and no longer visible. Events of any other batch are visible whatever
+their date, also those that were appended while a rollup ran, until the next rollup counts
+them; other versions, as of a fold, change nothing about it. Pruning thus rewrites no events.
+``vacuum`` deletes the date folders of counted batches that have sunk below the floor, and
+the tables that the current version has replaced.
+
+Batches and versions become visible by a rename that must not replace a file. HDFS and local
+file systems do that in one step; where a rename is a copy, let one writer work at a time.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +42,7 @@ _SCHEMAS = {
     "metrics": METRICS,
 }
 _EVENT_FILES = T.StructType(
-    [*EVENTS.fields, T.StructField("v", T.IntegerType()), T.StructField("event_date", T.DateType())]
+    [*EVENTS.fields, T.StructField("batch", T.StringType()), T.StructField("event_date", T.DateType())]
 )
 
 
@@ -67,37 +74,63 @@ class Warehouse:
         """The current version's record; version 0 is the empty warehouse."""
         versions = self._versions()
         if not versions:
-            return {"version": 0, "floor": None, "tables": {}}
+            return {"version": 0, "floor": None, "counted": [], "tables": {}}
         path = f"{self.root}/versions/{versions[-1]}.json"
         [row] = self.spark.read.text(path, wholetext=True).collect()
         return json.loads(row.value)
 
     def _publish(self, record: dict) -> None:
-        """Make a version current in one step: a rename, which never replaces a file."""
+        """Make a version current in one step."""
         target = self._path(f"{self.root}/versions/{record['version']}.json")
         draft = self._path(f"{self.root}/versions/_{record['version']}.draft")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(record).encode()))
         stream.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        if self._fs.exists(target) or not self._rename(draft, target):
             raise RuntimeError(f"version {record['version']} was published by another writer")
 
+    def _rename(self, source, target) -> bool:
+        """Rename without replacing what may be there."""
+        options = self._jvm.org.apache.hadoop.fs.Options
+        no_overwrite = self.spark.sparkContext._gateway.new_array(options.Rename, 1)
+        no_overwrite[0] = getattr(options.Rename, "NONE")
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
+        try:
+            files.rename(self._fs.makeQualified(source), self._fs.makeQualified(target), no_overwrite)
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        return True
+
     # reading
 
-    def events(self) -> DataFrame:
-        """Visible events; the filter prunes version and date folders."""
+    def batches(self) -> list[str]:
+        """The batches there are: one folder for each append."""
+        root = self._path(f"{self.root}/events")
+        if not self._fs.exists(root):
+            return []
+        names = [status.getPath().getName() for status in self._fs.listStatus(root)]
+        return sorted(name[6:] for name in names if name.startswith("batch="))
+
+    def events(self, batches: list[str] | None = None) -> DataFrame:
+        """Visible events, of all batches or the given ones; the filters prune batch and date folders."""
         record = self.current()
-        path = f"{self.root}/events"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], _EVENT_FILES).drop("v")
-        rows = self.spark.read.schema(_EVENT_FILES).parquet(path)
+        there = self.batches() if batches is None else batches
+        if not there:
+            return self.spark.createDataFrame([], _EVENT_FILES).drop("batch")
+        root = f"{self.root}/events"
+        rows = self.spark.read.schema(_EVENT_FILES).option("basePath", root).parquet(*[f"{root}/batch={b}" for b in there])
         if record["floor"]:
             floor = datetime.fromisoformat(record["floor"])
-            above = (F.col("event_date") >= F.lit(floor.date())) & (
-                F.col("timestamp") >= instant(floor)
+            above = F.col("event_date").isNull() | (
+                (F.col("event_date") >= F.lit(floor.date())) & (F.col("timestamp") >= instant(floor))
             )
-            rows = rows.where((F.col("v") >= record["version"]) | above)
-        return rows.drop("v")
+            counted = sorted(set(record["counted"]).intersection(there))
+            if counted:
+                rows = rows.where(above | ~F.col("batch").isin(counted))
+        return rows.drop("batch")
 
     def table(self, name: str) -> DataFrame:
         """'sessions', 'users' or 'metrics' of the current version."""
@@ -109,13 +142,22 @@ class Warehouse:
     # writing
 
     def append_events(self, events: DataFrame) -> None:
-        version = self.current()["version"]
+        """Add events as one batch, which appears as a whole."""
         rows = conform(events, EVENTS).select(*EVENTS.names)
-        append_events(rows, f"{self.root}/events/v={version}")
+        name = uuid.uuid4().hex
+        staging = f"{self.root}/_staging/{name}"
+        append_events(rows, staging)
+        self._fs.mkdirs(self._path(f"{self.root}/events"))
+        if not self._rename(self._path(staging), self._path(f"{self.root}/events/batch={name}")):
+            raise RuntimeError(f"batch {name} is already there")
 
     def _write(
-        self, tables: dict[str, DataFrame], floor: str | None, absorbed: dict[str, int] | None = None
+        self,
+        tables: dict[str, DataFrame],
+        rolled: dict | None = None,
+        absorbed: dict[str, int] | None = None,
     ) -> None:
+        """Write and publish tables; ``rolled`` is a rollup's new floor and counted batches."""
         record = self.current()
         version = record["version"] + 1
         written = dict(record["tables"])
@@ -128,7 +170,9 @@ class Warehouse:
         self._publish(
             {
                 "version": version,
-                "floor": floor,
+                "floor": record["floor"],
+                "counted": record["counted"],
+                **(rolled or {}),
                 "tables": written,
                 "absorbed": {**record.get("absorbed", {}), **(absorbed or {})},
             }
@@ -140,8 +184,7 @@ class Warehouse:
             {
                 "sessions": build_sessions(events, self.table("sessions"), arrival=True),
                 "users": build_users(events, self.table("users"), arrival=True),
-            },
-            self.current()["floor"],
+            }
         )
 
     def absorb_deltas(self, name: str, folder: str) -> None:
@@ -159,18 +202,20 @@ class Warehouse:
         build = {"sessions": build_sessions, "users": build_users}[name]
         added = deltas.where(F.col("batch_no") <= newest).drop("batch_no")
         merged = build(None, self.table(name).unionByName(added), arrival=True)
-        self._write({name: merged}, self.current()["floor"], {name: newest})
+        self._write({name: merged}, absorbed={name: newest})
 
     def roll_up(self, as_of, retention: Retention = Retention()) -> None:
         """Roll up and prune all tables, or on failure none of them.
 
-        Reads the expired date folders for the counts and the kept ones for one column;
-        writes sessions, users and metrics. Events themselves are not rewritten.
+        Counts the events of the batches that are there when it begins. Reads their expired date
+        folders for the counts and the kept ones for one column; writes sessions, users and
+        metrics. Events themselves are not rewritten.
         """
         if not retention.auto_rollup:
             return
+        there = self.batches()
         after = retention_rollup(
-            self.events(),
+            self.events(there),
             self.table("sessions"),
             self.table("users"),
             self.table("metrics"),
@@ -180,20 +225,24 @@ class Warehouse:
         del after["events"]
         floor = self.current()["floor"]
         cutoff = retention.cutoff(as_of).isoformat()
-        self._write(after, max(floor, cutoff) if floor else cutoff)
+        self._write(after, {"floor": max(floor, cutoff) if floor else cutoff, "counted": there})
 
     def vacuum(self) -> None:
-        """Delete date folders of earlier versions that lie wholly below the floor."""
+        """Delete date folders of counted batches that lie wholly below the floor, and replaced tables.
+
+        Readers of earlier versions lose their files; run it when none are left.
+        """
         record = self.current()
-        root = self._path(f"{self.root}/events")
-        if not record["floor"] or not self._fs.exists(root):
-            return
-        first_kept = record["floor"][:10]
-        for folder in self._fs.listStatus(root):
-            name = folder.getPath().getName()
-            if not name.startswith("v=") or int(name[2:]) >= record["version"]:
-                continue
-            for day in self._fs.listStatus(folder.getPath()):
-                label = day.getPath().getName()
-                if label.startswith("event_date=") and label[11:] < first_kept:
-                    self._fs.delete(day.getPath(), True)
+        first_kept = (record["floor"] or "")[:10]
+        for batch in set(record["counted"]).intersection(self.batches()) if first_kept else ():
+            folder = self._path(f"{self.root}/events/batch={batch}")
+            days = [d.getPath() for d in self._fs.listStatus(folder) if d.getPath().getName().startswith("event_date=")]
+            sunk = [d for d in days if d.getName()[11:] < first_kept]
+            for day in sunk if len(sunk) < len(days) else [folder]:
+                self._fs.delete(day, True)
+        for name in _SCHEMAS:
+            root, kept = self._path(f"{self.root}/{name}"), record["tables"].get(name)
+            for folder in self._fs.listStatus(root) if kept is not None and self._fs.exists(root) else ():
+                label = folder.getPath().getName()
+                if label.startswith("v=") and int(label[2:]) < kept:
+                    self._fs.delete(folder.getPath(), True)

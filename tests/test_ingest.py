@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 
 from footfall.operators import ingest
-from footfall.operators.enrich import enrich_events, track_events
+from footfall.operators.enrich import enrich_events, refused_calls, track_events
 
 
 def codes(spark, *bodies):
@@ -208,5 +208,15 @@ def test_track(spark):
     call = (1, " name ", None, "", "u", "", None, "1.2.3.4", "", "", datetime(2026, 3, 1))
     [row] = track_events(spark.createDataFrame([call], columns)).collect()
     assert (row.event_type, row.session_id, row.url, row.ip, row.browser) == (" name ", None, None, "1.2.3.0", "Unknown")
-    with pytest.raises(Exception, match="non-blank"):
-        track_events(spark.createDataFrame([(*call[:1], "  ", *call[2:])], columns)).collect()
+    blank = [(number, name, *call[2:]) for number, name in enumerate([None, "", "  ", "\u00a0\t"])]
+    calls = spark.createDataFrame([call, *blank], columns)
+    assert track_events(calls).count() == 1
+    assert refused_calls(calls).count() == 4
+
+
+def test_a_call_without_a_time_takes_that_of_the_run(spark):
+    columns = "id long, name string, properties string, session_id string, user_id string, url string, referrer string, ip string, ua string, country string, called_at timestamp_ntz"
+    calls = spark.createDataFrame([(1, "signup", *[None] * 9)], columns)
+    [row] = track_events(calls, datetime(2026, 3, 1, 12)).collect()
+    assert row.timestamp == datetime(2026, 3, 1, 12)
+    assert track_events(calls).where("timestamp IS NULL").count() == 0

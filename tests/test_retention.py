@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from footfall.operators.retention import Retention, prune_metrics, retention_rollup
+from footfall.operators.retention import Retention, prune_events, prune_metrics, prune_sessions, prune_users, retention_rollup
 from footfall.period import ArgumentError
 from footfall.sources.warehouse import Warehouse
 
@@ -114,6 +114,63 @@ def test_late_events_stay_visible_until_rolled_up(warehouse, tables):
     assert metric_values(warehouse.table("metrics"))[ago(40).date().isoformat(), "click"] == 2
 
 
+def test_folds_do_not_hide_late_events(warehouse, tables):
+    warehouse.roll_up(NOW)
+    warehouse.append_events(tables.events({"id": 9, "event_type": "click", "session_id": "z", "timestamp": ago(40)}))
+    warehouse.fold_entities(warehouse.events())
+    warehouse.fold_entities(warehouse.events())
+    assert warehouse.events().where("id = 9").count() == 1
+    warehouse.vacuum()
+    assert warehouse.events().where("id = 9").count() == 1
+    warehouse.roll_up(NOW)
+    assert warehouse.events().count() == 1
+    assert metric_values(warehouse.table("metrics"))[ago(40).date().isoformat(), "click"] == 2
+
+
+def test_an_append_during_a_rollup_is_neither_lost_nor_counted_twice(warehouse, tables, monkeypatch):
+    publish = warehouse._publish
+
+    def append_first(record):
+        warehouse.append_events(tables.events({"id": 9, "event_type": "click", "timestamp": ago(40)}))
+        publish(record)
+
+    monkeypatch.setattr(warehouse, "_publish", append_first)
+    warehouse.roll_up(NOW)
+    monkeypatch.undo()
+    day = ago(40).date().isoformat()
+    assert metric_values(warehouse.table("metrics"))[day, "click"] == 1
+    assert sorted(r.id for r in warehouse.events().collect()) == [3, 9]
+    warehouse.roll_up(NOW)
+    assert metric_values(warehouse.table("metrics"))[day, "click"] == 2
+    assert [r.id for r in warehouse.events().collect()] == [3]
+
+
+def test_events_without_a_time_are_never_pruned(warehouse, tables):
+    warehouse.append_events(tables.events({"id": 8, "event_type": "click", "timestamp": None}))
+    for _ in range(2):
+        warehouse.roll_up(NOW)
+        warehouse.vacuum()
+        assert sorted(r.id for r in warehouse.events().collect()) == [3, 8]
+
+
+def test_prunings_keep_rows_without_a_time(tables):
+    cut = datetime(2025, 3, 1)
+    assert prune_events(tables.events({"timestamp": None}, {"timestamp": ago(9_999)}), cut).count() == 1
+    assert prune_sessions(tables.sessions({"id": "a"}, {"id": "b", "last_seen_at": ago(9_999)}), cut).count() == 1
+    users = tables.users({"id": "a"}, {"id": "b", "last_seen": ago(9_999)})
+    assert [r.id for r in prune_users(users, tables.events(), cut).collect()] == ["a"]
+
+
+def test_vacuum_deletes_replaced_tables(warehouse):
+    warehouse.roll_up(NOW)
+    warehouse.fold_entities(warehouse.events())
+    before = sorted(map(tuple, warehouse.table("sessions").collect()))
+    warehouse.vacuum()
+    assert sorted(map(tuple, warehouse.table("sessions").collect())) == before
+    left = [s.getPath().getName() for s in warehouse._fs.listStatus(warehouse._path(f"{warehouse.root}/sessions"))]
+    assert left == [f"v={warehouse.current()['version']}"]
+
+
 def test_failed_rollup_publishes_nothing(warehouse, monkeypatch):
     before = warehouse.current()
 
