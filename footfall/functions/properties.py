@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,9 @@ _TOKEN = r'"(?:[^"\\]|\\.)*+":?|[\[\]{}]'
 _ESCAPE = r"\\(?:u[0-9a-fA-F]{4}|.)"
 # Text this short without a nested container cannot break any limit.
 _SAFE_BYTES = 64
+# A blank that compact JSON would not have (or one in a string that looks like it), or an escape.
+_LOOSE = r"[{,:]\s|\s[},:]|\\"
+_HALF_PAIR = re.compile("[\ud800-\udfff]")
 _INFINITE = ['"Infinity"', '"-Infinity"']
 _OVERFLOW = r"\d[eE]\+?\d{3}|\d{309}"
 
@@ -117,17 +121,29 @@ def _truncate_large(texts: pd.Series) -> pd.Series:
             return None
         try:
             value = json.loads(text)
-        except ValueError:
+        except (ValueError, RecursionError):  # no JSON, or nested beyond any use
             return "{}"
         if not isinstance(value, dict):
             return "{}"
-        return json.dumps(_cut_object(value, 0), separators=(",", ":"), ensure_ascii=False)
+        cut = json.dumps(_cut_object(value, 0), separators=(",", ":"), ensure_ascii=False)
+        # Half a surrogate pair is no character, but its escape is valid JSON.
+        return _HALF_PAIR.sub(lambda half: f"\\u{ord(half[0]):04x}", cut)
 
     return texts.map(one)
 
 
 def truncate_properties(text: Column) -> Column:
-    """Cut properties to the limits; only text that may break one goes through Python."""
-    plain_object = text.rlike(r"^\{.*\}$") & is_small_and_flat(text)
+    """Cut properties to the limits and write them compactly; what is no JSON object becomes an empty one.
+
+    Text that no limit, repeated key or blank can change stays as it is; only the rest goes through Python.
+    """
+    keys = F.json_object_keys(text)
+    plain_object = (
+        text.rlike(r"^\{.*\}$")
+        & is_small_and_flat(text)
+        & ~text.rlike(_LOOSE)
+        & F.try_parse_json(text).isNotNull()
+        & (F.size(keys) == F.size(F.array_distinct(keys)))
+    )
     large = F.when(~F.coalesce(plain_object, F.lit(False)), F.coalesce(text, F.lit("{}")))
     return F.coalesce(_truncate_large(large), text)

@@ -119,9 +119,14 @@ def _optional_error(name: str, longest: int) -> Column:
     )
 
 
+def _properties_text() -> Column:
+    """The text of the member that the VARIANT holds: of a repeated one, the last."""
+    return F.from_json("event_text", "properties string")["properties"]
+
+
 def _properties_error() -> Column:
     raw = _field("properties")
-    text = F.get_json_object("event_text", "$.properties")
+    text = _properties_text()
     return F.when(raw.isNull() | F.is_variant_null(raw), None).when(
         ~_is_object(raw), "INVALID_PROPERTIES"
     ).otherwise(properties_error(text, F.col("overflow")))
@@ -155,7 +160,7 @@ def validate_events(parsed: DataFrame) -> DataFrame:
         none_if_empty(F.try_variant_get(_field(name), "$", "string")).alias(name)
         for name in model.OPTIONAL_FIELDS
     ]
-    properties = F.coalesce(F.get_json_object("event_text", "$.properties"), F.lit("{}"))
+    properties = F.coalesce(_properties_text(), F.lit("{}"))
     return parsed.select(
         *kept,
         event_type.alias("event_type"),

@@ -42,6 +42,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---- payloads ---------------------------------------------------------------------------
 
 BATCH_EVENTS = 20
+# One event in ten and one body in twenty is of another kind than the first.
+ODD_EVENTS, ODD_BODIES = 10, 20
+
+
+def _odd(by: str, every: int) -> str:
+    """SQL that numbers the odd ones from 0 on; NULL for all others."""
+    return f"CASE WHEN {by} % {every} = {every - 3} THEN CAST(floor({by} / {every}) AS BIGINT) END"
+
 
 # One entry per kind of event: SQL for the raw JSON of the members that differ from a plain
 # event, or for the whole text.
@@ -94,7 +102,8 @@ _PLAIN = {
 def _member(name: str) -> str:
     """SQL for one member of the event's text, by the kind of event."""
     cases = [f"WHEN {i} THEN {kind[name]}" for i, kind in enumerate(EVENT_KINDS) if name in kind]
-    return f"CASE event_id % {len(EVENT_KINDS)} {' '.join(cases)} ELSE {_PLAIN[name]} END"
+    kind = f"({_odd('event_id', ODD_EVENTS)}) % {len(EVENT_KINDS)}"
+    return f"CASE {kind} {' '.join(cases)} ELSE {_PLAIN[name]} END" if cases else _PLAIN[name]
 
 
 MEMBER_SQL = {f"j_{name}": _member(name) for name in _PLAIN}
@@ -117,7 +126,7 @@ BODIES = [
     "'[' || joined || '] x'",
     "' [' || joined || ',' || joined || '] '",
 ]
-BODY_SQL = deal(BODIES, "batch_id")
+BODY_SQL = f"coalesce({deal(BODIES, '(' + _odd('batch_id', ODD_BODIES) + ')')}, {BODIES[0]})"
 
 
 def payloads(raw: DataFrame, pages: DataFrame) -> DataFrame:
@@ -221,8 +230,8 @@ def _stamped(rows: DataFrame) -> DataFrame:
     return stamped.select("id", "event_type", "ua", "country", "timestamp")
 
 
-_ENRICHED = ["id", "event_type", "session_id", "user_id", "url", "ip", "ua", "country", "browser", "device_type",
-             "timestamp", *UTM_FIELDS]
+_ENRICHED = ["id", "event_type", "session_id", "user_id", "url", "referrer", "properties", "ip", "ua", "country", "browser",
+             "device_type", "timestamp", *UTM_FIELDS]
 
 # ---- requests ---------------------------------------------------------------------------
 
@@ -430,7 +439,7 @@ def _track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         *["properties", "session_id", "user_id", "url", "referrer", "ip", "ua", "country"],
         F.col("timestamp").alias("called_at"),
     )
-    return enrich.track_events(calls).select(*_ENRICHED, "referrer")
+    return enrich.track_events(calls).select(*_ENRICHED)
 
 
 def _warehouse_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,7 +126,10 @@ def _event_columns(ip: str, ua: str, country: str) -> str:
         f"coalesce(nullif(e ->> '$.{n}', ''), {_utm(f'(e ->> {chr(39)}$.url{chr(39)})', n)}) AS {n}" for n in UTM_FIELDS
     ]
     return f"""batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, nullif(e ->> '$.session_id', '') AS session_id,
-  nullif(e ->> '$.user_id', '') AS user_id, nullif(e ->> '$.url', '') AS url, {_mask(ip)} AS ip, {ua} AS ua,
+  nullif(e ->> '$.user_id', '') AS user_id, nullif(e ->> '$.url', '') AS url,
+  nullif(e ->> '$.referrer', '') AS referrer,
+  CASE WHEN json_type(e, '$.properties') = 'OBJECT' THEN CAST(json(json_extract(e, '$.properties')) AS STRING) ELSE '{{}}' END AS properties,
+  {_mask(ip)} AS ip, {ua} AS ua,
   coalesce({country}, nullif(e ->> '$.country', '')) AS country, {_browser(ua)} AS browser, {_device(ua)} AS device_type,
   received_at AS timestamp, {', '.join(utm)}"""
 
@@ -288,7 +291,8 @@ SELECT {_event_columns('client_ip', 'agent', 'server')} FROM kept""",
         "append_events": f"{ev} SELECT id, event_type, session_id, url, t AS timestamp FROM ev",
         "track_events": f"""{ev} SELECT id, ' ' || event_type AS event_type, nullif(session_id, '') AS session_id,
   nullif(user_id, '') AS user_id, url, {_mask('ip')} AS ip, nullif(ua, '') AS ua, nullif(country, '') AS country,
-  browser, device_type, t AS timestamp, nullif(referrer, '') AS referrer, {_select(utm)} FROM ev""",
+  browser, device_type, t AS timestamp, nullif(referrer, '') AS referrer,
+  coalesce(properties, '{{}}') AS properties, {_select(utm)} FROM ev""",
         "warehouse_rollup": f"""{ev} SELECT day AS date,
   CASE WHEN event_type = 'pageview' THEN 'pageviews' ELSE event_type END AS metric, '' AS dimension, count(*) AS value
 FROM ev WHERE t < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY GROUP BY 1, 2""",

@@ -1,7 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from footfall.functions.properties import truncate_properties
 from footfall.functions.text import utf16_left
 from footfall.operators import browser
 
@@ -76,3 +78,32 @@ def test_links(spark):
     assert found[1, "download"]["extension"] == "gz" and found[1, "outbound_click"]["target"] == "_blank"
     assert "target" not in found[2, "outbound_click"] and "extension" not in found[3, "download"]
     assert len(found[10, "outbound_click"]["href"]) == 4096
+
+
+@pytest.mark.parametrize(
+    "text, kept",
+    [
+        ("{not json}", "{}"),
+        ("{not json}" + " " * 80, "{}"),
+        ('{"a":1}', '{"a":1}'),
+        ('{"a": 1}', '{"a":1}'),
+        ('{"a": 1}' + " " * 80, '{"a":1}'),
+        ('{"a":1,"a":2}', '{"a":2}'),
+        ('{"a":"\\ud83d"}', '{"a":"\\ud83d"}'),
+        ('{"a":"\\ud83d' + "x" * 80 + '"}', '{"a":"\\ud83d' + "x" * 80 + '"}'),
+        ("[" * 20_000, "{}"),
+        ('{"a":' + "[" * 20_000 + "]" * 20_000 + "}", "{}"),
+        ("[1]", "{}"),
+        ("", "{}"),
+        (None, "{}"),
+    ],
+)
+def test_truncation_never_fails_and_does_not_depend_on_size(spark, text, kept):
+    rows = spark.createDataFrame([(text,)], "properties string")
+    assert rows.select(truncate_properties(F.col("properties")).alias("p")).first().p == kept
+
+
+@pytest.mark.parametrize("kind, yes, no", [("string", "1", "true"), ("boolean", True, False), ("int", 1, 2)])
+def test_signals_compare_by_type(spark, kind, yes, no):
+    rows = spark.createDataFrame([(0, yes, None), (1, no, None), (2, None, yes), (3, None, no)], f"id int, dnt {kind}, gpc {kind}")
+    assert sorted(r.id for r in browser.drop_opted_out(rows).collect()) == [1, 3]

@@ -220,3 +220,20 @@ def test_a_call_without_a_time_takes_that_of_the_run(spark):
     [row] = track_events(calls, datetime(2026, 3, 1, 12)).collect()
     assert row.timestamp == datetime(2026, 3, 1, 12)
     assert track_events(calls).where("timestamp IS NULL").count() == 0
+
+
+@pytest.mark.parametrize(
+    "members, code, stored",
+    [
+        ('"properties":{"x":1},"properties":{"y":2}', None, '{"y":2}'),
+        ('"properties":"text","properties":{"y":2}', None, '{"y":2}'),
+        ('"properties":{"y":2},"properties":"text"', "INVALID_PROPERTIES", "text"),
+        ('"properties":{"y":2},"properties":null', None, "{}"),
+        ('"properties":{"x":1},"properties":{"' + "k" * 65 + '":2}', "PROP_KEY_TOO_LONG", None),
+    ],
+)
+def test_repeated_properties_are_the_last(spark, members, code, stored):
+    rows = spark.createDataFrame([(0, '{"event_type":"t",' + members + "}")], "batch_id long, body string")
+    [row] = ingest.validate_events(ingest.parse_payloads(rows)).collect()
+    assert row.error_code == code
+    assert stored is None or row.properties == stored
