@@ -36,6 +36,14 @@ def utf16_left(text: Column, units: int) -> Column:
     )
 
 
+def epoch_micros(timestamp: str) -> Column:
+    """Microseconds of a time without zone since 1970, whatever the session's time zone is."""
+    return F.expr(
+        f"unix_date(CAST({timestamp} AS DATE)) * 86400000000L + hour({timestamp}) * 3600000000L"
+        f" + minute({timestamp}) * 60000000L + CAST(extract(SECOND FROM {timestamp}) * 1000000 AS BIGINT)"
+    )
+
+
 def trim_blanks(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_BLANKS}+|{_BLANKS}+$", "")
 

@@ -17,7 +17,7 @@ from footfall.functions.addresses import (
     trust_entries,
 )
 from footfall.functions.agents import is_bot
-from footfall.functions.text import none_if_empty, trim_blanks
+from footfall.functions.text import epoch_micros, none_if_empty, trim_blanks
 from footfall.model import COUNTRY_MAX
 
 # Country headers as columns, in order of preference.
@@ -131,7 +131,7 @@ def rate_limit(
     timed = requests.withColumns(
         {
             "_address": F.coalesce(F.col("ip"), F.lit("")),
-            "_ms": F.expr("floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000)"),
+            "_ms": F.floor(epoch_micros("CAST(ts AS TIMESTAMP_NTZ)") / 1000),
         }
     )
     moments = timed.groupBy(F.col("_address").alias("ip"), F.col("_ms").alias("ms")).agg(

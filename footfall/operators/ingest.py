@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from footfall import model
 from footfall.functions.properties import may_overflow, properties_error
 from footfall.functions.text import none_if_empty, trim_blanks, utf16_length
-from footfall.session import configure
 
 
 # Columns of a parsed payload that its validated events no longer have.
@@ -38,9 +37,9 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     columns are passed through. Adds ``pos``, ``event`` (VARIANT), ``event_text`` (the same
     as compact JSON, members in their sent order), ``overflow`` (the body may hold a number
     beyond the range of a double) and ``batch_error``. A body that is rejected as a whole
-    keeps one row, without event.
+    keeps one row, without event. Sessions of `get_spark` keep the last value of a repeated
+    key; where ``spark.sql.variant.allowDuplicateKeys`` is off, such a body is a bad request.
     """
-    configure(payloads.sparkSession)
     kept = [c for c in payloads.columns if c != "body"]
     body = F.coalesce(none_if_empty(F.col("body")), F.lit("{}"))
     too_large = F.octet_length(body) > model.BODY_BYTES_MAX

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.functions.text import epoch_micros
 from footfall.period import ArgumentError
 
 PAGE_DEFAULT, PAGE_MAX = 50, 100
@@ -178,7 +179,7 @@ def week_label(timestamp: Column, week_system: str = "iso") -> Column:
 
 
 def _micros(timestamp: str) -> Column:
-    return F.expr(f"unix_micros(CAST({timestamp} AS TIMESTAMP))")
+    return epoch_micros(timestamp)
 
 
 def cohort_retention(

@@ -196,3 +196,20 @@ def test_streamed_rate_limit(spark, tmp_path, lateness):
     query.awaitTermination()
     found = {r.id: (r.limited, r.retry_after) for r in spark.read.parquet(sink).collect()}
     assert found == limit_one_by_one(requests, 20, 30_000)
+
+
+def test_verdicts_do_not_depend_on_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    # Around the hour that New York skips.
+    times = [datetime(2026, 3, 8, 1, 59, 59) + timedelta(seconds=s) for s in (0, 0, 1, 30, 61, 3_600)]
+    rows = [("a", at, number) for number, at in enumerate(times)]
+    found = []
+    try:
+        for name in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            requests = spark.createDataFrame(rows, "ip string, ts timestamp_ntz, id long")
+            found.append(sorted((r.id, r.limited, r.retry_after) for r in clients.rate_limit(requests, 2).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == found[1]
+    assert [limited for _, limited, _ in found[0]] == [False, False, True, True, False, False]
