@@ -72,7 +72,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         )
     )
     linked = stored(linked, "vector-roots")
-    lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Stored, so that the join shuffles both sides and can split the rows of a large component.
+    lows = stored(linked.groupBy("root").agg(F.min("low").alias("component_id")), "vector-lows")
     named = stored(
         classes.select("cls", "vector").join(linked.join(lows, "root").select("cls", "n_links", "component_id"), "cls").drop("cls"),
         "vector-members",

@@ -70,6 +70,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits, the row's own included; equal fingerprints link. A NULL id joins its component without naming it
     (the component is NULL if it has no other id). Repeated rows come back as often as they are.
     """
+    prints, members = _grouped(docs, id_col, text_col, width, budget)
+    return prints.join(members, "fingerprint").select("doc_id", "version", "fingerprint", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """The stored fingerprints of all rows, and the component of each distinct fingerprint."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-prints")
     classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "simhash-classes")
     roots = connected_components(near_fingerprints(classes, budget))
@@ -79,9 +85,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "simhash-roots",
     )
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Stored, so that the join shuffles both sides and can split the rows of a large component.
+    lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
     members = stored(rooted.join(lows, "root").select("fingerprint", "component_id"), "simhash-members")
-    return prints.join(members, "fingerprint").select("doc_id", "version", "fingerprint", "component_id")
+    return prints, members
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
@@ -90,12 +97,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that are equal in id and text are one row. Where no row of a component has an id, one row of each
     of its fingerprints stays.
     """
-    found = near_duplicates(docs, id_col, text_col, width, budget)
-    # Rows of one fingerprint meet in map tasks first, those of a component after that.
+    prints, members = _grouped(docs, id_col, text_col, width, budget)
+    # Rows of one fingerprint meet in map tasks first and are one row when they meet their component.
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
     chosen = stored(
-        found.groupBy("component_id", "fingerprint")
+        prints.groupBy("fingerprint")
         .agg(F.min(rank).alias("low"))
+        .join(members, "fingerprint")
         .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
         .agg(F.min("low").alias("low"))
         .select(F.col("low.doc_id").alias("k_doc"), F.col("low.version").alias("k_version")),
