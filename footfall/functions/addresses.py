@@ -280,3 +280,26 @@ def mask_ip(ip: Column) -> Column:
         .when(plain_v4, F.regexp_replace(ip, r"\d+$", "0"))
         .otherwise(let(let(_strip_port(F.trim(ip)), unmapped), masked))
     )
+
+
+def address_bits(ip: Column) -> Column:
+    """The bits of an IPv4 ('4' and 32 of them) or IPv6 address ('6' and 128) as text; NULL for neither."""
+
+    def of_hex(digits: Column) -> Column:
+        groups = [F.lpad(F.conv(F.substring(digits, i, 4), 16, 2), 16, "0") for i in range(1, 33, 4)]
+        return F.concat(F.lit("6"), *groups)
+
+    v4 = F.when(~ip.contains(":"), F.concat(F.lit("4"), F.lpad(F.bin(v4_number(ip)), 32, "0")))
+    return F.coalesce(v4, let(v6_hex(ip), of_hex))
+
+
+def network_bits(entry: Column) -> Column:
+    """The leading bits that an entry 'network/length' fixes, as in `address_bits`; NULL for anything else."""
+    network, prefix = F.split_part(entry, F.lit("/"), F.lit(1)), F.split_part(entry, F.lit("/"), F.lit(2))
+    is_v6 = network.contains(":")
+    # A missing '::' counts as one at the end.
+    open_ended = is_v6 & ~network.contains("::") & (F.size(F.split(network, ":")) < 8)
+    whole = address_bits(F.trim(F.when(open_ended, F.concat(network, F.lit("::"))).otherwise(network)))
+    length = F.try_to_number(F.regexp_extract(prefix, r"^\s*(\d{1,9})", 1), F.lit("999999999")).cast("int")
+    most = F.when(is_v6, 128).otherwise(32)
+    return F.when(entry.contains("/") & (length <= most), whole.substr(F.lit(1), length + 1))

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from footfall.functions.addresses import (
-    Trust,
+    address_bits,
     ip_in_cidr,
+    network_bits,
+    normalize_ip,
     resolve_client_ip,
+    Trust,
     trust_entries,
 )
 from footfall.functions.agents import is_bot
@@ -56,6 +59,34 @@ def resolve_clients(requests: DataFrame, trust: Trust = False) -> DataFrame:
     )
 
 
+def mark_listed(rows: DataFrame, networks: DataFrame, ip: str = "ip", entry: str = "entry") -> DataFrame:
+    """Adds ``listed``: whether an address equals an entry of a table or lies in one of its networks.
+
+    For trust lists too long to be literals (`ip_in_cidr`). A network becomes the text of its leading bits,
+    an address one such text for every length that the table has (at most 163, read by the driver), so the
+    range test is a join by equality. Each distinct address is looked up once.
+    """
+    entries = networks.select(F.trim(F.col(entry)).alias("entry")).where("entry <> ''")
+    fixed = network_bits(F.col("entry"))
+    exact = F.when(~F.col("entry").contains("/"), F.concat(F.lit("="), normalize_ip(F.col("entry"))))
+    wanted = entries.select(F.coalesce(exact, fixed).alias("key")).where("key IS NOT NULL").distinct()
+    lengths = wanted.where("key NOT LIKE '=%'").select(F.left("key", F.lit(1)), F.length("key")).distinct().collect()
+    seen = rows.select(normalize_ip(F.col(ip)).alias("text")).where("text <> ''").distinct()
+    bits = address_bits(F.col("text"))
+    keys = [F.concat(F.lit("="), "text")] + [
+        F.when(F.col("bits").startswith(family), F.left("bits", F.lit(length))) for family, length in sorted(lengths)
+    ]
+    tried = seen.select("text", bits.alias("bits")).select("text", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    # Rebalanced, so that the join back shuffles both sides and can split a busy address.
+    found = tried.join(wanted, "key", "left_semi").select(F.col("text").alias("_listed")).distinct().hint("rebalance")
+    return (
+        rows.withColumn("_text", normalize_ip(F.col(ip)))
+        .join(found, F.col("_text") == F.col("_listed"), "left")
+        .withColumn("listed", F.col("_listed").isNotNull())
+        .drop("_text", "_listed")
+    )
+
+
 def resolve_country(
     server: Column, client: Column, trust_client_country: bool = False
 ) -> Column:

@@ -297,6 +297,20 @@ def _country(requests: DataFrame) -> DataFrame:
     return resolved.select("id", country.alias("country"))
 
 
+LISTED_IP = """CAST(event_id % 223 + 1 AS STRING) || '.' || CAST(event_id * 7 % 256 AS STRING) || '.'
+  || CAST(event_id * 11 % 256 AS STRING) || '.' || CAST(event_id % 256 AS STRING)"""
+NETWORK = """CAST(o_orderkey % 223 + 1 AS STRING) || '.' || CAST(o_orderkey * 7 % 256 AS STRING) || '.'
+  || CAST(o_orderkey * 13 % 256 AS STRING) || '.0/' || CAST(12 + o_orderkey % 21 AS STRING)"""
+
+
+def _in_cidr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses against one network for each order."""
+    configure(spark)
+    rows = read_sample(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(LISTED_IP).alias("ip"))
+    networks = read_sample(spark, sf_dir, "orders").select(F.expr(NETWORK).alias("entry"))
+    return clients.mark_listed(rows, networks).select("id", F.col("listed").alias("trusted"))
+
+
 def _rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return clients.rate_limit(sample_callers(read_sample(spark, sf_dir, "events")), *RATE)
@@ -565,6 +579,7 @@ def queries() -> dict[str, Query]:
         "resolve_clients_untrusted": _resolve(False),
         "normalize_ip": _request_query(_normalized),
         "ip_in_cidr": _request_query(_in_cidr),
+        "ip_in_cidr_table": _in_cidr_table,
         "resolve_country": _request_query(_country),
         "filter_bots": _request_query(lambda r: clients.filter_bots(r).select("id", "user_agent")),
         "rate_limit": _rate_limit,

@@ -267,6 +267,14 @@ SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, agent AS u
         "resolve_clients_two_hops": _hop(2),
         "resolve_clients_untrusted": f"{_HOPS} SELECT id, peer AS client_ip, CAST(NULL AS STRING) AS country FROM hops",
         "normalize_ip": f"{_HOPS} SELECT id, peer AS ip FROM hops",
+        "ip_in_cidr_table": """WITH net AS (
+  SELECT ((o_orderkey % 223 + 1) * 16777216 + (o_orderkey * 7 % 256) * 65536 + (o_orderkey * 13 % 256) * 256) AS base,
+    CAST(pow(2, 20 - o_orderkey % 21) AS BIGINT) AS size FROM orders),
+ranges AS (SELECT DISTINCT CAST(floor(base / size) AS BIGINT) * size AS low, CAST(floor(base / size) AS BIGINT) * size + size - 1 AS high FROM net),
+seen AS (SELECT event_id AS id, (event_id % 223 + 1) * 16777216 + (event_id * 7 % 256) * 65536
+    + (event_id * 11 % 256) * 256 + event_id % 256 AS number FROM events),
+hit AS (SELECT DISTINCT s.id FROM seen s JOIN ranges r ON s.number >= r.low AND s.number <= r.high)
+SELECT s.id, h.id IS NOT NULL AS trusted FROM seen s LEFT JOIN hit h ON h.id = s.id""",
         "ip_in_cidr": f"{_HOPS} SELECT id, {_trusted('peer')} AS trusted FROM hops",
         "resolve_country": f"{_REQUESTS} SELECT id, coalesce({_COUNTRY}, nullif(client_country, '')) AS country FROM req",
         "filter_bots": f"""{_REQUESTS} SELECT id, user_agent FROM req

@@ -213,3 +213,15 @@ def test_verdicts_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert found[0] == found[1]
     assert [limited for _, limited, _ in found[0]] == [False, False, True, True, False, False]
+
+
+def test_a_trust_table_agrees_with_the_list(spark):
+    entries = ["10.0.0.0/8", "192.168.1.7", " 203.0.113.128/25 ", "2001:db8::/33", "fe80/10", "1.2.3.4/0x", "5.6.7.8/33", "::1", "", "9.9.9.9/32", "300.1.1.1/8"]
+    addresses = ["10.200.3.4", "11.0.0.1", "192.168.1.7", "192.168.1.7:80", "203.0.113.127", "203.0.113.128", "[2001:db8::1]:443", "2001:db8:8000::1",
+                 "fe80::1", "::ffff:10.1.1.1", "1.2.3.4", "5.6.7.8", "0:0:0:0:0:0:0:1", "::1", "9.9.9.9", "", None, "nonsense", "10.200.3.4"]
+    rows = spark.createDataFrame(list(enumerate(addresses)), "id int, ip string")
+    networks = spark.createDataFrame([(e,) for e in entries], "entry string")
+    found = {r.id: r.listed for r in clients.mark_listed(rows, networks).collect()}
+    expected = {r.id: r.listed for r in rows.select("id", ip_in_cidr(F.col("ip"), entries).alias("listed")).collect()}
+    assert found == expected and len(found) == len(addresses)
+    assert not any(r.listed for r in clients.mark_listed(rows, networks.limit(0)).collect())
