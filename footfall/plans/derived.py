@@ -526,6 +526,21 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_in.read_ingested(spark, folder).select(*_ENRICHED)
 
 
+def _stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed events, taken over by a warehouse and rolled up there."""
+    configure(spark)
+    source, folder = shared_folder(spark, "payloads"), shared_folder(spark, "ingest")
+    with_request(sample_payloads(spark, sf_dir)).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    _finish(stream_in.stream_ingest(stream, folder, trust_client_country=True), spark, "ingest")
+    store = Warehouse(spark, shared_folder(spark, "warehouse"))
+    for _ in range(2):  # the second finds nothing new
+        store.absorb_events(f"{folder}/events")
+    store.roll_up(AS_OF, Retention(keep_raw_days=10))
+    store.vacuum()
+    return store.table("metrics")
+
+
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "sessions")
     events = model_events(_event_stream(spark, sf_dir), read_sample(spark, sf_dir, "pages"))
@@ -599,6 +614,7 @@ def queries() -> dict[str, Query]:
         "warehouse_rollup": _warehouse_rollup,
         "warehouse_late_events": _warehouse_late_events,
         "stream_ingest": _stream_ingest,
+        "stream_rollup": _stream_rollup,
         "stream_sessions": _stream_sessions,
         "stream_users": _stream_users,
         "stream_active_now": _stream_active_now,

@@ -262,6 +262,9 @@ SELECT batch_id * {IDS_PER_BATCH} + pos AS id, {_TYPE} AS event_type, agent AS u
   CASE WHEN batch_id % 3 = 0 THEN 'DE' END AS country, received_at AS timestamp FROM req""",
         "enrich_events": _ENRICHED,
         "stream_ingest": _ENRICHED,
+        "stream_rollup": f"""SELECT strftime(timestamp, '%Y-%m-%d') AS date,
+  CASE WHEN event_type = 'pageview' THEN 'pageviews' ELSE event_type END AS metric, '' AS dimension, count(*) AS value
+FROM ({_ENRICHED}) WHERE timestamp < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY GROUP BY 1, 2""",
         "resolve_clients": _LISTED,
         "resolve_clients_one_hop": _hop(1),
         "resolve_clients_two_hops": _hop(2),

@@ -143,9 +143,11 @@ class Warehouse:
 
     def append_events(self, events: DataFrame) -> None:
         """Add events as one batch, which appears as a whole."""
+        self._append(events, uuid.uuid4().hex)
+
+    def _append(self, events: DataFrame, name: str) -> None:
         rows = conform(events, EVENTS).select(*EVENTS.names)
-        name = uuid.uuid4().hex
-        staging = f"{self.root}/_staging/{name}"
+        staging = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
         append_events(rows, staging)
         self._fs.mkdirs(self._path(f"{self.root}/events"))
         if not self._rename(self._path(staging), self._path(f"{self.root}/events/batch={name}")):
@@ -187,6 +189,27 @@ class Warehouse:
             }
         )
 
+    def absorb_events(self, folder: str) -> None:
+        """Take over the micro-batches that `stream_ingest` has stored, as one batch laid out by date.
+
+        Each micro-batch counts once: the version records the last one taken, and an attempt that
+        ended before that is found by the name of its batch. Folders taken over may be deleted.
+        """
+        done = self.current().get("absorbed", {}).get("events", -1)
+        ended_early = [b for b in self.batches() if b.startswith(f"stream-{done + 1}-")]
+        if ended_early:
+            newest = int(ended_early[0].rpartition("-")[2])
+        else:
+            schema = T.StructType(
+                [*EVENTS.fields, T.StructField("batch_no", T.LongType()), T.StructField("event_date", T.DateType())]
+            )
+            stored = self.spark.read.schema(schema).parquet(folder).where(F.col("batch_no") > done)
+            newest = stored.agg(F.max("batch_no")).first()[0]
+            if newest is None:
+                return
+            self._append(stored.where(F.col("batch_no") <= newest), f"stream-{done + 1}-{newest}")
+        self._write({}, absorbed={"events": newest})
+
     def absorb_deltas(self, name: str, folder: str) -> None:
         """Merge a stream's micro-batch deltas of 'sessions' or 'users' into the table.
 

@@ -171,6 +171,26 @@ def test_vacuum_deletes_replaced_tables(warehouse):
     assert left == [f"v={warehouse.current()['version']}"]
 
 
+def test_streamed_events_are_taken_over_once(spark, tmp_path, tables, monkeypatch):
+    store, folder = Warehouse(spark, str(tmp_path / "store")), str(tmp_path / "events")
+
+    def stored(number, *rows):
+        dated = tables.events(*rows).selectExpr("*", "CAST(timestamp AS DATE) AS event_date")
+        dated.write.partitionBy("event_date").parquet(f"{folder}/batch_no={number}")
+
+    stored(0, {"id": 1, "timestamp": ago(1)}, {"id": 2, "timestamp": ago(40)})
+    monkeypatch.setattr(store, "_write", lambda *_, **__: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.absorb_events(folder)
+    monkeypatch.undo()
+    stored(1, {"id": 3, "timestamp": ago(1)})
+    for _ in range(3):
+        store.absorb_events(folder)
+    assert sorted(r.id for r in store.events().collect()) == [1, 2, 3]
+    store.roll_up(NOW)
+    assert sorted(r.id for r in store.events().collect()) == [1, 3]
+
+
 def test_failed_rollup_publishes_nothing(warehouse, monkeypatch):
     before = warehouse.current()
 
