@@ -108,14 +108,15 @@ def stream_rate_limit(
     max_requests: int = RATE_MAX,
     window: timedelta = RATE_WINDOW,
     *,
-    lateness: str | None = "1 day",
+    lateness: str | None = None,
 ) -> DataFrame:
     """Rate limiting of a request stream [ip, ts, id], in arrival order.
 
     State per address is the accepted times of the last window, at most ``max_requests``.
-    An address that falls silent loses its state once the watermark has passed; requests are
-    stamped on arrival, so ``lateness`` only has to exceed the disorder between sources.
-    With None no request is ever too late and no address is forgotten. What a task sorts is
+    By default every request gets a verdict, however late it comes, and no address is
+    forgotten. With a ``lateness`` an address that falls silent loses its state once the
+    watermark has passed, and requests later than that get no verdict: an upstream filter must
+    not rely on one then. What a task sorts is
     one address's share of one micro-batch, which the source's rate options bound.
     """
     window_ms = int(window / timedelta(milliseconds=1))

@@ -225,3 +225,15 @@ def test_a_trust_table_agrees_with_the_list(spark):
     expected = {r.id: r.listed for r in rows.select("id", ip_in_cidr(F.col("ip"), entries).alias("listed")).collect()}
     assert found == expected and len(found) == len(addresses)
     assert not any(r.listed for r in clients.mark_listed(rows, networks.limit(0)).collect())
+
+
+def test_late_requests_get_a_verdict(spark, tmp_path):
+    schema = "ip string, id long, ts timestamp"
+    for number, day in enumerate((20, 10, 1)):
+        late = spark.createDataFrame([("a", number, datetime(2026, 3, day))], schema)
+        late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = []
+    writer = live.stream_rate_limit(stream, 5, timedelta(minutes=1)).writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect()))
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.id, r.limited) for r in found) == [(0, False), (1, False), (2, False)]
