@@ -31,6 +31,30 @@ _INFINITE = ['"Infinity"', '"-Infinity"']
 _OVERFLOW = r"\d[eE]\+?\d{3}|\d{309}"
 
 
+# Containers in this depth of a body lose their content; so many brackets are needed to get there.
+_DEEP, _MANY = 40, r"(?:[\[{][^\[{]*+){400}"
+_PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}]++'
+
+
+def shallow(text: Column) -> Column:
+    """JSON text of which containers in a depth of ``_DEEP`` are empty; most text is kept by a look at its brackets.
+
+    The parser refuses text of some hundred levels as a whole. Text that is no JSON stays none.
+    """
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.isin("{", "["), piece.isin("}", "]")
+        depth = state["depth"] + F.when(opens, 1).otherwise(0)
+        kept = F.when(depth > _DEEP, state["kept"]).otherwise(F.concat(state["kept"], piece))
+        # Inside the deepest container that stays, only its brackets do.
+        kept = F.when((depth == _DEEP) & ~opens & ~closes, state["kept"]).otherwise(kept)
+        return F.struct((depth - F.when(closes, 1).otherwise(0)).cast("int").alias("depth"), kept.alias("kept"))
+
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    return F.when(text.rlike(_MANY), F.aggregate(pieces, start, step)["kept"]).otherwise(text)
+
+
 def is_small_and_flat(text: Column) -> Column:
     return (F.octet_length(text) <= _SAFE_BYTES) & ~F.substring(text, 2, _SAFE_BYTES).rlike(r"[\[{]")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall import model
-from footfall.functions.properties import may_overflow, properties_error
+from footfall.functions.properties import may_overflow, properties_error, shallow
 from footfall.functions.text import none_if_empty, trim_blanks, utf16_length
 
 
@@ -37,12 +37,14 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     columns are passed through. Adds ``pos``, ``event`` (VARIANT), ``event_text`` (the same
     as compact JSON, members in their sent order), ``overflow`` (the body may hold a number
     beyond the range of a double) and ``batch_error``. A body that is rejected as a whole
-    keeps one row, without event. Sessions of `get_spark` keep the last value of a repeated
+    keeps one row, without event; of containers far beyond the allowed depth the content is
+    left out first, so one such event does not spoil the others. Sessions of `get_spark` keep the last value of a repeated
     key; where ``spark.sql.variant.allowDuplicateKeys`` is off, such a body is a bad request.
     """
     kept = [c for c in payloads.columns if c != "body"]
-    body = F.coalesce(none_if_empty(F.col("body")), F.lit("{}"))
-    too_large = F.octet_length(body) > model.BODY_BYTES_MAX
+    sent = F.coalesce(none_if_empty(F.col("body")), F.lit("{}"))
+    too_large = F.octet_length(sent) > model.BODY_BYTES_MAX
+    body = F.when(too_large, sent).otherwise(shallow(sent))
     # Inside brackets, text after the JSON value is a syntax error or a second element.
     bracketed = F.when(~too_large, F.concat(F.lit("["), body, F.lit("]")))
     first = F.regexp_extract("body", r"^[ \t\n\r]*(.)", 1)
@@ -55,7 +57,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     inner = F.when(is_list, F.try_variant_get(wrapped, "$[0]", "array<variant>")).otherwise(
         F.try_variant_get(wrapped, "$", "array<variant>")
     )
-    texts = F.from_json(F.when(is_list, F.col("body")).otherwise(F.col("bracketed")), "array<string>")
+    texts = F.from_json(F.when(is_list, F.col("text")).otherwise(F.col("bracketed")), "array<string>")
     error = (
         F.when(F.col("too_large"), "PAYLOAD_TOO_LARGE")
         .when(~F.coalesce(well_formed, F.lit(False)), "BAD_REQUEST")
@@ -66,7 +68,7 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     parsed = (
         payloads.select(
             *kept,
-            body.alias("body"),
+            body.alias("text"),
             bracketed.alias("bracketed"),
             too_large.alias("too_large"),
             may_overflow(body).alias("overflow"),

@@ -237,3 +237,12 @@ def test_repeated_properties_are_the_last(spark, members, code, stored):
     [row] = ingest.validate_events(ingest.parse_payloads(rows)).collect()
     assert row.error_code == code
     assert stored is None or row.properties == stored
+
+
+def test_a_deep_event_does_not_spoil_its_batch(spark):
+    deep = '{"event_type":"b","properties":{"x":' + "[" * 1_500 + "]" * 1_500 + "}}"
+    keys = '{"event_type":"b","properties":{"x":' + '{"k":1,"n":' * 2_000 + '"e"' + "}" * 2_000 + "}}"
+    wide = '{"event_type":"c","properties":{"x":[' + ",".join(['{"[{":"]"}'] * 20) + "]}}"
+    body = f'[{{"event_type":"a"}},{deep},{keys},{wide},{{"event_type":"d","extra":{"[" * 700}{"]" * 700}}}]'
+    unclosed = '[{"event_type":"a"},' + "[" * 1_500
+    assert codes(spark, body, unclosed) == [[None, "PROP_DEPTH_EXCEEDED", "PROP_DEPTH_EXCEEDED", None, None], ["BAD_REQUEST"]]
