@@ -78,7 +78,15 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: in
     """The stored fingerprints of all rows, and the component of each distinct fingerprint."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "simhash-prints")
     classes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "simhash-classes")
-    roots = connected_components(near_fingerprints(classes, budget))
+    return prints, members(classes, near_fingerprints(classes, budget))
+
+
+def members(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``fingerprint``, ``root``, ``component_id`` of stored ``classes`` (``fingerprint``, ``low`` id) under ``links`` (``a``, ``b``).
+
+    Only the root tells components apart: if an id repeats, it may be the smallest of several components.
+    """
+    roots = connected_components(links)
     rooted = stored(
         classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
             "fingerprint", "low", F.coalesce("root", "fingerprint").alias("root")
@@ -87,8 +95,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, budget: in
     )
     # Stored, so that the join shuffles both sides and can split the rows of a large component.
     lows = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lows")
-    members = stored(rooted.join(lows, "root").select("fingerprint", "component_id"), "simhash-members")
-    return prints, members
+    return stored(rooted.join(lows, "root").select("fingerprint", "root", "component_id"), "simhash-members")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2) -> DataFrame:
@@ -97,14 +104,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that are equal in id and text are one row. Where no row of a component has an id, one row of each
     of its fingerprints stays.
     """
-    prints, members = _grouped(docs, id_col, text_col, width, budget)
+    return first_of_each(docs, *_grouped(docs, id_col, text_col, width, budget), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, prints: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that `one_of_each` keeps, by the ``fingerprint`` of each row and the ``root`` of each fingerprint."""
     # Rows of one fingerprint meet in map tasks first and are one row when they meet their component.
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
     chosen = stored(
         prints.groupBy("fingerprint")
         .agg(F.min(rank).alias("low"))
         .join(members, "fingerprint")
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
+        .groupBy("root", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone"))
         .agg(F.min("low").alias("low"))
         .select(F.col("low.doc_id").alias("k_doc"), F.col("low.version").alias("k_version")),
         "simhash-chosen",

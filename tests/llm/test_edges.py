@@ -103,6 +103,12 @@ def test_line_dedup(cases):
     assert line_dedup.dedup_lines(cases.limit(0)).count() == 0
 
 
+def test_simhash_repeated_id_of_two_components(documents):
+    first, second = "one two three four five six seven", "red green blue black white grey pink"
+    kept = simhash.one_of_each(documents((7, first), (7, second), (8, first), (9, second)))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, first), (7, second)]
+
+
 def test_substrings(cases):
     found = substrings.without_repeats(cases, words=5).collect()
     # Rows that repeat id and text are one document; both come back. A NULL id takes no part.
