@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from footfall.llm import bpe, decontaminate, embeddings, language, line_dedup, lm, quality, simhash, substrings, urls
+from footfall.llm import bpe, decontaminate, embeddings, language, line_dedup, lm, near_copies, quality, simhash, substrings, urls
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +109,39 @@ def test_simhash_repeated_id_of_two_components(documents):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(7, first), (7, second)]
 
 
+def test_near_copies_against_brute_force(cases, documents, spark):
+    import random
+
+    dice = random.Random(3)
+    word = lambda: "w%d" % dice.randrange(10**6)
+    stock = [word() for _ in range(60)]
+    rows = []
+    for group in range(12):
+        base = [word() for _ in range(dice.choice((5, 6, 9, 40, 150)))] + stock[: dice.randrange(60)]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(dice.randrange(1 + len(base) // 25)):
+                copy[dice.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    sets = {}
+    for doc, text in rows:
+        own = text.split()
+        sets[doc] = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+    root = {doc: doc for doc in sets}
+    linked = 0
+    for a in sets:
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                linked += 1
+                low, high = sorted((root[a], root[b]))
+                root = {doc: low if own == high else own for doc, own in root.items()}
+    assert linked > 50
+    docs = documents(*rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == sorted(set(root.values()))
+    assert near_copies.one_of_each(cases).columns == cases.columns
+    assert sorted(r.doc_id for r in near_copies.one_of_each(cases).collect()) == [1, 2, 5, 6, 7, 8]
+
+
 def test_substrings(cases):
     found = substrings.without_repeats(cases, words=5).collect()
     # Rows that repeat id and text are one document; both come back. A NULL id takes no part.
