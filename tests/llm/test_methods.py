@@ -199,6 +199,16 @@ def test_sentence_spans(documents):
     assert bytes(found[100].kept).decode() == "glued to One two three four five. "
 
 
+def test_single_sentences_and_tails(documents):
+    alone = "one two three four five six seven eight nine ten"
+    tail = "Red green blue black. White grey pink brown. Last words."
+    docs = [(1, alone), (2, alone), (3, f"Before a b. {alone}. After it c."), (4, tail), (5, f"Another lead here. {tail}")]
+    docs += [(6, "Long lead of six words. One two three four five six seven eight. Different end of it."),
+             (7, "Other. One two three four five six seven eight. And so on and on.")]
+    found = {r.doc_id: bytes(r.kept).decode() for r in substrings.without_repeats(documents(*docs), words=8).collect()}
+    assert found == {2: "", 5: "Another lead here. ", 7: "Other. And so on and on."}
+
+
 # Embeddings
 
 
