@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import bpe, decontaminate, embeddings, language, line_dedup, lm, quality, simhash, substrings, urls
+from footfall.llm import (
+    bpe, decontaminate, embeddings, language, line_dedup, lm, quality, simhash, substrings, toxicity, urls, vector_codes, whitening
+)
 from footfall.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_learned(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    return codes.select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    # Beyond the range of a long, NULL.
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 OP2_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -101,6 +120,45 @@ FROM judged GROUP BY r, doc_id
 """
 
 
+def _op12_sql(rounds: int = 6) -> str:
+    """Every round as two tables: each part's nearest entry, and the codebooks after it."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+pick{i} AS MATERIALIZED (
+  SELECT r, p, min(far) % 16 AS e, min(far) // 16 AS d FROM (
+    SELECT c.r, c.p, sum((c.x - b.x) * (c.x - b.x)) * 16 + b.e AS far FROM cells c JOIN book{i} b USING (p, q) GROUP BY c.r, c.p, b.e)
+  GROUP BY r, p
+)""")
+        if i < rounds:
+            steps.append(f"""
+book{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.q, coalesce((s - ((s % n) + n) % n) // n, b.x) AS x FROM book{i} b LEFT JOIN (
+    SELECT c.p, k.e, c.q, sum(c.x) AS s, count(*) AS n FROM cells c JOIN pick{i} k USING (r, p) GROUP BY c.p, k.e, c.q) m
+  ON b.p = m.p AND b.e = m.e AND b.q = m.q
+)""")
+    return f"""
+WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, [floor(4096 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+cells AS MATERIALIZED (
+  SELECT r, (i - 1) // (len(v) // 8) AS p, (i - 1) % (len(v) // 8) AS q, v[i] AS x
+  FROM base, LATERAL (SELECT unnest(range(1, len(v) + 1)) AS i)
+),
+book0 AS MATERIALIZED (
+  SELECT p, e, q, x FROM cells JOIN (
+    SELECT r, e FROM (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM base) WHERE e < 16) USING (r)
+),{",".join(steps)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', e::BIGINT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM pick{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, q)) FROM book{rounds}) AS codebooks_sha256
+FROM base JOIN coded USING (r)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -113,8 +171,11 @@ def queries() -> dict[str, Query]:
         "op8_line_dedup": op8_line_dedup,
         "op9_lm_score": op9_lm_score,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_toxicity": op11_toxicity,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_whitening": op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_url_filter": OP2_SQL, "op8_line_dedup": OP8_SQL, "op12_vector_codes": _op12_sql()}
