@@ -1,13 +1,8 @@
-"""Who sent a request: client address, country, bots and request rates."""
+"""Who sent a request: client address, country and bots."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-from datetime import timedelta
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.addresses import (
@@ -20,15 +15,12 @@ from footfall.functions.addresses import (
     trust_entries,
 )
 from footfall.functions.agents import is_bot
-from footfall.functions.text import epoch_micros, none_if_empty, trim_blanks
+from footfall.functions.text import none_if_empty, trim_blanks
 from footfall.model import COUNTRY_MAX
 
 # Country headers as columns, in order of preference.
 COUNTRY_HEADERS = ["cf_ipcountry", "x_country_code", "cloudfront_viewer_country"]
 
-RATE_MAX = 100
-RATE_WINDOW = timedelta(seconds=60)
-
 
 def server_country(remote: Column, headers: list[Column], trust: Trust) -> Column:
     """Upper-case country header, only from a trusted peer."""
@@ -99,92 +91,3 @@ def resolve_country(
 def filter_bots(requests: DataFrame, ua: str = "user_agent") -> DataFrame:
     """Drop requests of known automated clients; a missing user agent is kept."""
     return requests.where(~is_bot(F.col(ua)))
-
-
-_VERDICTS = pa.schema(
-    [("ip", pa.string()), ("ms", pa.int64()), ("accepted", pa.int64()), ("_wait", pa.int64())]
-)
-
-
-def _fold_moments(limit: int, window_ms: int):
-    """Sliding log over (ip, ms, requests) rows sorted by ip and time.
-
-    Carries one address and its accepted times of the last window, so memory is bounded by
-    ``limit`` however many rows an address has.
-    """
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, log, inside = None, deque(), 0
-        for batch in batches:
-            ips = batch.column("ip").to_pylist()
-            moments = batch.column("ms").to_pylist()
-            counts = batch.column("requests").to_pylist()
-            accepted, waits = [], []
-            for ip, now, count in zip(ips, moments, counts):
-                if ip != owner:
-                    owner, log, inside = ip, deque(), 0
-                while log and log[0][0] <= now - window_ms:
-                    inside -= log.popleft()[1]
-                taken = min(count, limit - inside)
-                if taken > 0:
-                    log.append((now, taken))
-                    inside += taken
-                accepted.append(taken)
-                # Rejected requests wait until the oldest accepted one leaves the window.
-                wait = -((now - window_ms - log[0][0]) // 1000) if log else 0
-                waits.append(max(1, wait))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("ip"),
-                    batch.column("ms"),
-                    pa.array(accepted, pa.int64()),
-                    pa.array(waits, pa.int64()),
-                ],
-                schema=_VERDICTS,
-            )
-
-    return fold
-
-
-def rate_limit(
-    requests: DataFrame, max_requests: int = RATE_MAX, window: timedelta = RATE_WINDOW
-) -> DataFrame:
-    """Adds ``limited`` and ``retry_after`` (seconds) to requests [ip, ts, id].
-
-    A request passes when fewer than ``max_requests`` accepted ones of its address lie in
-    the window before it; refused ones do not count. The decision depends on all earlier
-    decisions of the address, so it is folded in time order. What is folded is not the
-    requests but their count per address and millisecond, combined before the shuffle: an
-    address with a third of all requests folds at most one small row per millisecond. The
-    verdicts then go back to the requests, which stay spread over (address, millisecond).
-    """
-    window_ms = int(window / timedelta(milliseconds=1))
-    timed = requests.withColumns(
-        {
-            "_address": F.coalesce(F.col("ip"), F.lit("")),
-            "_ms": F.floor(epoch_micros("CAST(ts AS TIMESTAMP_NTZ)") / 1000),
-        }
-    )
-    moments = timed.groupBy(F.col("_address").alias("ip"), F.col("_ms").alias("ms")).agg(
-        F.count("*").alias("requests")
-    )
-    verdicts = (
-        moments.repartition("ip")
-        .sortWithinPartitions("ip", "ms")
-        .mapInArrow(
-            _fold_moments(max_requests, window_ms),
-            "ip string, ms long, accepted long, _wait long",
-        )
-        .withColumnsRenamed({"ip": "_address", "ms": "_ms"})
-    )
-    in_moment = Window.partitionBy("_address", "_ms").orderBy("id")
-    limited = F.row_number().over(in_moment) > F.col("accepted")
-    return (
-        timed.join(verdicts, ["_address", "_ms"])
-        .withColumn("limited", limited)
-        .select(
-            *requests.columns,
-            "limited",
-            F.when(F.col("limited"), F.col("_wait")).otherwise(F.lit(0)).alias("retry_after"),
-        )
-    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -16,12 +17,14 @@ from footfall.operators.clients import resolve_country
 from footfall.operators.filters import instant
 
 
-def stamp_server_fields(valid: DataFrame, trust_client_country: bool = False) -> DataFrame:
+def stamp_server_fields(valid: DataFrame, trust_client_country: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Server facts replace what a client claims; a batch shares one arrival time.
 
     ``valid`` carries the request's client_ip, user_agent, server_country and received_at.
+    Columns named in ``keep`` are passed through.
     """
     return valid.select(
+        *keep,
         (F.col("batch_id") * IDS_PER_BATCH + F.coalesce(F.col("pos"), F.lit(0))).alias("id"),
         "event_type",
         "session_id",
@@ -39,10 +42,10 @@ def stamp_server_fields(valid: DataFrame, trust_client_country: bool = False) ->
     )
 
 
-def write_events(stamped: DataFrame) -> DataFrame:
+def write_events(stamped: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Enrich stamped events into table rows: masked address, browser, device, campaign.
 
-    One narrow projection; the raw address does not survive it.
+    One narrow projection; the raw address does not survive it. Columns named in ``keep`` come first.
     """
     from_url = extract_utm(F.col("url"))
     derived: dict[str, Column] = {
@@ -53,6 +56,7 @@ def write_events(stamped: DataFrame) -> DataFrame:
         **{name: merge_utm(F.col(name), from_url[name]) for name in UTM_FIELDS},
     }
     return stamped.select(
+        *keep,
         *[derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in EVENTS]
     )
 

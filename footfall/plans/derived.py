@@ -16,8 +16,8 @@ from footfall.functions.addresses import ip_in_cidr, mask_ip, normalize_ip
 from footfall.functions.agents import parse_browser, parse_device
 from footfall.functions.links import extract_utm, merge_utm
 from footfall.model import OPTIONAL_FIELDS, UTM_FIELDS
-from footfall.operators import browser, clients, enrich, ingest
-from footfall.operators.collect import collect_requests
+from footfall.operators import browser, clients, enrich, ingest, rates
+from footfall.operators.collect import COLLECTED, collect_requests, store_collected
 from footfall.operators.retention import Retention
 from footfall.operators.state import build_sessions
 from footfall.plans.settings import AS_OF
@@ -313,7 +313,7 @@ def _in_cidr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return clients.rate_limit(sample_callers(read_sample(spark, sf_dir, "events")), *RATE)
+    return rates.rate_limit(sample_callers(read_sample(spark, sf_dir, "events")), *RATE)
 
 
 COLLECT_RATE = (2, timedelta(days=1))
@@ -324,17 +324,41 @@ def by_batch(sql: str) -> str:
     return sql.replace("event_id", "batch_id")
 
 
-def _collected(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def collect_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {k: by_batch(v) for k, v in REQUEST_SQL.items() if k not in ("id", "ts", "client_country")}
-    requests = sample_payloads(spark, sf_dir).select(
-        "*", *[F.expr(sql).alias(name) for name, sql in columns.items()]
-    )
-    limit, window = COLLECT_RATE
-    return collect_requests(
-        requests, trust=TRUSTED, trust_client_country=True, max_requests=limit, window=window
+    return sample_payloads(spark, sf_dir).select("*", *[F.expr(sql).alias(name) for name, sql in columns.items()])
+
+
+COLLECT = {"trust": TRUSTED, "trust_client_country": True, "max_requests": COLLECT_RATE[0], "window": COLLECT_RATE[1]}
+
+
+def _collected(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return collect_requests(collect_inputs(spark, sf_dir), **COLLECT)
+
+
+def _store_collected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All three kinds, written by one job and read back."""
+    folder = shared_folder(spark, "collected")
+    store_collected(collect_inputs(spark, sf_dir), folder, **COLLECT)
+    return spark.read.schema(COLLECTED).parquet(folder).select(
+        "kind", F.coalesce("batch_id", F.lit(-1)).alias("batch_id"), _place(), "error_code", "id", "event_type", "session_id", "ip", "country"
     )
 
 
+def _stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw requests that come in three portions, each after the query has stopped and been started again."""
+    source, folder, checkpoint = (shared_folder(spark, f"collect-{what}") for what in ("in", "out", "progress"))
+    requests = collect_inputs(spark, sf_dir)
+    for portion in range(3):
+        # By days, so later portions are later in time.
+        of_day = (F.floor(F.dayofmonth("received_at") / 11) == portion)
+        requests.where(of_day).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(requests.schema).parquet(source)
+        writer = stream_in.stream_collect(stream, folder, **COLLECT).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return stream_in.read_streamed(spark, folder, "event").select(*_ENRICHED)
+
+
 # ---- per-row parts ----------------------------------------------------------------------
 
 
@@ -600,6 +624,7 @@ def queries() -> dict[str, Query]:
         "rate_limit": _rate_limit,
         "collect_events": lambda s, d: _collected(s, d)["events"].select(*_ENRICHED),
         "collect_limited": lambda s, d: _collected(s, d)["limited"],
+        "store_collected": _store_collected,
         "parse_browser": _event_columns(browser=lambda: parse_browser(F.col("ua"))),
         "parse_device": _event_columns(device_type=lambda: parse_device(F.col("ua"))),
         "mask_ip": _event_columns(masked=lambda: mask_ip(F.col("ip"))),
@@ -613,6 +638,7 @@ def queries() -> dict[str, Query]:
         "track_events": _track_events,
         "warehouse_rollup": _warehouse_rollup,
         "warehouse_late_events": _warehouse_late_events,
+        "stream_collect": _stream_collect,
         "stream_ingest": _stream_ingest,
         "stream_rollup": _stream_rollup,
         "stream_sessions": _stream_sessions,

@@ -239,6 +239,13 @@ UNION ALL SELECT id, 'outbound_click', NULL, href, nullif(target, '') FROM usabl
   WHERE {_host('href')} <> '' AND {_host('page_url')} <> '' AND {_host('href')} <> {_host('page_url')}"""
 
 
+_KEPT = f"""{_COLLECTED}, kept AS (SELECT v.batch_id, v.received_at, v.pos, v.e, v.error_code, w.client_ip,
+    coalesce(w.user_agent, '') AS agent, w.country AS server FROM validated v JOIN who w ON w.batch_id = v.batch_id
+    JOIN fold f ON f.id = v.batch_id AND NOT f.limited
+  WHERE NOT coalesce(regexp_matches(w.user_agent, '{_BOT}'), false))"""
+_COLLECT_EVENTS = f"{_KEPT} SELECT {_event_columns('client_ip', 'agent', 'server')} FROM kept WHERE error_code IS NULL"
+
+
 def oracle_sql(ev: str, ev_s: str, ev_u: str) -> dict[str, str]:
     utm = {name: _utm("url", name) for name in UTM_FIELDS}
     merged = {name: f"coalesce(nullif({derived.OWN_UTM}, ''), {sql})" for name, sql in utm.items()}
@@ -285,11 +292,12 @@ SELECT s.id, h.id IS NOT NULL AS trusted FROM seen s LEFT JOIN hit h ON h.id = s
         "rate_limit": RATE_LIMIT_SQL,
         "stream_rate_limit": RATE_LIMIT_SQL,
         "collect_limited": f"{_COLLECTED} SELECT id AS batch_id, retry_after FROM fold WHERE limited",
-        "collect_events": f"""{_COLLECTED}, kept AS (SELECT v.batch_id, v.received_at, v.pos, v.e, w.client_ip,
-    coalesce(w.user_agent, '') AS agent, w.country AS server FROM validated v JOIN who w ON w.batch_id = v.batch_id
-    JOIN fold f ON f.id = v.batch_id AND NOT f.limited
-  WHERE v.error_code IS NULL AND NOT coalesce(regexp_matches(w.user_agent, '{_BOT}'), false))
-SELECT {_event_columns('client_ip', 'agent', 'server')} FROM kept""",
+        "collect_events": _COLLECT_EVENTS,
+        "stream_collect": _COLLECT_EVENTS,
+        "store_collected": f"""{_KEPT}, events AS (SELECT error_code, batch_id, pos, {_event_columns('client_ip', 'agent', 'server')} FROM kept)
+SELECT CASE WHEN error_code IS NULL THEN 'event' ELSE 'quarantine' END AS kind, batch_id, coalesce(pos, -1) AS pos, error_code,
+  {', '.join(f'CASE WHEN error_code IS NULL THEN {c} END AS {c}' for c in ('id', 'event_type', 'session_id', 'ip', 'country'))} FROM events
+UNION ALL SELECT 'limited', id, -1, NULL, NULL, NULL, NULL, NULL, NULL FROM fold WHERE limited""",
         "parse_browser": f"{ev} SELECT id, {_browser('ua')} AS browser FROM ev",
         "parse_device": f"{ev} SELECT id, {_device('ua')} AS device_type FROM ev",
         "mask_ip": f"{ev} SELECT id, {_mask('ip')} AS masked FROM ev",

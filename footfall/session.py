@@ -23,6 +23,11 @@ SPEED_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# What the stateful streams need: only this state store keeps lists and times to live.
+STREAM_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 # Speed settings that only a new session can take.
 STARTUP_SETTINGS = {
     # Recording a Python call site for every column costs more than small queries take.
@@ -32,8 +37,8 @@ STARTUP_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the result and speed settings to an existing session."""
-    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS}.items():
+    """Apply the settings that an existing session can take."""
+    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS, **STREAM_SETTINGS}.items():
         spark.conf.set(key, value)
     return spark
 
@@ -43,7 +48,7 @@ def get_spark(app: str = "footfall", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS, **STARTUP_SETTINGS, **conf}.items():
+    for key, value in {**RESULT_SETTINGS, **SPEED_SETTINGS, **STREAM_SETTINGS, **STARTUP_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.addresses import ip_in_cidr, is_valid_ip, mask_ip, normalize_ip, resolve_client_ip
 from footfall.functions.agents import is_bot, parse_browser, parse_device
-from footfall.operators import clients
+from footfall.operators import clients, rates
 from footfall.streaming import live
 
 
@@ -164,7 +164,7 @@ REQUESTS = "ip string, ts timestamp_ntz, id long"
 def test_rate_limit(spark, limit, seconds):
     requests = some_requests()
     df = spark.createDataFrame(requests, REQUESTS).repartition(5)
-    result = clients.rate_limit(df, limit, timedelta(seconds=seconds))
+    result = rates.rate_limit(df, limit, timedelta(seconds=seconds))
     found = {r.id: (r.limited, r.retry_after) for r in result.collect()}
     assert found == limit_one_by_one(requests, limit, seconds * 1000)
     assert any(limited for limited, _ in found.values())
@@ -172,30 +172,95 @@ def test_rate_limit(spark, limit, seconds):
 
 def test_rate_limit_without_address(spark):
     requests = [(None, datetime(2026, 3, 1), n) for n in range(5)]
-    result = clients.rate_limit(spark.createDataFrame(requests, REQUESTS), 3, timedelta(seconds=60))
+    result = rates.rate_limit(spark.createDataFrame(requests, REQUESTS), 3, timedelta(seconds=60))
     assert sorted((r.id, r.limited) for r in result.collect()) == [(0, False), (1, False), (2, False), (3, True), (4, True)]
 
 
-@pytest.mark.parametrize("lateness", ["1 minute", None])
-def test_streamed_rate_limit(spark, tmp_path, lateness):
-    """State carries over micro-batches: one file each, in order of arrival."""
-    requests = some_requests(900)
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    for first in range(0, 900, 300):
+@pytest.mark.parametrize("limit, seconds", [(30, 60), (4, 2)])
+def test_a_hot_address_is_split_at_quiet_points(spark, limit, seconds):
+    """Four addresses in five share the hot one's key; its bursts are folded apart, the others not at all."""
+    rng, start, requests = random.Random(3), datetime(2026, 3, 1), []
+    for burst in range(12):
+        for _ in range(400):
+            moment = burst * 40 * seconds * 1000 + rng.randrange(9 * seconds * 1000)
+            requests.append(("hot" if rng.random() < 0.8 else f"a{len(requests)}", start + timedelta(milliseconds=moment), len(requests)))
+    df = spark.createDataFrame(requests, REQUESTS).repartition(5)
+    found = {r.id: (r.limited, r.retry_after) for r in rates.rate_limit(df, limit, timedelta(seconds=seconds)).collect()}
+    assert found == limit_one_by_one(requests, limit, seconds * 1000)
+    pieces = rates.crowded_pieces(rates._moments(df, None), limit, seconds * 1000)
+    assert {r.ip for r in pieces.select("ip").distinct().collect()} == {"hot"}
+    assert pieces.select("piece").distinct().count() >= 12
+    folded = rates.decide_moments(df, limit, timedelta(seconds=seconds)).withColumn("task", F.spark_partition_id())
+    assert folded.select("task").distinct().count() > 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rate_limit_around_stretches(spark, seed):
+    """Requests crowd around the ends of stretches, where left-over requests decide."""
+    rng, requests = random.Random(seed), []
+    width = rates.STRETCH * 1000
+    for number in range(600):
+        moment = rng.randrange(1, 8) * width + rng.choice([-1000, -999, -1, 0, 1, 500, 999, 1000, rng.randrange(-3000, 3000)])
+        requests.append((rng.choice("ab"), datetime(2026, 3, 1) + timedelta(milliseconds=moment), number))
+    found = rates.rate_limit(spark.createDataFrame(requests, REQUESTS), 5 + seed, timedelta(seconds=1))
+    assert {r.id: (r.limited, r.retry_after) for r in found.collect()} == limit_one_by_one(requests, 5 + seed, 1000)
+
+
+def test_a_carried_log_goes_on_as_if_all_came_at_once(spark):
+    requests, limit, window = some_requests(1500), 20, timedelta(seconds=30)
+    log, found = None, {}
+    for first in range(0, 1500, 300):
         part = spark.createDataFrame(requests[first : first + 300], REQUESTS)
-        part.coalesce(1).write.mode("append").parquet(source)
+        verdicts = rates.decide_moments(part, limit, window, log)
+        found.update({r.id: r.retry_after for r in rates.refused_requests(part, verdicts).collect()})
+        kept = rates.accepted_log(part, verdicts, log, window, timedelta(0)).collect()
+        newest = max(r.ms for r in kept)
+        assert min(r.ms for r in kept) > newest - 30_000  # what is older is released
+        log = spark.createDataFrame([tuple(r) for r in kept], "ip string, ms long, accepted long")
+    expected = limit_one_by_one(requests, limit, 30_000)
+    assert found == {number: wait for number, (limited, wait) in expected.items() if limited}
+
+
+def run_limiter(spark, tmp_path, requests, step, **options):
+    """One micro-batch for every ``step`` requests, in order of arrival."""
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for first in range(0, len(requests), step):
+        spark.createDataFrame(requests[first : first + step], REQUESTS).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(source)
-    limited = live.stream_rate_limit(stream, 20, timedelta(seconds=30), lateness=lateness)
-    query = (
-        limited.writeStream.format("parquet")
-        .option("path", sink)
-        .option("checkpointLocation", str(tmp_path / "progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    found = {r.id: (r.limited, r.retry_after) for r in spark.read.parquet(sink).collect()}
-    assert found == limit_one_by_one(requests, 20, 30_000)
+    limited = live.stream_rate_limit(stream, 20, timedelta(seconds=30), **options)
+    writer = limited.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return {r.id: (r.limited, r.retry_after) for r in spark.read.parquet(sink).collect()}
+
+
+def kept_addresses(spark, tmp_path):
+    state = spark.read.format("statestore").option("stateVarName", "log").load(str(tmp_path / "progress"))
+    return {r.ip for r in state.select("key.ip").collect()}
+
+
+def test_streamed_rate_limit(spark, tmp_path):
+    """State carries over micro-batches; two thirds of all requests are of one address."""
+    requests = some_requests(900)
+    assert run_limiter(spark, tmp_path, requests, 300) == limit_one_by_one(requests, 20, 30_000)
+    assert kept_addresses(spark, tmp_path) == {"hot", "a", "b", "c"}
+
+
+def test_streamed_rate_limit_slices(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "_SLICE", 7)
+    requests = some_requests(200)
+    assert run_limiter(spark, tmp_path, requests, 200) == limit_one_by_one(requests, 20, 30_000)
+
+
+def test_silent_addresses_are_released(spark, tmp_path, monkeypatch):
+    """With a time to live that is over by the next micro-batch, only the last one's addresses are left."""
+    monkeypatch.setattr(live, "_forget_ms", lambda _: 1)
+    start = datetime(2026, 3, 1)
+    requests = [(ip, start + timedelta(seconds=n), n) for n, ip in enumerate("aabbcc")]
+    found = run_limiter(spark, tmp_path, requests, 2)
+    assert len(found) == 6 and not any(limited for limited, _ in found.values())
+    assert kept_addresses(spark, tmp_path) <= {"c"}
+    with pytest.raises(ValueError):
+        live.stream_rate_limit(spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "in")), forget_after=timedelta(seconds=59))
 
 
 def test_verdicts_do_not_depend_on_the_session_zone(spark):
@@ -208,7 +273,7 @@ def test_verdicts_do_not_depend_on_the_session_zone(spark):
         for name in ("UTC", "America/New_York"):
             spark.conf.set("spark.sql.session.timeZone", name)
             requests = spark.createDataFrame(rows, "ip string, ts timestamp_ntz, id long")
-            found.append(sorted((r.id, r.limited, r.retry_after) for r in clients.rate_limit(requests, 2).collect()))
+            found.append(sorted((r.id, r.limited, r.retry_after) for r in rates.rate_limit(requests, 2).collect()))
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert found[0] == found[1]
