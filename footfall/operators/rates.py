@@ -161,12 +161,17 @@ def rate_limit(requests: DataFrame, max_requests: int = RATE_MAX, window: timede
     `crowded_pieces`. Addresses that stay within the limit are never folded. Verdicts go back to the requests
     of the moments they are for, spread over (address, millisecond).
     """
-    verdicts = decide_moments(requests, max_requests, window).select(F.col("ip").alias("_address"), F.col("ms").alias("_ms"), "taken", "wait")
+    return flag_requests(requests, decide_moments(requests, max_requests, window))
+
+
+def flag_requests(requests: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """All requests, those of ``verdicts`` beyond what was taken ``limited``."""
+    found = verdicts.select(F.col("ip").alias("_address"), F.col("ms").alias("_ms"), "taken", "wait")
     in_moment = Window.partitionBy("_address", "_ms").orderBy("id")
     limited = F.coalesce(F.row_number().over(in_moment) > F.col("taken"), F.lit(False))
     return (
         _timed(requests)
-        .join(verdicts, ["_address", "_ms"], "left")
+        .join(found, ["_address", "_ms"], "left")
         .withColumn("limited", limited)
         .select(*requests.columns, "limited", F.when(F.col("limited"), F.col("wait")).otherwise(F.lit(0)).alias("retry_after"))
     )

@@ -36,6 +36,7 @@ from footfall.sources.sample import (
 from footfall.sources.warehouse import Warehouse
 from footfall.streaming import ingest as stream_in
 from footfall.streaming import live
+from footfall.streaming import rates as stream_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -354,9 +355,9 @@ def _stream_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
         of_day = (F.floor(F.dayofmonth("received_at") / 11) == portion)
         requests.where(of_day).write.mode("append").parquet(source)
         stream = spark.readStream.schema(requests.schema).parquet(source)
-        writer = stream_in.stream_collect(stream, folder, **COLLECT).option("checkpointLocation", checkpoint)
+        writer = stream_rates.stream_collect(stream, folder, **COLLECT).option("checkpointLocation", checkpoint)
         writer.trigger(availableNow=True).start().awaitTermination()
-    return stream_in.read_streamed(spark, folder, "event").select(*_ENRICHED)
+    return stream_rates.read_streamed(spark, folder, "event").select(*_ENRICHED)
 
 
 # ---- per-row parts ----------------------------------------------------------------------
@@ -595,10 +596,11 @@ def _stream_daily_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "limits")
-    limited = live.stream_rate_limit(sample_callers(_event_stream(spark, sf_dir)), *RATE)
-    writer = limited.writeStream.format("parquet").option("path", folder).outputMode("append")
-    _finish(writer, spark, "limits")
-    return spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    _finish(stream_rates.stream_rate_limit(sample_callers(_event_stream(spark, sf_dir)), folder, *RATE), spark, "limits")
+    verdicts = stream_rates.read_verdicts(spark, folder)
+    # Only a hash of the address is stored.
+    callers = sample_callers(read_sample(spark, sf_dir, "events")).select("id", F.col("ip").alias("raw"))
+    return verdicts.join(callers, "id").select(F.col("raw").alias("ip"), "ts", "id", "limited", "retry_after")
 
 
 def queries() -> dict[str, Query]:

@@ -8,17 +8,12 @@ rewritten while the stream runs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from footfall.functions.addresses import Trust
 from footfall.model import EVENTS, SESSIONS, USERS
-from footfall.operators.collect import COLLECTED, calls_of, collect_resolved, collected_part, resolved_requests, write_collected
 from footfall.operators.enrich import enrich_events
 from footfall.operators.ingest import (
     parse_payloads,
@@ -26,10 +21,8 @@ from footfall.operators.ingest import (
     valid_events,
     validate_events,
 )
-from footfall.operators.rates import RATE_MAX, RATE_WINDOW, accepted_log, decide_moments, refused_requests
 from footfall.operators.state import build_sessions, build_users
 
-_LOG = "ip string, ms long, accepted long"
 _ARRIVAL = [T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())]
 _DELTA_SCHEMAS = {
     "sessions": T.StructType([*SESSIONS.fields, *_ARRIVAL]),
@@ -73,58 +66,6 @@ def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/events").drop("batch_no")
 
 
-def stream_collect(
-    requests: DataFrame,
-    folder: str,
-    *,
-    trust: Trust = False,
-    trust_client_country: bool = False,
-    max_requests: int = RATE_MAX,
-    window: timedelta = RATE_WINDOW,
-    lateness: timedelta = timedelta(minutes=10),
-    salt: str = "",
-) -> DataStreamWriter:
-    """The whole way of a request as one query: resolve, limit, drop bots, validate, enrich, one tagged output.
-
-    ``requests`` is as for `collect_tagged`. Each micro-batch is decided by the same job as a batch, together
-    with the log of accepted requests that the one before has left, so an address with a large share of
-    the requests is split as there, requests are taken in order of time whatever order they come in, and
-    bodies never meet in a task for their address. The log is the query's state: accepted requests as counts
-    a millisecond under a hash of the address (``salt`` goes into it), back to a window and ``lateness``
-    before the newest request; older ones are released. Requests later than that still get a verdict, by what
-    the log has.
-
-    Everything is written under the number of the micro-batch: ``collected/batch_no=n`` in one job, and
-    the log to one of two folders in turn, of which a batch reads the other. A micro-batch that runs again
-    thus reads and writes the same, and replaces what it has left.
-    """
-
-    def store(batch: DataFrame, batch_no: int) -> None:
-        spark = batch.sparkSession
-        log = None
-        if batch_no > 0:
-            log = spark.read.schema(_LOG).parquet(f"{folder}/log/{(batch_no - 1) % 2}")
-        resolved = resolved_requests(batch, trust).persist(StorageLevel.DISK_ONLY)
-        calls = calls_of(resolved).withColumn("ip", F.sha2(F.concat(F.lit(salt), F.coalesce("ip", F.lit(""))), 256))
-        verdicts = decide_moments(calls, max_requests, window, log).persist(StorageLevel.DISK_ONLY)
-        try:
-            refused = refused_requests(calls, verdicts).select(F.col("id").alias("batch_id"), "retry_after")
-            write_collected(collect_resolved(resolved, refused, trust_client_country), f"{folder}/collected/batch_no={batch_no}")
-            kept = accepted_log(calls, verdicts, log, window, lateness)
-            kept.write.mode("overwrite").parquet(f"{folder}/log/{batch_no % 2}")
-        finally:
-            verdicts.unpersist()
-            resolved.unpersist()
-
-    return requests.writeStream.foreachBatch(store)
-
-
-def read_streamed(spark: SparkSession, folder: str, kind: str) -> DataFrame:
-    """What `stream_collect` has left of one kind."""
-    schema = T.StructType([*COLLECTED.fields, T.StructField("batch_no", T.LongType())])
-    return collected_part(spark.read.schema(schema).parquet(f"{folder}/collected"), kind)
-
-
 def _stream_deltas(
     events: DataFrame, folder: str, build: Callable[..., DataFrame]
 ) -> DataStreamWriter:

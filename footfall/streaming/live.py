@@ -1,20 +1,13 @@
-"""Live figures and rate limiting over event and request streams."""
+"""Live figures over event streams."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-from datetime import timedelta
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from footfall.functions.text import iso_date, present
 from footfall.operators.filters import is_pageview
-from footfall.operators.rates import RATE_MAX, RATE_WINDOW, window_ms
 
 
 def stream_active_now(
@@ -67,81 +60,3 @@ def read_latest(spark: SparkSession, folder: str, key: str, value: str) -> DataF
     """The newest value per key that ``store_updates`` has left."""
     rows = spark.read.parquet(folder)
     return rows.groupBy(key).agg(F.max_by(value, "batch_no").alias(value))
-
-
-_VERDICT = "ip string, id long, ts timestamp, limited boolean, retry_after long"
-# Verdicts handed over at a time.
-_SLICE = 20_000
-
-
-class _Limiter(StatefulProcessor):
-    """The accepted times of an address's last window, in list state that is released once the address is silent."""
-
-    def __init__(self, limit: int, window: int, forget: int):
-        self.limit, self.window, self.forget = limit, window, forget
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # Every put starts the time to live anew.
-        self.log = handle.getListState("log", "ms long", ttlDurationMs=self.forget)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Sixteen bytes a request are kept until all of the micro-batch are here; they may come in any order.
-        parts = [(r["ts"].to_numpy("datetime64[us]").astype("int64"), r["id"].to_numpy()) for r in rows]
-        micros, ids = (np.concatenate(column) for column in zip(*parts))
-        order = np.lexsort((ids, micros))
-        log = deque(ms for (ms,) in self.log.get())
-        for at in range(0, len(order), _SLICE):
-            some = order[at : at + _SLICE]
-            waits = [self._wait(log, now) for now in (micros[some] // 1000).tolist()]
-            yield pd.DataFrame(
-                {
-                    "ip": key[0],
-                    "id": ids[some],
-                    "ts": micros[some].view("datetime64[us]"),
-                    "limited": [w > 0 for w in waits],
-                    "retry_after": waits,
-                }
-            )
-        if log:
-            self.log.put([(ms,) for ms in log])
-        else:
-            self.log.clear()
-
-    def _wait(self, log: deque, now: int) -> int:
-        """Seconds a request has to wait: 0 if it is accepted, which the log then holds."""
-        while log and log[0] <= now - self.window:
-            log.popleft()
-        if len(log) < self.limit:
-            log.append(now)
-            return 0
-        return max(1, -((now - self.window - log[0]) // 1000)) if log else 1
-
-    def close(self) -> None:
-        pass
-
-
-def _forget_ms(forget_after: timedelta) -> int:
-    return window_ms(forget_after)
-
-
-def stream_rate_limit(
-    requests: DataFrame,
-    max_requests: int = RATE_MAX,
-    window: timedelta = RATE_WINDOW,
-    *,
-    forget_after: timedelta = timedelta(hours=1),
-) -> DataFrame:
-    """Rate limiting of a request stream [ip, ts, id], in arrival order; every request gets a verdict, however late.
-
-    State per address is the accepted times of the last window, at most ``max_requests``. It is released when
-    no request of the address has come for ``forget_after`` by the clock, which must be longer than the window
-    and than the stream may fall behind. A task holds the time and the id of one address's requests of one
-    micro-batch; where an address may have more than fit there, or bodies have to be carried along, use
-    `stream_collect`, which splits them.
-    """
-    if forget_after < window:
-        raise ValueError("forget_after must not be shorter than the window")
-    timed = requests.select(F.coalesce("ip", F.lit("")).alias("ip"), "id", F.col("ts").cast("timestamp").alias("ts"))
-    return timed.groupBy("ip").transformWithStateInPandas(
-        _Limiter(max_requests, window_ms(window), _forget_ms(forget_after)), _VERDICT, "append", "ProcessingTime"
-    )

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from footfall.functions.addresses import ip_in_cidr, is_valid_ip, mask_ip, normalize_ip, resolve_client_ip
 from footfall.functions.agents import is_bot, parse_browser, parse_device
 from footfall.operators import clients, rates
-from footfall.streaming import live
+from footfall.streaming import rates as stream_rates
 
 
 def mapped(spark, column, *values):
@@ -221,46 +222,47 @@ def test_a_carried_log_goes_on_as_if_all_came_at_once(spark):
     assert found == {number: wait for number, (limited, wait) in expected.items() if limited}
 
 
-def run_limiter(spark, tmp_path, requests, step, **options):
-    """One micro-batch for every ``step`` requests, in order of arrival."""
-    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
-    for first in range(0, len(requests), step):
-        spark.createDataFrame(requests[first : first + step], REQUESTS).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).parquet(source)
-    limited = live.stream_rate_limit(stream, 20, timedelta(seconds=30), **options)
-    writer = limited.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "progress"))
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return {r.id: (r.limited, r.retry_after) for r in spark.read.parquet(sink).collect()}
+def run_limiter(spark, tmp_path, portions, limit=20, **options):
+    """A micro-batch for each portion; the query is stopped and started again in between."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for requests in portions:
+        spark.createDataFrame(requests, REQUESTS).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(REQUESTS).parquet(source)
+        writer = stream_rates.stream_rate_limit(stream, folder, limit, timedelta(seconds=30), **options)
+        writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    return {r.id: (r.limited, r.retry_after) for r in stream_rates.read_verdicts(spark, folder).collect()}
 
 
-def kept_addresses(spark, tmp_path):
-    state = spark.read.format("statestore").option("stateVarName", "log").load(str(tmp_path / "progress"))
-    return {r.ip for r in state.select("key.ip").collect()}
+def kept_log(spark, tmp_path, batch_no):
+    return stream_rates.read_log(spark, str(tmp_path / "out"), batch_no).collect()
 
 
-def test_streamed_rate_limit(spark, tmp_path):
-    """State carries over micro-batches; two thirds of all requests are of one address."""
+@pytest.mark.parametrize("lateness", [timedelta(0), timedelta(minutes=10)])
+def test_streamed_rate_limit(spark, tmp_path, lateness):
+    """The log carries over micro-batches; two thirds of all requests are of one address."""
     requests = some_requests(900)
-    assert run_limiter(spark, tmp_path, requests, 300) == limit_one_by_one(requests, 20, 30_000)
-    assert kept_addresses(spark, tmp_path) == {"hot", "a", "b", "c"}
+    random.Random(1).shuffle(portion := requests[300:600])
+    found = run_limiter(spark, tmp_path, [requests[:300], portion, requests[600:]], lateness=lateness)
+    assert found == limit_one_by_one(requests, 20, 30_000)
+    assert {r.ip for r in kept_log(spark, tmp_path, 3)}.isdisjoint({"hot", "a", "b", "c"})  # only hashes are stored
 
 
-def test_streamed_rate_limit_slices(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(live, "_SLICE", 7)
-    requests = some_requests(200)
-    assert run_limiter(spark, tmp_path, requests, 200) == limit_one_by_one(requests, 20, 30_000)
+def test_a_micro_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    requests = some_requests(400)
+    found = run_limiter(spark, tmp_path, [requests[:200], requests[200:]])
+    log = sorted(kept_log(spark, tmp_path, 2))
+    os.remove(tmp_path / "progress" / "commits" / "1")  # it failed before it was recorded
+    (crc := tmp_path / "progress" / "commits" / ".1.crc").exists() and os.remove(crc)
+    again = run_limiter(spark, tmp_path, [[]])
+    assert again == found and sorted(kept_log(spark, tmp_path, 2)) == log
 
 
-def test_silent_addresses_are_released(spark, tmp_path, monkeypatch):
-    """With a time to live that is over by the next micro-batch, only the last one's addresses are left."""
-    monkeypatch.setattr(live, "_forget_ms", lambda _: 1)
+def test_silent_addresses_are_released(spark, tmp_path):
     start = datetime(2026, 3, 1)
-    requests = [(ip, start + timedelta(seconds=n), n) for n, ip in enumerate("aabbcc")]
-    found = run_limiter(spark, tmp_path, requests, 2)
-    assert len(found) == 6 and not any(limited for limited, _ in found.values())
-    assert kept_addresses(spark, tmp_path) <= {"c"}
-    with pytest.raises(ValueError):
-        live.stream_rate_limit(spark.readStream.schema(REQUESTS).parquet(str(tmp_path / "in")), forget_after=timedelta(seconds=59))
+    portions = [[(ip, start + timedelta(minutes=5 * n, seconds=s), 10 * n + s) for s in range(4)] for n, ip in enumerate("abc")]
+    found = run_limiter(spark, tmp_path, portions, 3, lateness=timedelta(minutes=1))
+    assert found == limit_one_by_one(sum(portions, []), 3, 30_000)
+    assert {r.accepted for r in kept_log(spark, tmp_path, 3)} == {1} and len(kept_log(spark, tmp_path, 3)) == 3
 
 
 def test_verdicts_do_not_depend_on_the_session_zone(spark):
@@ -293,12 +295,9 @@ def test_a_trust_table_agrees_with_the_list(spark):
 
 
 def test_late_requests_get_a_verdict(spark, tmp_path):
-    schema = "ip string, id long, ts timestamp"
-    for number, day in enumerate((20, 10, 1)):
-        late = spark.createDataFrame([("a", number, datetime(2026, 3, day))], schema)
-        late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    found = []
-    writer = live.stream_rate_limit(stream, 5, timedelta(minutes=1)).writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect()))
-    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
-    assert sorted((r.id, r.limited) for r in found) == [(0, False), (1, False), (2, False)]
+    """Each is judged at its own time, by the accepted requests of the window before it."""
+    portions = [[("a", datetime(2026, 3, day, 12, 0, second), 100 * day + second) for second in seconds] for day, seconds in ((20, (1, 2, 3)), (10, (1, 2)), (20, (0, 4)))]
+    found = run_limiter(spark, tmp_path, portions, 3)
+    assert {number: limited for number, (limited, _) in found.items()} == {
+        2001: False, 2002: False, 2003: False, 1001: False, 1002: False, 2000: False, 2004: True,
+    }
