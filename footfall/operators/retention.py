@@ -51,7 +51,7 @@ def prune_events(events: DataFrame, cutoff: datetime) -> DataFrame:
     return events.where(_not_before("timestamp", cutoff))
 
 
-def _daily(events: DataFrame, metric) -> DataFrame:
+def daily_counts(events: DataFrame, metric: Column) -> DataFrame:
     return events.groupBy(
         iso_date(F.col("timestamp")).alias("date"),
         metric.alias("metric"),
@@ -60,11 +60,11 @@ def _daily(events: DataFrame, metric) -> DataFrame:
 
 
 def rollup_pageviews(events: DataFrame, cutoff: datetime) -> DataFrame:
-    return _daily(expired_events(events, cutoff).where(is_pageview()), F.lit("pageviews"))
+    return daily_counts(expired_events(events, cutoff).where(is_pageview()), F.lit("pageviews"))
 
 
 def rollup_events(events: DataFrame, cutoff: datetime) -> DataFrame:
-    return _daily(expired_events(events, cutoff).where(~is_pageview()), F.col("event_type"))
+    return daily_counts(expired_events(events, cutoff).where(~is_pageview()), F.col("event_type"))
 
 
 def merge_metrics(metrics: DataFrame, added: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def rollup_metrics(events: DataFrame, metrics: DataFrame, cutoff: datetime) -> D
     event that is itself called 'pageviews' lands on the same key.
     """
     metric = F.when(is_pageview(), "pageviews").otherwise(F.col("event_type"))
-    return merge_metrics(metrics, _daily(expired_events(events, cutoff), metric))
+    return merge_metrics(metrics, daily_counts(expired_events(events, cutoff), metric))
 
 
 def prune_metrics(metrics: DataFrame, cutoff: datetime) -> DataFrame:
@@ -123,7 +123,7 @@ def retention_rollup(
     """The four tables after a rollup at ``as_of``, as lazy frames.
 
     Running it again on its own result changes nothing, since rolled-up events are gone.
-    ``Warehouse.roll_up`` publishes all four together.
+    `store.roll_up` does it on stored tables, without rewriting what stays.
     """
     if not retention.auto_rollup:
         return {"events": events, "sessions": sessions, "users": users, "metrics": metrics}

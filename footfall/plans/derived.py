@@ -19,9 +19,9 @@ from footfall.model import OPTIONAL_FIELDS, UTM_FIELDS
 from footfall.operators import browser, clients, enrich, ingest, rates
 from footfall.operators.collect import COLLECTED, collect_requests, store_collected
 from footfall.operators.retention import Retention
-from footfall.operators.state import build_sessions
-from footfall.plans.settings import AS_OF
+from footfall.plans.settings import AS_OF, PERIOD
 from footfall.session import configure, shared_folder
+from footfall.sources import entities, store
 from footfall.sources.sample import (
     ADDRESSES,
     AGENTS,
@@ -33,7 +33,6 @@ from footfall.sources.sample import (
     sample_events,
     with_page,
 )
-from footfall.sources.warehouse import Warehouse
 from footfall.streaming import ingest as stream_in
 from footfall.streaming import live
 from footfall.streaming import rates as stream_rates
@@ -482,16 +481,14 @@ def _track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _warehouse_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append, fold, roll up and roll up again; then the published metrics."""
+    """Append, fold, roll up and roll up again; then the stored metrics."""
     configure(spark)
-    store = Warehouse(spark, shared_folder(spark, "warehouse"))
-    rows = sample_events(spark, sf_dir)
-    store.append_events(rows)
-    store.fold_entities(store.events())
-    store.roll_up(AS_OF, Retention(keep_raw_days=20))
-    store.roll_up(AS_OF, Retention(keep_raw_days=10))
-    store.vacuum()
-    return store.table("metrics")
+    root = shared_folder(spark, "store")
+    store.append_batch(sample_events(spark, sf_dir), root, "all")
+    store.fold_events(store.read_events(spark, root), root)
+    store.roll_up(spark, root, AS_OF, Retention(keep_raw_days=20))
+    store.roll_up(spark, root, AS_OF, Retention(keep_raw_days=10))
+    return store.read_metrics(spark, root)
 
 
 LATE_CUTOFF = AS_OF - timedelta(days=20)
@@ -499,30 +496,41 @@ LATE_IDS = 10_000_000
 
 
 def _warehouse_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that arrive below the floor, before folds, deltas, a vacuum and the next rollup: all metrics."""
+    """Events that arrive below the floor, before folds, a repeated micro-batch and the next rollup: all metrics."""
     configure(spark)
-    store = Warehouse(spark, shared_folder(spark, "warehouse"))
+    root = shared_folder(spark, "store")
     rows = sample_events(spark, sf_dir)
-    store.append_events(rows)
-    store.fold_entities(store.events())
-    store.roll_up(AS_OF, Retention(keep_raw_days=20))
+    store.append_batch(rows, root, "all")
+    store.fold_events(store.read_events(spark, root), root)
+    store.roll_up(spark, root, AS_OF, Retention(keep_raw_days=20))
     late = rows.where((F.col("id") % 7 == 0) & (F.col("timestamp") < F.lit(LATE_CUTOFF).cast("timestamp_ntz")))
-    store.append_events(late.withColumn("id", F.col("id") + LATE_IDS))
-    store.fold_entities(store.events())
-    deltas = build_sessions(late, arrival=True).withColumn("batch_no", F.lit(0))
-    folder = shared_folder(spark, "deltas")
-    deltas.write.partitionBy("batch_no").parquet(folder)
-    store.absorb_deltas("sessions", folder)
-    store.vacuum()
-    visible = store.events().where(F.col("id") >= LATE_IDS).agg(F.count("*").alias("value"))
+    late = late.withColumn("id", F.col("id") + LATE_IDS)
+    for _ in range(2):  # an append that is repeated replaces itself
+        store.append_batch(late, root, "late")
+    store.fold_events(store.read_events(spark, root), root)
+    visible = store.read_events(spark, root).where(F.col("id") >= LATE_IDS).agg(F.count("*").alias("value"))
     seen = visible.select(
         F.lit("").alias("date"), F.lit("late").alias("metric"), F.lit("").alias("dimension"), "value"
     )
     # Counted before the next rollup takes these events.
     seen = spark.createDataFrame(seen.collect(), seen.schema)
-    store.roll_up(AS_OF, Retention(keep_raw_days=10))
-    store.vacuum()
-    return store.table("metrics").unionByName(seen)
+    store.roll_up(spark, root, AS_OF, Retention(keep_raw_days=10))
+    return store.read_metrics(spark, root).unionByName(seen)
+
+
+def _merged_in_buckets(name: str) -> Query:
+    """The events of the first and of the second half of the period, merged into stored buckets one after the other."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        folder = shared_folder(spark, name)
+        events = sample_events(spark, sf_dir, urls=True)
+        early = F.col("timestamp") < F.lit(PERIOD.since).cast("timestamp_ntz")
+        for part in (early, ~early, ~early):  # what is merged again changes nothing
+            entities.merge_entities(events.where(part), folder, name)
+        return entities.read_entities(spark, folder, name)
+
+    return run
 
 
 # ---- streams ----------------------------------------------------------------------------
@@ -552,18 +560,14 @@ def _stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streamed events, taken over by a warehouse and rolled up there."""
+    """Events that a stream has stored, rolled up where they are."""
     configure(spark)
     source, folder = shared_folder(spark, "payloads"), shared_folder(spark, "ingest")
     with_request(sample_payloads(spark, sf_dir)).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
     _finish(stream_in.stream_ingest(stream, folder, trust_client_country=True), spark, "ingest")
-    store = Warehouse(spark, shared_folder(spark, "warehouse"))
-    for _ in range(2):  # the second finds nothing new
-        store.absorb_events(f"{folder}/events")
-    store.roll_up(AS_OF, Retention(keep_raw_days=10))
-    store.vacuum()
-    return store.table("metrics")
+    store.roll_up(spark, folder, AS_OF, Retention(keep_raw_days=10))
+    return store.read_metrics(spark, folder)
 
 
 def _stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -638,6 +642,8 @@ def queries() -> dict[str, Query]:
         "classify_links": _links,
         "append_events": _append_events,
         "track_events": _track_events,
+        "merge_sessions": _merged_in_buckets("sessions"),
+        "merge_users": _merged_in_buckets("users"),
         "warehouse_rollup": _warehouse_rollup,
         "warehouse_late_events": _warehouse_late_events,
         "stream_collect": _stream_collect,

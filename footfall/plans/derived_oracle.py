@@ -320,6 +320,8 @@ FROM ev WHERE t < TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY GROUP BY 1, 2""",
 SELECT day AS date, CASE WHEN event_type = 'pageview' THEN 'pageviews' ELSE event_type END AS metric, '' AS dimension,
   count(*) AS value FROM twice GROUP BY 1, 2
 UNION ALL SELECT '', 'late', '', count(*) FROM twice WHERE late""",
+        "merge_sessions": f"{ev_s} SELECT * FROM ses",
+        "merge_users": f"{ev_u} SELECT * FROM usr",
         "stream_sessions": f"{ev_s} SELECT * FROM ses",
         "stream_users": f"{ev_u} SELECT * FROM usr",
         "stream_active_now": f"""{ev}, marks AS (SELECT session_id, unnest(range(date_trunc('minute', t) + INTERVAL 1 MINUTE,

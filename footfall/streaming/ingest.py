@@ -1,19 +1,17 @@
 """Payload streams to stored events, and the session and user tables kept up with them.
 
-Every micro-batch writes a folder of its own, named by its number. A batch that is run again
-after a failure overwrites its folder, so nothing is stored twice and no table has to be
-rewritten while the stream runs.
+Events and quarantine go to a folder for every micro-batch, named by its number, and sessions and users are
+merged into the buckets they touch. A micro-batch that is run again after a failure replaces its folder and
+skips the buckets that hold it already, so nothing is stored or counted twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from footfall.model import EVENTS, SESSIONS, USERS
+from footfall.model import EVENTS
 from footfall.operators.enrich import enrich_events
 from footfall.operators.ingest import (
     parse_payloads,
@@ -21,13 +19,7 @@ from footfall.operators.ingest import (
     valid_events,
     validate_events,
 )
-from footfall.operators.state import build_sessions, build_users
-
-_ARRIVAL = [T.StructField("first_id", T.LongType()), T.StructField("last_id", T.LongType())]
-_DELTA_SCHEMAS = {
-    "sessions": T.StructType([*SESSIONS.fields, *_ARRIVAL]),
-    "users": T.StructType([*USERS.fields, *_ARRIVAL]),
-}
+from footfall.sources.entities import BUCKETS, merge_entities, read_entities
 
 
 def _write_batch(rows: DataFrame, folder: str, batch_no: int, by_date: bool = False) -> None:
@@ -66,33 +58,29 @@ def read_ingested(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/events").drop("batch_no")
 
 
-def _stream_deltas(
-    events: DataFrame, folder: str, build: Callable[..., DataFrame]
-) -> DataStreamWriter:
+def _stream_entities(events: DataFrame, folder: str, name: str, buckets: int) -> DataStreamWriter:
     def store(batch: DataFrame, batch_no: int) -> None:
-        _write_batch(build(batch, arrival=True), folder, batch_no)
+        merge_entities(batch, folder, name, batch_no, buckets)
 
     return events.writeStream.foreachBatch(store)
 
 
-def _read_deltas(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = T.StructType([*_DELTA_SCHEMAS[name].fields, T.StructField("batch_no", T.LongType())])
-    return spark.read.schema(schema).parquet(folder).drop("batch_no")
+def stream_sessions(events: DataFrame, folder: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """Merge each micro-batch into the sessions at ``folder``, of which only touched buckets are rewritten.
 
-
-def stream_sessions(events: DataFrame, folder: str) -> DataStreamWriter:
-    """Fold each micro-batch to one row per session; ``read_sessions`` merges the rows."""
-    return _stream_deltas(events, folder, build_sessions)
+    Every bucket knows the last micro-batch it holds, so one that runs again changes nothing.
+    """
+    return _stream_entities(events, folder, "sessions", buckets)
 
 
 def read_sessions(spark: SparkSession, folder: str, arrival: bool = False) -> DataFrame:
-    return build_sessions(None, _read_deltas(spark, folder, "sessions"), arrival=arrival)
+    return read_entities(spark, folder, "sessions", arrival)
 
 
-def stream_users(events: DataFrame, folder: str) -> DataStreamWriter:
-    """Fold each micro-batch to one row per user; ``read_users`` merges the rows."""
-    return _stream_deltas(events, folder, build_users)
+def stream_users(events: DataFrame, folder: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """Merge each micro-batch into the users at ``folder``, as `stream_sessions` does."""
+    return _stream_entities(events, folder, "users", buckets)
 
 
 def read_users(spark: SparkSession, folder: str, arrival: bool = False) -> DataFrame:
-    return build_users(None, _read_deltas(spark, folder, "users"), arrival=arrival)
+    return read_entities(spark, folder, "users", arrival)

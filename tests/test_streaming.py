@@ -6,7 +6,7 @@ import pytest
 from footfall.operators import ingest
 from footfall.operators.enrich import enrich_events
 from footfall.operators.state import build_sessions, build_users
-from footfall.sources.warehouse import Warehouse
+from footfall.sources import entities
 from footfall.streaming import ingest as stream_in
 from footfall.streaming import live
 
@@ -60,28 +60,15 @@ def same(left, right):
 )
 def test_entities(spark, tables, tmp_path, stream, read, build):
     events = some_events(tables)
-    folder = str(tmp_path / "deltas")
+    folder = str(tmp_path / "table")
     finish(stream(as_stream(spark, events, str(tmp_path / "in")), folder), tmp_path)
     assert same(read(spark, folder), build(events))
-    # A micro-batch that runs again replaces its own delta.
-    stream_in._write_batch(build(events.where("id < 101"), arrival=True), folder, 0)
+    # A micro-batch that runs again changes nothing.
+    name = "sessions" if build is build_sessions else "users"
+    entities.merge_entities(events.where("id < 101"), folder, name, 0)
     assert same(read(spark, folder), build(events))
 
 
-def test_deltas_are_absorbed_once(spark, tables, tmp_path):
-    events = some_events(tables)
-    folder, store = str(tmp_path / "deltas"), Warehouse(spark, str(tmp_path / "store"))
-    for batch_no, part in enumerate(["id < 100", "id >= 100 AND id < 250"]):
-        stream_in._write_batch(build_sessions(events.where(part), arrival=True), folder, batch_no)
-    for _ in range(2):
-        store.absorb_deltas("sessions", folder)
-        assert store.current()["version"] == 1
-        assert same(build_sessions(events.where("id < 250")), store.table("sessions"))
-    stream_in._write_batch(build_sessions(events.where("id >= 250"), arrival=True), folder, 2)
-    store.absorb_deltas("sessions", folder)
-    assert same(build_sessions(events), store.table("sessions"))
-
-
 def test_active_now(spark, tables, tmp_path):
     events = some_events(tables)
     active = live.stream_active_now(as_stream(spark, events, str(tmp_path / "in")))
