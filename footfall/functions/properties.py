@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.functions.text import utf16_length
+from footfall.functions.text import let, utf16_length
 from footfall.model import (
     PROP_BYTES_MAX,
     PROP_DEPTH_MAX,
@@ -34,25 +34,56 @@ _OVERFLOW = r"\d[eE]\+?\d{3}|\d{309}"
 # Containers in this depth of a body lose their content; so many brackets are needed to get there.
 _DEEP, _MANY = 40, r"(?:[\[{][^\[{]*+){400}"
 _PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}]++'
+# Pieces whose kept text is put together at a time.
+_RUN = 128
+
+
+def _change(piece: Column) -> Column:
+    """What a piece of JSON text does to the depth."""
+    return F.when(piece.isin("{", "["), 1).when(piece.isin("}", "]"), -1).otherwise(0)
 
 
 def shallow(text: Column) -> Column:
     """JSON text of which containers in a depth of ``_DEEP`` are empty; most text is kept by a look at its brackets.
 
-    The parser refuses text of some hundred levels as a whole. Text that is no JSON stays none.
+    The parser refuses text of some hundred levels as a whole. Text that is no JSON stays none. The deepest place
+    is found by counting; only text that is too deep there is put together anew, in runs of pieces, each
+    from the depth at its start: so the work grows with the length of the text.
     """
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("depth"), zero.alias("most"))
 
-    def step(state: Column, piece: Column) -> Column:
-        opens, closes = piece.isin("{", "["), piece.isin("}", "]")
-        depth = state["depth"] + F.when(opens, 1).otherwise(0)
-        kept = F.when(depth > _DEEP, state["kept"]).otherwise(F.concat(state["kept"], piece))
-        # Inside the deepest container that stays, only its brackets do.
-        kept = F.when((depth == _DEEP) & ~opens & ~closes, state["kept"]).otherwise(kept)
-        return F.struct((depth - F.when(closes, 1).otherwise(0)).cast("int").alias("depth"), kept.alias("kept"))
+    def count(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + _change(piece)
+        return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
+
+    def cut(pieces: Column) -> Column:
+        runs = F.transform(F.sequence(zero, F.floor((F.size(pieces) - 1) / _RUN).cast("int")), lambda n: F.slice(pieces, n * _RUN + 1, _RUN))
+        return let(runs, lambda r: F.array_join(F.transform(F.arrays_zip(r.alias("run"), _starts(r).alias("depth")), _kept), ""))
 
     pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    return F.when(text.rlike(_MANY), F.aggregate(pieces, start, step)["kept"]).otherwise(text)
+    looked_at = let(pieces, lambda p: F.when(F.aggregate(p, start, count)["most"] > _DEEP, cut(p)))
+    return F.coalesce(F.when(text.rlike(_MANY), looked_at), text)
+
+
+def _starts(runs: Column) -> Column:
+    """The depth before each run."""
+    changes = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda depth, piece: depth + _change(piece)))
+    return F.aggregate(changes, F.array(F.lit(0)), lambda depths, change: F.array_append(depths, F.element_at(depths, -1) + change))
+
+
+def _kept(part: Column) -> Column:
+    """The text of a run without what lies deeper than ``_DEEP``; of a container in that depth, the brackets."""
+    start = F.struct(part["depth"].alias("depth"), F.lit("").alias("kept"))
+
+    def step(state: Column, piece: Column) -> Column:
+        change = _change(piece)
+        inside = state["depth"] + F.when(change > 0, 1).otherwise(0)
+        goes = (inside > _DEEP) | ((inside == _DEEP) & (change == 0))
+        kept = F.when(goes, state["kept"]).otherwise(F.concat(state["kept"], piece))
+        return F.struct((state["depth"] + change).alias("depth"), kept.alias("kept"))
+
+    return F.when(part["run"].isNull(), "").otherwise(F.aggregate(part["run"], start, step)["kept"])
 
 
 def is_small_and_flat(text: Column) -> Column:

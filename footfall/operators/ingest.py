@@ -44,9 +44,8 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     kept = [c for c in payloads.columns if c != "body"]
     sent = F.coalesce(none_if_empty(F.col("body")), F.lit("{}"))
     too_large = F.octet_length(sent) > model.BODY_BYTES_MAX
-    body = F.when(too_large, sent).otherwise(shallow(sent))
     # Inside brackets, text after the JSON value is a syntax error or a second element.
-    bracketed = F.when(~too_large, F.concat(F.lit("["), body, F.lit("]")))
+    bracketed = F.when(~F.col("too_large"), F.concat(F.lit("["), F.col("text"), F.lit("]")))
     first = F.regexp_extract("body", r"^[ \t\n\r]*(.)", 1)
     wrapped = F.col("wrapped")
     well_formed = (
@@ -65,16 +64,16 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
         .when(is_list & (F.size("events") == 0), "EMPTY_BATCH")
         .when(is_list & (F.size("events") > model.BATCH_MAX), "BATCH_TOO_LARGE")
     )
+    # Columns that are used more than once are projections of their own, so that they are computed once.
     parsed = (
         payloads.select(
             *kept,
-            body.alias("text"),
-            bracketed.alias("bracketed"),
+            F.when(too_large, sent).otherwise(shallow(sent)).alias("text"),
             too_large.alias("too_large"),
-            may_overflow(body).alias("overflow"),
-            F.try_parse_json(bracketed).alias("wrapped"),
             F.when(F.coalesce(F.col("body"), F.lit("")) == "", "{").otherwise(first).alias("shape"),
         )
+        .withColumns({"bracketed": bracketed, "overflow": may_overflow(F.col("text"))})
+        .withColumn("wrapped", F.try_parse_json("bracketed"))
         .withColumn("events", inner)
         .withColumn("batch_error", error)
     )
@@ -99,24 +98,25 @@ def explode_batches(payloads: DataFrame) -> DataFrame:
     return parse_payloads(payloads).where(F.col("pos").isNotNull()).drop("batch_error")
 
 
+# Columns in which the members of an event are kept while they are checked.
+_TEXT, _KIND = "_text_{}", "_kind_{}"
+_PROPERTIES = "properties"
+
+
 def _event_type_error() -> Column:
-    raw = _field("event_type")
-    trimmed = trim_blanks(F.try_variant_get(raw, "$", "string"))
-    return F.when(
-        ~F.coalesce(_kind(raw) == "STRING", F.lit(False)) | (trimmed == ""), "MISSING_EVENT_TYPE"
-    ).when(utf16_length(trimmed) > model.EVENT_TYPE_MAX, "EVENT_TYPE_TOO_LONG")
+    trimmed = F.col(_TEXT.format("event_type"))
+    is_text = F.coalesce(F.col(_KIND.format("event_type")) == "STRING", F.lit(False))
+    return F.when(~is_text | (trimmed == ""), "MISSING_EVENT_TYPE").when(
+        # Bytes bound UTF-16 units from above, so most rows skip the exact count.
+        (F.octet_length(trimmed) > model.EVENT_TYPE_MAX) & (utf16_length(trimmed) > model.EVENT_TYPE_MAX),
+        "EVENT_TYPE_TOO_LONG",
+    )
 
 
 def _optional_error(name: str, longest: int) -> Column:
-    raw = _field(name)
-    kind = _kind(raw)
-    text = F.try_variant_get(raw, "$", "string")
-    return F.when(kind.isNull() | (kind == "VOID"), None).when(
-        kind != "STRING", "INVALID_FIELD_TYPE"
-    ).when(
-        # Bytes bound UTF-16 units from above, so most rows skip the exact count.
-        (F.octet_length(text) > longest) & (utf16_length(text) > longest),
-        "STRING_TOO_LONG",
+    kind, text = F.col(_KIND.format(name)), F.col(_TEXT.format(name))
+    return F.when(kind.isNull() | (kind == "VOID"), None).when(kind != "STRING", "INVALID_FIELD_TYPE").when(
+        (F.octet_length(text) > longest) & (utf16_length(text) > longest), "STRING_TOO_LONG"
     )
 
 
@@ -126,8 +126,7 @@ def _properties_text() -> Column:
 
 
 def _properties_error() -> Column:
-    raw = _field("properties")
-    text = _properties_text()
+    raw, text = _field(_PROPERTIES), F.col(_TEXT.format(_PROPERTIES))
     return F.when(raw.isNull() | F.is_variant_null(raw), None).when(
         ~_is_object(raw), "INVALID_PROPERTIES"
     ).otherwise(properties_error(text, F.col("overflow")))
@@ -135,13 +134,30 @@ def _properties_error() -> Column:
 
 def validate_properties(parsed: DataFrame) -> DataFrame:
     """Only the property check: adds ``properties_error``."""
-    return parsed.withColumn("properties_error", _properties_error())
+    text = _TEXT.format(_PROPERTIES)
+    return parsed.withColumn(text, _properties_text()).withColumn("properties_error", _properties_error()).drop(text)
+
+
+def _members(parsed: DataFrame, kept: list[str]) -> DataFrame:
+    """Every member of an event taken out of it once, as its kind and its text, for all that follows."""
+    names = ["event_type", *model.OPTIONAL_FIELDS]
+    raw = parsed.select(*kept, *_PARSED, *[_field(n).alias(f"_raw_{n}") for n in names])
+    texts = {n: F.try_variant_get(f"_raw_{n}", "$", "string") for n in names}
+    texts["event_type"] = trim_blanks(texts["event_type"])
+    return raw.select(
+        *kept,
+        *_PARSED,
+        *[_kind(F.col(f"_raw_{n}")).alias(_KIND.format(n)) for n in names],
+        *[texts[n].alias(_TEXT.format(n)) for n in names],
+        _properties_text().alias(_TEXT.format(_PROPERTIES)),
+    )
 
 
 def validate_events(parsed: DataFrame) -> DataFrame:
     """Typed fields plus ``error_code``, the first failing check (NULL = valid).
 
-    Rows of rejected bodies carry the body's error. No shuffle: one narrow projection.
+    Rows of rejected bodies carry the body's error. No shuffle: narrow projections, in which each member of an
+    event is extracted once.
     """
     kept = [c for c in parsed.columns if c not in _PARSED]
     checks = [
@@ -156,17 +172,11 @@ def validate_events(parsed: DataFrame) -> DataFrame:
     ]
     # A CASE stops at the first error, so later checks cost nothing on bad rows.
     error = reduce(lambda later, check: F.coalesce(check, later), reversed(checks[:-1]), checks[-1])
-    event_type = trim_blanks(F.try_variant_get(_field("event_type"), "$", "string"))
-    optional = [
-        none_if_empty(F.try_variant_get(_field(name), "$", "string")).alias(name)
-        for name in model.OPTIONAL_FIELDS
-    ]
-    properties = F.coalesce(_properties_text(), F.lit("{}"))
-    return parsed.select(
+    return _members(parsed, kept).select(
         *kept,
-        event_type.alias("event_type"),
-        *optional,
-        properties.alias("properties"),
+        F.col(_TEXT.format("event_type")).alias("event_type"),
+        *[none_if_empty(F.col(_TEXT.format(name))).alias(name) for name in model.OPTIONAL_FIELDS],
+        F.coalesce(_TEXT.format(_PROPERTIES), F.lit("{}")).alias("properties"),
         error.alias("error_code"),
     )
 
