@@ -387,7 +387,19 @@ OPT_OUT = {"dnt": "CASE WHEN event_id % 8 = 0 THEN '1' WHEN event_id % 8 = 1 THE
 LONG_SQL = {
     "event_type": "CASE WHEN event_id % 3 = 0 THEN repeat(event_type, 40) ELSE event_type END",
     "referrer": "CASE WHEN event_id % 5 = 0 THEN repeat('é', 9000) END",
-    "properties": "CASE WHEN event_id % 4 = 0 THEN '{\"text\":\"' || repeat('t', 5000) || '\",\"n\":1}' ELSE props END",
+    "properties": deal(
+        [
+            "'{\"text\":\"' || repeat('t', 5000) || '\",\"n\":1}'",
+            "'{\"a\":{\"b\":{\"c\":{\"d\":{\"e\":{\"f\":1}},\"g\":' || CAST(event_id AS STRING) || '}}}}'",
+            "'{\"list\":[' || repeat(CAST(event_id AS STRING) || ',', 59) || '7]}'",
+            "'{\"a\":1,\"a\":' || CAST(event_id AS STRING) || ',\"b\":[[1],{\"c\":2}]}'",
+            "' { \"a\" : \"x y\" , \"b\" : [ 1 , 2 ] } '",
+            "'{\"s\":\"' || repeat('😀', 2050) || '\"}'",
+            "'{\"' || repeat('k', 70) || '\":' || CAST(event_id AS STRING) || '}'",
+            "'[1,2]'",
+            *["props"] * 4,
+        ]
+    ),
 }
 
 
@@ -407,17 +419,8 @@ def _length(text):
     return F.coalesce(F.length(text), F.lit(0)).cast("bigint")
 
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    """Truncated text by its length, plus a property that must survive."""
-    kept = F.get_json_object("properties", "$.text")
-    return rows.select(
-        "id",
-        "event_type",
-        _length(F.col("referrer")).alias("referrer_length"),
-        _length(kept).alias("text_length"),
-        F.get_json_object("properties", "$.n").alias("n"),
-        F.get_json_object("properties", "$.k").alias("k"),
-    )
+def _cut(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "event_type", _length(F.col("referrer")).alias("referrer_length"), "properties")
 
 
 HREF_SQL = deal(
@@ -637,8 +640,8 @@ def queries() -> dict[str, Query]:
         "extract_utm": _utm(lambda _, found: found),
         "merge_utm": _utm(lambda _, found: merge_utm(F.expr(OWN_UTM), found)),
         "drop_opted_out": lambda s, d: browser.drop_opted_out(_client_events(s, d)).select("id"),
-        "truncate_fields": lambda s, d: _sizes(browser.truncate_fields(_client_events(s, d))),
-        "sanitize_events": lambda s, d: _sizes(browser.sanitize_events(_client_events(s, d))),
+        "truncate_fields": lambda s, d: _cut(browser.truncate_fields(_client_events(s, d))),
+        "sanitize_events": lambda s, d: _cut(browser.sanitize_events(_client_events(s, d))),
         "classify_links": _links,
         "append_events": _append_events,
         "track_events": _track_events,

@@ -218,8 +218,23 @@ calls AS (SELECT client_ip AS ip, received_at AS ts, batch_id AS id FROM who),
 
 _CLIENT = f"""WITH {_RAW}, cli AS (SELECT event_id AS id, url, {_select({**derived.LONG_SQL, **derived.OPT_OUT})} FROM raw)"""
 _NOT_OPTED = "coalesce(dnt NOT IN ('1', 'yes'), true) AND coalesce(gpc, false) = false"
-_SIZES = """id, left(event_type, 128) AS event_type, coalesce(length(left(referrer, 8192)), 0) AS referrer_length,
-  coalesce(length(left(properties ->> '$.text', 4096)), 0) AS text_length, properties ->> '$.n' AS n, properties ->> '$.k' AS k"""
+# What is left of each kind of dealt properties, in the order in which they are dealt.
+_CUT_PROPERTIES = deal(
+    [
+        "'{\"text\":\"' || repeat('t', 4096) || '\",\"n\":1}'",
+        "'{\"a\":{\"b\":{\"c\":{\"d\":{},\"g\":' || id || '}}}}'",
+        "'{\"list\":[' || repeat(id || ',', 49) || id || ']}'",
+        "'{\"a\":' || id || ',\"b\":[{},{\"c\":2}]}'",
+        "'{\"a\":\"x y\",\"b\":[1,2]}'",
+        "'{\"s\":\"' || repeat('😀', 2048) || '\"}'",
+        "'{\"' || repeat('k', 64) || '\":' || id || '}'",
+        "'{}'",
+        *["coalesce(CAST(json(properties) AS STRING), '{}')"] * 4,
+    ],
+    "id",
+)
+_CUT = f"""id, left(event_type, 128) AS event_type, coalesce(length(left(referrer, 8192)), 0) AS referrer_length,
+  {_CUT_PROPERTIES} AS properties"""
 
 
 def _host(url: str) -> str:
@@ -304,8 +319,8 @@ UNION ALL SELECT 'limited', id, -1, NULL, NULL, NULL, NULL, NULL, NULL FROM fold
         "extract_utm": f"{ev} SELECT id, {_select(utm)} FROM ev",
         "merge_utm": f"{ev} SELECT id, {_select(merged)} FROM ev",
         "drop_opted_out": f"{_CLIENT} SELECT id FROM cli WHERE {_NOT_OPTED}",
-        "truncate_fields": f"{_CLIENT} SELECT {_SIZES} FROM cli",
-        "sanitize_events": f"{_CLIENT} SELECT {_SIZES} FROM cli WHERE {_NOT_OPTED}",
+        "truncate_fields": f"{_CLIENT} SELECT {_CUT} FROM cli",
+        "sanitize_events": f"{_CLIENT} SELECT {_CUT} FROM cli WHERE {_NOT_OPTED}",
         "classify_links": _LINKS,
         "append_events": f"{ev} SELECT id, event_type, session_id, url, t AS timestamp FROM ev",
         "track_events": f"""{ev} SELECT id, ' ' || event_type AS event_type, nullif(session_id, '') AS session_id,

@@ -107,3 +107,41 @@ def test_truncation_never_fails_and_does_not_depend_on_size(spark, text, kept):
 def test_signals_compare_by_type(spark, kind, yes, no):
     rows = spark.createDataFrame([(0, yes, None), (1, no, None), (2, None, yes), (3, None, no)], f"id int, dnt {kind}, gpc {kind}")
     assert sorted(r.id for r in browser.drop_opted_out(rows).collect()) == [1, 3]
+
+
+def cut_properties(spark, *texts):
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, properties string").orderBy("n")
+    return [r.p for r in rows.select(truncate_properties(F.col("properties")).alias("p")).collect()]
+
+
+def test_truncated_texts_as_a_whole(spark):
+    """Whole texts: nesting in every mixture, blanks, escapes, surrogates, repeated keys, very many tokens."""
+    smile = "\U0001f642"
+    cases = {
+        ' { "a" : [ 1 , { "b" : [ [ 2 ] , "x" ] } , [ ] , null ] , "c" : { } } ': '{"a":[1,{"b":[{},"x"]},{},null],"c":{}}',
+        '{"o":{"o":{"o":{"o":{"o":{"o":1},"p":2},"q":3}}},"r":[{"s":{"t":{"u":{"v":[5],"w":6}}}}]}':
+            '{"o":{"o":{"o":{"o":{"p":2},"q":3}}},"r":[{"s":{"t":{"u":{"w":6}}}}]}',
+        '{"l":[' + ",".join(map(str, range(60))) + ']}': '{"l":[' + ",".join(map(str, range(50))) + "]}",
+        '{"l":[' + ",".join(['{"a":[1,{"b":2}]}'] * 51) + '],"m":1}': '{"l":[' + ",".join(['{"a":[1,{"b":2}]}'] * 50) + '],"m":1}',
+        '{"l":[' + ",".join(["[1,[2]]"] * 51) + '],"m":1}': '{"l":[' + ",".join(["{}"] * 50) + '],"m":1}',
+        json.dumps({"k" * 70: "v" * 5000}): json.dumps({"k" * 64: "v" * 4096}, separators=(",", ":")),
+        '{"' + "k" * 64 + 'a":1,"' + "k" * 64 + 'b":2}': '{"' + "k" * 64 + '":2}',
+        '{"a":{"x":1,"x":2},"b":{"y":1},"b":{"z":[3]}}': '{"a":{"x":2},"b":{"z":[3]}}',
+        '{"s":"' + smile * 2050 + '"}': '{"s":"' + smile * 2048 + '"}',
+        '{"s":"x' + smile * 2050 + '"}': '{"s":"x' + smile * 2047 + '"}',
+        '{"s":"' + "\\u00e9" * 4097 + '"}': '{"s":"' + "\\u00e9" * 4096 + '"}',
+        '{"s":"x' + "\\ud83d\\ude00" * 2050 + '"}': '{"s":"x' + "\\ud83d\\ude00" * 2047 + '"}',
+        '{"s":"' + '\\"' * 4097 + '"}': '{"s":"' + '\\"' * 4096 + '"}',
+        '{"a":"\\\\ud83d","b":"{\\"not\\": [a, key:]}" }': '{"a":"\\\\ud83d","b":"{\\"not\\": [a, key:]}"}',
+        '{"t":true,"f":false,"n":null,"e":-1.5e+10,"z":0 }': '{"t":true,"f":false,"n":null,"e":-1.5e+10,"z":0}',
+        '{"a":1} x': "{}",
+        '{"a":1},{"b":2}': "{}",
+        '{"a":1': "{}",
+        "{" + ",".join(f'"k{n}":[{n},{{"x":"{n}"}}]' for n in range(3000)) + " }": "{" + ",".join(f'"k{n}":[{n},{{"x":"{n}"}}]' for n in range(3000)) + "}",
+    }
+    assert cut_properties(spark, *cases) == list(cases.values())
+
+
+def test_truncation_stays_in_the_jvm(spark):
+    rows = spark.createDataFrame([("{}",)], "properties string").select(truncate_properties(F.col("properties")))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
