@@ -71,12 +71,61 @@ def first_match_per_session(events: DataFrame, step: Mapping, ignore_case: bool
     )
 
 
-def _slice_number(minutes: int) -> Column:
-    elapsed = F.expr(
-        "CAST(datediff(timestamp, DATE'1970-01-01') AS BIGINT) * 1440 "
-        "+ hour(timestamp) * 60 + minute(timestamp)"
+# Matching events of a session that one task looks at, and slices whose transitions are put together at a time.
+SLICE_ROWS = 100_000
+FAN = 256
+
+_MINUTE = (
+    "CAST(datediff(timestamp, DATE'1970-01-01') AS BIGINT) * 1440 + hour(timestamp) * 60 + minute(timestamp)"
+)
+_SECOND = "second(timestamp)"
+_MILLISECOND = "CAST(extract(SECOND FROM timestamp) * 1000 AS BIGINT) % 1000"
+
+
+def sliced(matched: DataFrame, slice_rows: int) -> DataFrame:
+    """Adds ``slice``, numbers in order of time, to matching events: 0 but in sessions of more than ``slice_rows``.
+
+    Of these, events are counted by second; running totals over a session's minutes and a minute's seconds give
+    each second its slice, and a second with more than a slice's events is divided by milliseconds. Few
+    sessions are that large, so what is counted and joined back is small beside the events; without any, it
+    falls away at run time.
+    """
+    large = matched.groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") > slice_rows).select("session_id")
+    timed = matched.withColumns({"_minute": F.expr(_MINUTE), "_second": F.expr(_SECOND)})
+    seconds = timed.select("session_id", "_minute", "_second").join(large, "session_id", "left_semi")
+    seconds = seconds.groupBy("session_id", "_minute", "_second").agg(F.count("*").alias("n"))
+
+    def before(*within: str, by: str) -> Column:
+        earlier = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(earlier), F.lit(0))
+
+    minutes = seconds.groupBy("session_id", "_minute").agg(F.sum("n").alias("n"))
+    minutes = minutes.select(
+        F.col("session_id").alias("_session"), F.col("_minute").alias("_of"), before("session_id", by="_minute").alias("_base")
+    )
+    # An event without a time comes first, as everywhere.
+    same_minute = (F.col("session_id") == F.col("_session")) & F.col("_minute").eqNullSafe(F.col("_of"))
+    counted = seconds.withColumn("_before", before("session_id", "_minute", by="_second"))
+    places = counted.join(minutes, same_minute).select(
+        "_session",
+        "_of",
+        F.col("_second").alias("_of_second"),
+        F.floor((F.col("_base") + F.col("_before")) / slice_rows).alias("_first"),
+        F.ceil(F.col("n") / slice_rows).alias("_parts"),
+    )
+    within = F.floor(F.expr(_MILLISECOND) * F.col("_parts") / 1000)
+    found = timed.join(places, same_minute & F.col("_second").eqNullSafe(F.col("_of_second")), "left")
+    slice_ = F.coalesce(F.col("_first") + F.coalesce(within, F.lit(0)), F.lit(0))
+    return found.withColumn("slice", slice_).select(*matched.columns, "slice")
+
+
+def _composed(ordered: str, count: int) -> Column:
+    """Transitions one after the other: for every number of steps done before, how many are done after all of them."""
+    return F.aggregate(
+        ordered,
+        F.array(*[F.lit(i) for i in range(count)]),
+        lambda done, one: F.transform(done, lambda d: F.when(d < count, F.get(one["moves"], d)).otherwise(d)),
     )
-    return F.floor(elapsed / minutes)
 
 
 def funnel(
@@ -86,16 +135,17 @@ def funnel(
     until=None,
     *,
     ignore_case: bool = False,
-    slice_minutes: int = 60,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Sessions that reach each step in order, and the drop from the step before.
 
     Step i takes the earliest matching event strictly after the one taken for step i-1, in
-    (timestamp, id) order. Sessions are cut into time slices: for every number of steps
-    done on entering, a slice says how many are done on leaving, and a session's slices
-    are then chained in order. The answer does not depend on the cut, but a session with a
-    large share of all events spreads over as many tasks as it has slices; narrower slices
-    spread it further.
+    (timestamp, id) order. Large sessions are cut into slices of about ``slice_rows`` matching events: for
+    every number of steps done on entering, a slice says how many are done on leaving. Such transitions
+    compose to one of the same kind, first ``FAN`` slices at a time and then those of a session, so a session
+    with a large share of all events, even within a minute, spreads over as many tasks as it has slices, and no
+    list of its slices is longer than ``FAN`` or its events by ``FAN * slice_rows``. The answer does not
+    depend on the cut.
     """
     checked = check_steps(steps)
     ranged = filter_funnel_range(events, since, until)
@@ -104,14 +154,12 @@ def funnel(
     count = len(checked)
 
     flags = [step_predicate(s, ignore_case) for s in checked]
-    matched = (
-        ranged.where(has_session() & reduce(lambda a, b: a | b, flags))
-        .select(
-            "session_id",
-            _slice_number(slice_minutes).alias("slice"),
-            F.struct("timestamp", "id").alias("at"),
-            *[flag.alias(f"is_{i}") for i, flag in enumerate(flags)],
-        )
+    wanted_rows = ranged.where(has_session() & reduce(lambda a, b: a | b, flags))
+    matched = sliced(wanted_rows, slice_rows).select(
+        "session_id",
+        "slice",
+        F.struct("timestamp", "id").alias("at"),
+        *[flag.alias(f"is_{i}") for i, flag in enumerate(flags)],
     )
 
     # taken_s_k: where step k is taken in this slice when s steps were done on entering.
@@ -139,16 +187,12 @@ def funnel(
         .groupBy("session_id", "slice")
         .agg(*[F.max(f"from_{entered}").alias(f"from_{entered}") for entered in range(count)])
     )
-    # A session has at most one entry per slice of the range, each a few numbers.
-    moves = F.array(*[F.col(f"from_{entered}") for entered in range(count)])
-    ordered = F.array_sort(F.collect_list(F.struct("slice", moves.alias("moves"))))
-    per_session = slices.groupBy("session_id").agg(ordered.alias("ordered")).select(
-        F.aggregate(
-            "ordered",
-            F.lit(0),
-            lambda done, one: F.when(done < count, F.get(one["moves"], done)).otherwise(done),
-        ).alias("reached")
-    )
+    moves = F.array(*[F.col(f"from_{entered}") for entered in range(count)]).alias("moves")
+    parts = slices.select("session_id", F.col("slice").alias("part"), moves)
+    for together in (F.floor(F.col("part") / FAN), F.lit(0)):
+        grouped = parts.groupBy("session_id", together.alias("whole")).agg(F.array_sort(F.collect_list(F.struct("part", "moves"))).alias("ordered"))
+        parts = grouped.select("session_id", F.col("whole").alias("part"), _composed("ordered", count).alias("moves"))
+    per_session = parts.select(F.get("moves", F.lit(0)).alias("reached"))
     totals = per_session.agg(
         *[F.count_if(F.col("reached") > i).alias(f"c_{i}") for i in range(count)]
     )

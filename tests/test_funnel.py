@@ -1,8 +1,11 @@
 import itertools
 import random
+from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from footfall.operators import funnel as funnels
 from footfall.operators.funnel import funnel
 from footfall.period import ArgumentError
 
@@ -101,9 +104,10 @@ def brute_force(events, steps):
     return reached
 
 
-@pytest.mark.parametrize("slice_minutes", [1, 60, 300, 100000])
-def test_slices_do_not_change_the_answer(tables, slice_minutes):
-    """One session holds a third of all events; slices of any width agree with a plain scan."""
+@pytest.mark.parametrize("slice_rows", [1, 7, 60, 100000])
+def test_slices_do_not_change_the_answer(tables, monkeypatch, slice_rows):
+    """One session holds a third of all events; slices of any size agree with a plain scan."""
+    monkeypatch.setattr(funnels, "FAN", 3)
     rng = random.Random(7)
     events = []
     for number in range(600):
@@ -111,5 +115,34 @@ def test_slices_do_not_change_the_answer(tables, slice_minutes):
         time = f"2026-03-{rng.randrange(1, 4):02d} {rng.randrange(24):02d}:{rng.randrange(60):02d}"
         events.append((session, rng.choice("abcd"), time, f"u{number}"))
     for steps in (["a", "b"], ["a", "b", "a", "c"], ["d", "d", "d"], list("abcdabcd")):
-        counts, _ = run(tables, events, steps, slice_minutes=slice_minutes)
+        counts, _ = run(tables, events, steps, slice_rows=slice_rows)
         assert counts == brute_force(events, steps)
+
+
+def test_a_burst_of_one_session_is_spread(spark, tables):
+    """A third of all events are of one session, within a few seconds of one hour."""
+    rng = random.Random(9)
+    rows = []
+    for number in range(900):
+        hot = number % 3 == 0
+        at = datetime(2026, 3, 1, 10, 0, 58) + timedelta(milliseconds=rng.randrange(4000) if hot else rng.randrange(10**8))
+        rows.append({"id": number, "session_id": "hot" if hot else f"s{rng.randrange(200)}", "event_type": rng.choice("abc"), "timestamp": at})
+    events = tables.events(*rows)
+    slices = funnels.sliced(events, 20).where("session_id = 'hot'")
+    sizes = [r["count"] for r in slices.groupBy("slice").count().collect()]
+    assert sum(sizes) == 300 and len(sizes) >= 10 and max(sizes) <= 60
+    # Later events are never in an earlier slice.
+    ordered = [r.slice for r in slices.orderBy("timestamp").collect()]
+    assert ordered == sorted(ordered)
+    assert funnels.sliced(events, 20).where("session_id <> 'hot'").agg(F.max("slice")).first()[0] == 0
+    steps = [{"value": v} for v in "abcab"]
+    counts = [[r["count"] for r in funnel(events, steps, slice_rows=size).collect()] for size in (1, 20, 100_000)]
+    plain = sorted(((r["session_id"], r["event_type"], r["timestamp"], r["id"]) for r in rows), key=lambda e: (e[0], e[2], e[3]))
+    reached = [0] * 5
+    for _, session in itertools.groupby(plain, key=lambda e: e[0]):
+        done = 0
+        for event in session:
+            if done < 5 and event[1] == "abcab"[done]:
+                reached[done] += 1
+                done += 1
+    assert counts == [reached] * 3
