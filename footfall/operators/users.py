@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.text import epoch_micros
+from footfall.operators.selection import newest_first
 from footfall.period import ArgumentError
 
 PAGE_DEFAULT, PAGE_MAX = 50, 100
@@ -64,48 +65,10 @@ def _near_page(users: DataFrame, rows: int, skipped: int) -> DataFrame:
     return users.orderBy(F.desc("last_seen"), F.asc("id")).offset(skipped).limit(rows)
 
 
-def _narrow(users: DataFrame, key: str, start: Column, rows: int, skipped: int, *within: str):
-    """The values of a time key, newest first, that the page overlaps.
-
-    Returns one row per value with ``start``, the number of users before it. Each value has
-    at least one user, so the page overlaps at most one value per row.
-    """
-    order = Window.partitionBy(*within).orderBy(F.desc(key))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    counted = users.groupBy(*within, key).agg(F.count("*").alias("n"), F.first(start).alias("base"))
-    placed = counted.withColumn(
-        "start", F.col("base") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    )
-    overlaps = (F.col("start") < skipped + rows) & (F.col("start") + F.col("n") > skipped)
-    return placed.where(overlaps).select(*within, key, "start")
-
-
 def _far_page(users: DataFrame, rows: int, skipped: int) -> DataFrame:
-    """A page far from the start, without sorting or collecting the users before it.
-
-    Counts per day tell which days the page overlaps, counts per second within those days
-    which seconds; only the users of these seconds are ranked. The counts are at most one
-    row per day, then 86,400 rows per day, and what is broadcast is at most a row per user
-    of the page.
-    """
-    keyed = users.withColumns(
-        {"_day": F.col("last_seen").cast("date"), "_second": F.date_trunc("second", "last_seen")}
-    )
-    days = _narrow(keyed, "_day", F.lit(0), rows, skipped).withColumnRenamed("start", "_base")
-    # Users without a time are one day and one second of their own, the last.
-    days = days.withColumnRenamed("_day", "_of_day")
-    of_days = keyed.join(F.broadcast(days), F.col("_day").eqNullSafe(F.col("_of_day"))).drop("_of_day")
-    seconds = _narrow(of_days, "_second", F.col("_base"), rows, skipped, "_day")
-    seconds = seconds.withColumnsRenamed({"_day": "_of_day", "_second": "_of_second"})
-    at = F.col("_day").eqNullSafe(F.col("_of_day")) & F.col("_second").eqNullSafe(F.col("_of_second"))
-    ranked = keyed.join(F.broadcast(seconds), at).withColumn(
-        "_rank",
-        F.col("start")
-        + F.row_number().over(
-            Window.partitionBy("_day", "_second").orderBy(F.desc("last_seen"), F.asc("id"))
-        ),
-    )
-    return ranked.where(F.col("_rank").between(skipped + 1, skipped + rows)).select(*users.columns)
+    """A page far from the start, without sorting or collecting the users before it."""
+    before = newest_first(users, "last_seen", skipped)
+    return users.limit(0) if before is None else _near_page(users.where(~before), rows, 0)
 
 
 def users_page(
@@ -114,7 +77,8 @@ def users_page(
     """One page of users, most recently seen first; users without a time come last.
 
     The page is cut before any event is read; its at most 100 users then go to the events
-    as a broadcast, so counting them shuffles next to nothing.
+    as a broadcast, so counting them shuffles next to nothing. Beyond ``near_offset``, the users before the
+    page are told by counts, see `newest_first`.
     """
     rows, skipped = check_page(limit, offset)
     cut = _near_page if skipped <= near_offset else _far_page
@@ -134,14 +98,20 @@ def users_page(
     )
 
 
-def user_profile(users: DataFrame, events: DataFrame, user_id: str) -> dict[str, DataFrame]:
+def user_profile(users: DataFrame, events: DataFrame, user_id: str, *, within_seen: bool = False) -> dict[str, DataFrame]:
     """A user's row and latest events; both empty when the user is unknown.
 
-    Bad property text reads as an empty object.
+    Bad property text reads as an empty object. With ``within_seen``, only the dates from the user's first to
+    last sight are read of a table partitioned by ``event_date``; the two are looked up before the scan starts.
+    That leaves out nothing where events are stamped on arrival; events that came with a time of their own
+    may lie outside.
     """
     check_user_id(user_id)
     user = users.where(F.col("id") == user_id)
     known = user.select(F.col("id").alias("user_id"))
+    if within_seen and "event_date" in events.columns:
+        first, last = (user.agg(pick(F.to_date(column))).scalar() for pick, column in ((F.min, "first_seen"), (F.max, "last_seen")))
+        events = events.where((F.col("event_date") >= first) & (F.col("event_date") <= last))
     parsed = F.coalesce(F.try_parse_json("properties"), F.parse_json(F.lit("{}")))
     latest = (
         events.where(F.col("user_id") == user_id)
@@ -156,11 +126,17 @@ def user_profile(users: DataFrame, events: DataFrame, user_id: str) -> dict[str,
 
 
 def recent_users_base(users: DataFrame, base: int | None = COHORT_BASE) -> DataFrame:
-    """The newest users by first sight; None takes all."""
+    """The newest users by first sight; None takes all.
+
+    A small base is a top-n, in which every task keeps its best few rows; a larger one is told by counts.
+    """
     newest = users.select("id", "first_seen")
     if base is None:
         return newest
-    return newest.orderBy(F.desc("first_seen"), F.asc("id")).limit(base)
+    if base <= NEAR_OFFSET:
+        return newest.orderBy(F.desc("first_seen"), F.asc("id")).limit(base)
+    chosen = newest_first(newest, "first_seen", base)
+    return newest if chosen is None else newest.where(chosen)
 
 
 def week_label(timestamp: Column, week_system: str = "iso") -> Column:

@@ -247,10 +247,14 @@ WHERE cur AND event_type <> 'pageview' GROUP BY 1, 2""",
         "users_page_far": f"""{EV_U} SELECT u.id, u.first_seen, u.last_seen, u.country, u.browser, u.device_type,
   count(e.id) AS event_count FROM {_untimed("usr", "last_seen")} u LEFT JOIN ev e ON e.user_id = u.id GROUP BY ALL
   ORDER BY u.last_seen DESC NULLS LAST, u.id LIMIT 100 OFFSET 30""",
+        "users_page_one_second": f"""{EV_U} SELECT u.id, u.first_seen, TIMESTAMP '{AS_OF}' AS last_seen, u.country, u.browser, u.device_type,
+  count(e.id) AS event_count FROM usr u LEFT JOIN ev e ON e.user_id = u.id GROUP BY ALL ORDER BY u.id LIMIT 50 OFFSET 60""",
         "user_profile": f"{EV_U} SELECT * FROM usr WHERE id = '{PROFILE_USER}'",
         "user_profile_events": f"""{EV} SELECT event_type, url, properties, t AS timestamp FROM ev
 WHERE user_id = '{PROFILE_USER}' ORDER BY t DESC, id DESC LIMIT 100""",
         "recent_users_base": f"{EV_U} SELECT id, first_seen FROM usr ORDER BY first_seen DESC, id LIMIT 500",
+        "recent_users_half": f"""{EV_U}, ranked AS (SELECT id, first_seen, row_number() OVER (ORDER BY first_seen DESC, id) AS n FROM usr)
+SELECT id, first_seen FROM ranked WHERE n <= (SELECT count(*) // 2 FROM usr)""",
         "cohort_retention": _cohorts("strftime(first_seen, '%G-W%V')", 500),
         "cohort_retention_monday": _cohorts("strftime(first_seen, '%Y-W%W')", 500),
         "cohort_retention_all_users": _cohorts("strftime(first_seen, '%G-W%V')", None),

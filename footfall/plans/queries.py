@@ -12,6 +12,7 @@ from footfall.functions.text import present
 from footfall.model import METRICS
 from footfall.operators import funnel as funnels
 from footfall.operators import filters, goals, overview, retention, state, users
+from footfall.operators.selection import newest_first
 from footfall.plans import derived
 from footfall.plans.settings import (
     AS_OF,
@@ -113,6 +114,18 @@ def _untimed(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.when(known, F.col(column)))
 
 
+def _page_of_one_second(built: DataFrame, events: DataFrame) -> DataFrame:
+    """A far page where all users were last seen at one time, as after an import; refined down to the ids."""
+    imported = built.withColumn("last_seen", F.lit(AS_OF).cast("timestamp_ntz"))
+    return users.users_page(imported, events, 50, 60, near_offset=0)
+
+
+def _newest_half(built: DataFrame, _: DataFrame) -> DataFrame:
+    """The newer half of all users, selected by counts."""
+    newest = built.select("id", "first_seen")
+    return newest.where(newest_first(newest, "first_seen", built.count() // 2, near=10))
+
+
 def _overview_report(events: DataFrame) -> DataFrame:
     return overview.overview_report(
         events, state.build_sessions(events), PERIOD, as_of=AS_OF, goal="purchase"
@@ -157,6 +170,7 @@ def queries() -> dict[str, Query]:
         "users_page_far": ev(
             _on_users(lambda u, e: users.users_page(_untimed(u, "last_seen"), e, 100, 30, near_offset=0))
         ),
+        "users_page_one_second": ev(_on_users(_page_of_one_second)),
         "user_profile": ev(_on_users(lambda u, e: users.user_profile(u, e, PROFILE_USER)["user"])),
         "user_profile_events": ev(
             _on_users(
@@ -168,6 +182,7 @@ def queries() -> dict[str, Query]:
             urls=True,
         ),
         "recent_users_base": ev(_on_users(lambda u, _: users.recent_users_base(u))),
+        "recent_users_half": ev(_on_users(_newest_half)),
         "cohort_retention": ev(_cohorts(500, "iso")),
         "cohort_retention_monday": ev(_cohorts(500, "monday")),
         "cohort_retention_all_users": ev(_cohorts(None, "iso")),

@@ -1,8 +1,11 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 
 import pytest
 
 from footfall.operators import goals, overview, users
+from footfall.operators.enrich import append_events
+from footfall.operators.selection import newest_first
 from footfall.operators.state import build_sessions, build_users
 from footfall.period import ArgumentError, check_dates, date_range
 
@@ -173,6 +176,36 @@ def test_far_pages_equal_near_pages(tables):
         assert sorted(near) == sorted(far)
 
 
+@pytest.mark.parametrize("times, near", [(1, 1), (1, 1000), (7, 4), (400, 1), (400, 1000)])
+def test_the_first_rows_by_counts(tables, times, near):
+    """Any number of rows, of which many share a time, a second or have none; ids that share long prefixes."""
+    rng = random.Random(times)
+    start = datetime(2026, 3, 1)
+    made = [
+        {"id": f"import-{rng.randrange(10**6):07d}-{n}", "last_seen": None if rng.random() < 0.1 else start + timedelta(microseconds=rng.randrange(times) * 400_000)}
+        for n in range(150)
+    ]
+    rows = tables.users(*made).select("id", "last_seen")
+    ordered = sorted(made, key=lambda r: (r["last_seen"] is None, -(r["last_seen"] or start).timestamp(), r["id"]))
+    for n in (0, 3, 74, 150, 151):
+        chosen = newest_first(rows, "last_seen", n, near=near)
+        found = {r.id for r in (rows if chosen is None else rows.where(chosen)).collect()}
+        assert found == {r["id"] for r in ordered[:n]}
+
+
+def test_a_profile_reads_the_dates_the_user_was_seen(spark, tables, tmp_path):
+    days = [datetime(2026, 3, d, 12) for d in (1, 5, 9, 20)]
+    append_events(tables.events(*[{"id": n, "user_id": "u" if 0 < n < 3 else "v", "timestamp": day} for n, day in enumerate(days)]), str(tmp_path))
+    made = tables.users({"id": "u", "first_seen": days[1], "last_seen": days[2]})
+    found = users.user_profile(made, spark.read.parquet(str(tmp_path)), "u", within_seen=True)["events"]
+    assert [r.timestamp for r in found.collect()] == [days[2], days[1]]
+    plan = found._jdf.queryExecution().executedPlan()
+    filters = plan.toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert filters.count("event_date") >= 2 and "ubquery" in filters
+    none = users.user_profile(made, spark.read.parquet(str(tmp_path)), "stranger", within_seen=True)
+    assert none["events"].count() == 0
+
+
 def test_profile(tables):
     made = tables.users({"id": "u", "last_seen": "2026-03-01"})
     events = tables.events(
