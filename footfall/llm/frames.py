@@ -33,6 +33,16 @@ def stored(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text as UTF-8 bytes, under fixed names, whatever else the table holds."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
