@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame
 
 from footfall.llm.frames import slices, texts
 
-# Pre-tokens whose ids a task remembers, and the longest that it does.
+# Pre-tokens and pairs of tokens whose ids a worker remembers in each of two generations: when the younger is full, it
+# takes the place of the older. The longest pre-token that is remembered.
 MEMO_TOKENS = 300_000
-PAIR_MEMO = 300_000
+PAIR_MEMO = 400_000
 MEMO_CHARS = 64
+# Characters whose new pre-tokens are looked up together.
+GROUP_CHARS = 1 << 18
 
 
 class PerfectHash:
@@ -63,6 +66,8 @@ class PerfectHash:
         self.seeds[bucket[singles].astype(np.int64)] = -1 - free
         self.keys = [keys[i] for i in slots.tolist()]
         self.places = slots
+        # For look-ups of one key.
+        self._seeds, self._places = self.seeds.tolist(), slots.tolist()
 
     def _slot(self, hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         """The slot of a hash under its bucket's seed; a negative seed names the slot itself."""
@@ -79,6 +84,22 @@ class PerfectHash:
         own = self.keys
         return [place if own[s] == key else -1 for s, place, key in zip(slots.tolist(), self.places[slots].tolist(), keys)]
 
+    def find_one(self, key: bytes) -> int:
+        """`find` of one key, without arrays."""
+        if not self.size:
+            return -1
+        hashed = xxhash.xxh3_64_intdigest(key)
+        seed = self._seeds[(hashed >> 32) % self.buckets]
+        if seed < 0:
+            slot = -1 - seed
+        else:
+            mixed = (hashed ^ (seed + 1) * 0x9E3779B97F4A7C15 & _WORD) * 0xBF58476D1CE4E5B9 & _WORD
+            slot = (mixed ^ mixed >> 31) % self.size
+        return self._places[slot] if self.keys[slot] == key else -1
+
+
+_WORD = 2**64 - 1
+
 
 def _hashes(keys: list[bytes]) -> np.ndarray:
     hashed = xxhash.xxh3_64_intdigest
@@ -102,85 +123,114 @@ class Codec:
         self.by_id = by_id
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+        self.packed = [id_.tobytes() for id_ in self.ids]
+        self.ranks = self.ids.tolist()
+        self._forget()
+
+    def _forget(self) -> None:
         self.memo: dict[str, bytes] = {}
+        self.old_memo: dict[str, bytes] = {}
         self.pairs: dict[int, int] = {}
+        self.old_pairs: dict[int, int] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}, "pairs": {}}
+        return self.__dict__ | {"memo": {}, "old_memo": {}, "pairs": {}, "old_pairs": {}}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = regex.compile(self.pattern).findall
-        out = []
-        for text in texts:
-            pieces = split(text)
-            if len(self.memo) > MEMO_TOKENS:
-                self.memo.clear()
-            memo = self.memo
-            known = list(map(memo.get, pieces))
-            if None in known:
-                fresh = list({p for p, ids in zip(pieces, known) if ids is None})
-                found = dict(zip(fresh, self._ids_of(fresh)))
-                known = [found[p] if ids is None else ids for p, ids in zip(pieces, known)]
-                memo.update({p: ids for p, ids in found.items() if len(p) <= MEMO_CHARS})
-            out.append(b"".join(known))
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and size < GROUP_CHARS:
+                size += len(texts[end])
+                end += 1
+            out += self._encode_group(texts[at:end])
+            at = end
         return out
 
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        """The texts' new pre-tokens are looked up all at once."""
+        split = regex.compile(self.pattern).findall
+        if len(self.memo) > MEMO_TOKENS:
+            self.memo, self.old_memo = {}, self.memo
+        if len(self.pairs) > PAIR_MEMO:
+            self.pairs, self.old_pairs = {}, self.pairs
+        memo, old = self.memo, self.old_memo
+        pieces = [split(text) for text in texts]
+        fresh = [p for p in set().union(*pieces) if p not in memo]
+        missing = [p for p in fresh if p not in old]
+        found = {p: old[p] for p in fresh if p in old}
+        found.update(zip(missing, self._ids_of(missing)))
+        long = {p: found.pop(p) for p in missing if len(p) > MEMO_CHARS}
+        memo.update(found)
+        if not long:
+            return [b"".join(map(memo.__getitem__, own)) for own in pieces]
+        return [b"".join([long[p] if p in long else memo[p] for p in own]) for own in pieces]
+
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         raw = [p.encode() for p in pieces]
-        ids = self.ids
-        return [
-            ids[place].tobytes() if place >= 0 else self._merge(token) for place, token in zip(self.hash.find(raw), raw)
-        ]
+        packed, merge = self.packed, self._merge
+        return [packed[place] if place >= 0 else merge(token) for place, token in zip(self.hash.find(raw), raw)]
 
     def _pair(self, left: int, right: int) -> int:
         """The rank of two tokens' concatenation by the perfect hash, -1 if it is no token; remembered."""
-        place = self.hash.find([self.by_id[left] + self.by_id[right]])[0]
-        rank = int(self.ids[place]) if place >= 0 else -1
-        if len(self.pairs) > PAIR_MEMO:
-            self.pairs.clear()
-        self.pairs[left << 32 | right] = rank
+        key = left << 32 | right
+        rank = self.old_pairs.get(key)
+        if rank is None:
+            place = self.hash.find_one(self.by_id[left] + self.by_id[right])
+            rank = self.ranks[place] if place >= 0 else -1
+        self.pairs[key] = rank
         return rank
 
     def _merge(self, token: bytes) -> bytes:
         """Ids of a pre-token outside the vocabulary: bytes in a linked list, pairs in a heap by rank and place."""
-        parts = [self.of_byte[b] for b in token]
+        of_byte = self.of_byte
+        parts = [of_byte[b] for b in token]
         last = len(parts)
         after = list(range(1, last + 1))
         before = list(range(-1, last - 1))
         known, pair = self.pairs.get, self._pair
+        push, pop = heapq.heappush, heapq.heappop
+        # The rank of every part's pair with the next; a heap entry with another rank is stale.
+        joined = [-1] * last
         heap = []
-        for i in range(last - 1):
-            rank = known(parts[i] << 32 | parts[i + 1])
+        left = parts[0]
+        for i in range(1, last):
+            right = parts[i]
+            rank = known(left << 32 | right)
             if rank is None:
-                rank = pair(parts[i], parts[i + 1])
+                rank = pair(left, right)
             if rank >= 0:
-                heap.append((rank, i))
+                joined[i - 1] = rank
+                heap.append((rank, i - 1))
+            left = right
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
-            # Stale if a part has gone or grown since: its pair has another rank then, or none.
-            if parts[i] < 0 or (j := after[i]) >= last:
-                continue
-            now = known(parts[i] << 32 | parts[j])
-            if (pair(parts[i], parts[j]) if now is None else now) != rank:
+            rank, i = pop(heap)
+            if joined[i] != rank:
                 continue
-            parts[i], parts[j] = rank, -1
+            j = after[i]
+            parts[i], parts[j], joined[j] = rank, -1, -1
             after[i] = k = after[j]
+            found = -1
             if k < last:
                 before[k] = i
                 found = known(rank << 32 | parts[k])
                 if found is None:
                     found = pair(rank, parts[k])
                 if found >= 0:
-                    heapq.heappush(heap, (found, i))
-            if (h := before[i]) >= 0:
+                    push(heap, (found, i))
+            joined[i] = found
+            h = before[i]
+            if h >= 0:
                 found = known(parts[h] << 32 | rank)
                 if found is None:
                     found = pair(parts[h], rank)
+                joined[h] = found
                 if found >= 0:
-                    heapq.heappush(heap, (found, h))
-        return pack(f"<{sum(p >= 0 for p in parts)}I", *[p for p in parts if p >= 0])
+                    push(heap, (found, h))
+        kept = [p for p in parts if p >= 0]
+        return pack(f"<{len(kept)}I", *kept)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for, copied by place in blocks."""
@@ -242,11 +292,11 @@ def token_digests(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_co
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, hashes, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                (ids,) = shared.value.encode([_text(text)])
+            codec_ = shared.value
+            for ids in codec_.encode([_text(t) for t in batch.column("text").to_pylist()]):
                 sizes.append(len(ids) // 4)
                 hashes.append(sha256(ids).hexdigest())
-                decoded.append(sha256(shared.value.decode(ids)).hexdigest())
+                decoded.append(sha256(codec_.decode(ids)).hexdigest())
             columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
