@@ -18,8 +18,8 @@ from footfall.llm.frames import slices, texts
 
 # Pre-tokens and pairs of tokens whose ids a worker remembers in each of two generations: when the younger is full, it
 # takes the place of the older. The longest pre-token that is remembered.
-MEMO_TOKENS = 300_000
-PAIR_MEMO = 400_000
+MEMO_TOKENS = 150_000
+PAIR_MEMO = 100_000
 MEMO_CHARS = 64
 # Characters whose new pre-tokens are looked up together.
 GROUP_CHARS = 1 << 18
