@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,6 +61,17 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = batch.slice(start, count)
             yield piece
             start += count
+        batch = piece = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker otherwise keeps its peak while it waits for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
 
 
 def fold_bucket(id_col: str | Column, parts: int = 5) -> Column:
