@@ -18,7 +18,8 @@ SHAPE_BUCKETS = 256
 MEASURES = 7
 FEATURES = SHAPE_BUCKETS + MEASURES
 # The classifier is fitted on at most so many trusted positives and so many unlabelled rows, those of the
-# smallest hash; the driver receives FEATURES numbers of each.
+# smallest hashes of id and text; the driver receives FEATURES numbers of each. The class prior is counted over
+# all unlabelled rows.
 FIT_ROWS = 8_000
 # Mini-batches of 512 rows of either set; the weights are averaged over the second half of them.
 STEPS = 3_000
@@ -84,46 +85,47 @@ def text_features(text: bytes | None) -> np.ndarray:
     return out
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Classifier:
+def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> Classifier:
     """A logistic model that minimises the non-negative unbiased risk of trusted positives and unlabelled rows.
 
     The risk is ``prior * P(l+) + max(0, U(l-) - prior * P(l-))``, with the logistic loss ``l``; when the
-    bracket turns negative, its gradient is reversed. The prior is estimated if it is not given. Without
-    positives or unlabelled rows the model says the prior everywhere (1 without any unlabelled rows).
+    bracket turns negative, its gradient is reversed. Without positives or unlabelled rows the model says one
+    score everywhere: 1/2 without positives, else 1.
     """
     if not len(positives) or not len(unlabelled):
         zeros = np.zeros(FEATURES)
-        share = 0.5 if not len(positives) else 1.0
-        return Classifier(zeros, zeros + 1, zeros, float(np.log(share / (1 - share))) if share < 1 else 30.0, share)
-    every = np.concatenate([positives, unlabelled])
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 0.01
-    p, u = (positives - mean) / scale, (unlabelled - mean) / scale
-    if prior is None:
-        prior = estimate_prior(p, u)
-    weights, bias = _descend(p, u, prior)
+        return Classifier(zeros, zeros + 1, zeros, 30.0 if len(positives) else 0.0, 1.0 if len(positives) else 0.5)
+    mean, scale = _measure(positives, unlabelled)
+    weights, bias = _descend((positives - mean) / scale, (unlabelled - mean) / scale, prior)
     return Classifier(mean, scale, weights, bias, prior)
 
 
-def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled rows, from the best bin of a labelled-or-not classifier.
+def separator(positives: np.ndarray, unlabelled: np.ndarray) -> Classifier:
+    """A logistic model that tells positives from unlabelled rows; scores above its quantiles bound the prior."""
+    mean, scale = _measure(positives, unlabelled)
+    weights, bias = _descend((positives - mean) / scale, (unlabelled - mean) / scale, None)
+    return Classifier(mean, scale, weights, bias, 0.5)
+
+
+def _measure(positives: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate([positives, unlabelled])
+    return every.mean(axis=0), every.std(axis=0) + 0.01
+
+
+def estimate_prior(above_p: np.ndarray, n_p: int, above_u: np.ndarray, n_u: int) -> float:
+    """The share of positives among the unlabelled rows, from the shares of both sets above each of some scores.
 
     Of the rows that score above a threshold, the unlabelled share over the positive share bounds the prior
-    from above; the smallest such bound over thresholds is taken, with a margin for the number of rows. The
-    classifier scores the half of each set that it has not learned from. Two standard errors are taken off: a
-    prior too high would leave the risk of negatives below zero before they are told apart.
+    from above; the smallest such bound over thresholds is taken, with a margin for the number of rows. Two
+    standard errors are taken off: a prior too high would leave the risk of negatives below zero before they
+    are told apart.
     """
-    fit_p, test_p, fit_u, test_u = positives[::2], positives[1::2], unlabelled[::2], unlabelled[1::2]
-    if not len(test_p) or not len(test_u):
+    if not n_p or not n_u:
         return 0.5
-    weights, bias = _descend(fit_p, fit_u, None)
-    high_p, high_u = np.sort(test_p @ weights + bias), np.sort(test_u @ weights + bias)
-    limits = np.quantile(high_p, np.linspace(0, 0.9, 91))
-    above_p = 1 - np.searchsorted(high_p, limits) / len(high_p)
-    above_u = 1 - np.searchsorted(high_u, limits) / len(high_u)
-    margin = np.sqrt(np.log(200) / 2) * (1 / np.sqrt(len(high_u)) + 1 / np.sqrt(len(high_p)))
+    margin = np.sqrt(np.log(200) / 2) * (1 / np.sqrt(n_u) + 1 / np.sqrt(n_p))
     bound = (above_u + margin) / above_p
     best = int(bound.argmin())
-    spread = 2 * np.sqrt(above_u[best] * (1 - above_u[best]) / len(high_u) + above_p[best] * (1 - above_p[best]) / len(high_p))
+    spread = 2 * np.sqrt(above_u[best] * (1 - above_u[best]) / n_u + above_p[best] * (1 - above_p[best]) / n_p)
     return float(np.clip((above_u[best] - spread) / above_p[best], 0.01, 0.99))
 
 
@@ -161,40 +163,77 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``features`` of every row; the text is read once and goes no further."""
+def featured(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``version`` and ``features`` of every row; the text is read once and goes no further."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = [text_features(t).astype(np.float32) for t in batch.column("text").to_pylist()]
             flat = pa.array(np.concatenate(values))
             lists = pa.FixedSizeListArray.from_arrays(flat, FEATURES).cast(pa.list_(pa.float32()))
-            yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "features"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("version"), lists], names=["doc_id", "version", "features"])
 
-    return texts(docs, id_col, text_col).mapInArrow(rows, "doc_id long, features array<float>")
+    whole = docs.select("doc_id", "version", F.col("text").cast("binary").alias("text"))
+    return whole.mapInArrow(rows, "doc_id long, version long, features array<float>")
 
 
 def train(docs: DataFrame, trusted: DataFrame, rows: int = FIT_ROWS) -> Classifier:
     """Fit on the texts of ``trusted`` (``doc_id`` only) as positives and on all ``docs`` as unlabelled.
 
-    Of either set the ``rows`` of the smallest ``xxhash64`` of the id are taken: a sample that depends on
-    nothing but the ids. Rows with a NULL id are not taken; ids that repeat in ``trusted`` count once.
+    Of either set, the ``rows`` rows of the smallest hashes of id, then of text, are fitted on: a sample that
+    depends on nothing but ids and texts, and is bounded however often an id repeats. Rows with a NULL id teach
+    nothing; rows equal in id and text are one in the sample. Half of the sample, by another hash, tells
+    positives from unlabelled rows; the prior comes from that model's scores of the other half's positives and
+    of all unlabelled rows but those it has learned from, which Spark counts.
     """
-    known = docs.where("doc_id IS NOT NULL")
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    picked_p = trusted.where("doc_id IS NOT NULL").distinct().orderBy(*order).limit(rows)
-    picked_u = known.select("doc_id").orderBy(*order).limit(rows)
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("version"))
+    order = [F.xxhash64("doc_id"), "doc_id", "version"]
+    half = F.pmod(F.xxhash64("doc_id", "version", F.lit("half")), F.lit(2)).cast("int")
+    ids = trusted.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    names = known.select("doc_id", "version").distinct()
+    ids = stored(names.select("doc_id").distinct().join(ids, "doc_id", "left_semi").orderBy(*order[:2]).limit(rows), "quality-ids")
+    # At most `rows` ids, then at most `rows` rows of either set, whatever the table's size.
+    picked_p = names.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(*order).limit(rows)
+    picked_u = names.orderBy(*order).limit(rows)
     picked = stored(
-        picked_p.withColumn("trusted", F.lit(True)).unionByName(picked_u.distinct().withColumn("trusted", F.lit(False))), "quality-rows"
+        picked_p.withColumn("trusted", F.lit(True)).unionByName(picked_u.withColumn("trusted", F.lit(False))), "quality-rows"
     )
-    # At most 2 * rows ids, whatever the table's size.
-    sample = known.select("doc_id", "text").join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi")
-    table = stored(featured(sample), "quality-sample").join(picked, "doc_id").toArrow()
-    matrix = np.array(table.column("features").to_pylist(), np.float64).reshape(-1, FEATURES)
-    ids, positive = table.column("doc_id").to_numpy(), table.column("trusted").to_numpy()
-    order = np.lexsort((matrix.sum(axis=1), ids))
-    matrix, positive = matrix[order], positive[order].astype(bool)
-    return fit(matrix[positive], matrix[~positive])
+    sample = known.join(F.broadcast(picked.select("doc_id", "version").distinct()), ["doc_id", "version"])
+    sample = stored(featured(sample.dropDuplicates(["doc_id", "version"])), "quality-sample")
+    table = sample.join(picked, ["doc_id", "version"]).withColumn("half", half).orderBy(*order, "trusted").toArrow()
+    matrix = table.column("features").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES)
+    positive, halves = (table.column(c).to_numpy().astype(bool) for c in ("trusted", "half"))
+    fit_p, test_p = matrix[positive & ~halves], matrix[positive & halves]
+    fit_u = matrix[~positive & ~halves]
+    prior = 0.5
+    if len(fit_p) and len(test_p) and len(fit_u):
+        model = separator(fit_p, fit_u)
+        scores = np.sort(model.scores(test_p))
+        limits = np.quantile(scores, np.linspace(0, 0.9, 91))
+        learned = picked.where("NOT trusted").where(half == 0).select("doc_id", "version")
+        others = known.join(F.broadcast(learned), ["doc_id", "version"], "left_anti")
+        above, n = _above(others, model, limits)
+        prior = estimate_prior(1 - np.searchsorted(scores, limits) / len(scores), len(scores), above / max(1, n), n)
+    return fit(matrix[positive], matrix[~positive], prior)
+
+
+def _above(docs: DataFrame, model: Classifier, limits: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows score each of the ascending ``limits`` or more, and how many there are; sums of one row a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, limits))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, limits = shared.value
+        counts, n = np.zeros(len(limits), np.int64), 0
+        for batch in slices(batches):
+            scores = np.sort(model.scores(np.array([text_features(t) for t in batch.column("text").to_pylist()], np.float32)))
+            counts += len(scores) - np.searchsorted(scores, limits)
+            n += len(scores)
+        places = np.arange(len(limits) + 1, dtype=np.int32)
+        yield pa.record_batch([pa.array(places), pa.array(np.append(counts, n))], names=["place", "n"])
+
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(rows, "place int, n long")
+    sums = {r["place"]: r["n"] for r in counted.groupBy("place").agg(F.sum("n").alias("n")).collect()}
+    return np.array([sums.get(i, 0) for i in range(len(limits))], np.float64), sums.get(len(limits), 0)
 
 
 def score(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

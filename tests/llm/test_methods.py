@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from footfall.llm import bpe, components, decontaminate, embeddings, gru, line_dedup, simhash, substrings, words
+from footfall.llm import bpe, components, decontaminate, embeddings, gru, line_dedup, quality, simhash, substrings, words
 
 
 # Byte-level BPE
@@ -368,6 +368,25 @@ def test_language_mixture():
 
 
 @sample
+def test_quality_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
+    docs = spark.range(3_000).selectExpr("IF(id < 2000, 1L, id) AS doc_id", "concat('text number ', id) AS text")
+    fitted = []
+    whole = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: fitted.append((len(p), len(u))) or whole(p, u, prior))
+    model = quality.train(docs, docs.select("doc_id"), rows=40)
+    assert fitted == [(40, 40)] and 0 < model.prior < 1
+
+
+def test_quality_prior_counts_all_unlabelled_rows(spark):
+    """A third of the rows shout, and some of these are trusted; however small the sample, all rows are counted."""
+    text = "CASE WHEN id % 3 = 0 THEN repeat(concat('LOUD WORDS ', id, '! '), 9) ELSE repeat(concat('plain words ', id, ', '), 9) END AS text"
+    docs = spark.range(6_000).selectExpr("id AS doc_id", text)
+    model = quality.train(docs, docs.where("doc_id % 6 = 0").select("doc_id"), rows=600)
+    assert abs(model.prior - 1 / 3) < 0.06
+    above, n = quality._above(docs, model, np.array([0.0, 0.5]))
+    assert n == 6_000 and above.tolist() == [6_000, 2_000]
+
+
 def test_quality_held_out(spark):
     from footfall.llm import registry
 
