@@ -8,10 +8,10 @@ EMBED, HIDDEN = 32, 32
 # Words of a class; the words of the vocabulary, by falling frequency, fill one class after the other.
 CLASS_WORDS = 64
 # Lanes and steps of a training window, over which gradients flow; states are carried from window to window.
-TRAIN_LANES, TRAIN_STEPS = 32, 20
+TRAIN_LANES, TRAIN_STEPS = 64, 32
 # Lanes and steps of a scoring window.
 LANES, STEPS = 256, 64
-RATE, CLIP = 4e-3, 1.0
+RATE, CLIP = 8e-3, 1.0
 
 Weights = dict[str, np.ndarray]
 
@@ -74,7 +74,9 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
 
 def timelines(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Steps by lanes: the word before, the word, whether a document begins, the document (-1 behind the last)."""
-    dealt = lanes_of(np.array([len(d) for d in docs]), lanes)
+    lengths = np.array([len(d) for d in docs])
+    # Fewer lanes beside a very long document, so that what is held grows with the words.
+    dealt = lanes_of(lengths, min(lanes, max(1, 4 * int(lengths.sum()) // max(1, int(lengths.max())))))
     steps = max(sum(len(docs[d]) for d in own) for own in dealt)
     shape = (steps, len(dealt))
     before, word = np.full(shape, end, np.int32), np.full(shape, end, np.int32)
@@ -101,40 +103,56 @@ def _outputs(weights: Weights, hidden: np.ndarray, word: np.ndarray, grads: Weig
     The softmax over classes and the softmax over the words of the true class; tokens of one class are
     worked on together. ``weight`` scales a token's loss.
     """
+    order = np.argsort((word // CLASS_WORDS).astype(np.uint16), kind="stable")
+    hidden, word = hidden[order], word[order]
+    weight = weight[order][:, None] if weight is not None else None
     cls, place = word // CLASS_WORDS, word % CLASS_WORDS
-    logits = hidden @ weights["to_class"] + weights["class_bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    exp = np.exp(logits)
-    total = exp.sum(axis=1)
     every = np.arange(len(word))
-    logp = logits[every, cls] - np.log(total)
+
+    def softmax(logits: np.ndarray, true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        logits -= logits.max(axis=1, keepdims=True)
+        at = every[: len(true)]
+        own = logits[at, true]
+        exp = np.exp(logits, out=logits)
+        total = exp.sum(axis=1)
+        return own - np.log(total), (exp, total, at)
+
+    def delta(parts: tuple, true: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        exp, total, at = parts
+        exp *= scale / total[:, None]
+        exp[at, true] -= scale[:, 0]
+        return exp
+
+    logp, parts = softmax(hidden @ weights["to_class"] + weights["class_bias"], cls)
     d_hidden = None
     if grads is not None:
-        delta = exp / total[:, None]
-        delta[every, cls] -= 1
-        delta *= weight[:, None]
-        grads["to_class"] += hidden.T @ delta
-        grads["class_bias"] += delta.sum(axis=0)
-        d_hidden = delta @ weights["to_class"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(len(weights["class_bias"]) + 1))
+        error = delta(parts, cls, weight)
+        grads["to_class"] += hidden.T @ error
+        grads["class_bias"] += error.sum(axis=0)
+        d_hidden = error @ weights["to_class"].T
+    bounds = np.searchsorted(cls, np.arange(len(weights["class_bias"]) + 1))
     for c in np.flatnonzero(np.diff(bounds)).tolist():
-        own = order[bounds[c] : bounds[c + 1]]
+        own = slice(bounds[c], bounds[c + 1])
         h = hidden[own]
-        logits = h @ weights["to_word"][c] + weights["word_bias"][c]
-        logits -= logits.max(axis=1, keepdims=True)
-        exp = np.exp(logits)
-        total = exp.sum(axis=1)
-        at = np.arange(len(own))
-        logp[own] += logits[at, place[own]] - np.log(total)
+        more, parts = softmax(h @ weights["to_word"][c] + weights["word_bias"][c], place[own])
+        logp[own] += more
         if grads is not None:
-            delta = exp / total[:, None]
-            delta[at, place[own]] -= 1
-            delta *= weight[own][:, None]
-            grads["to_word"][c] += h.T @ delta
-            grads["word_bias"][c] += delta.sum(axis=0)
-            d_hidden[own] += delta @ weights["to_word"][c].T
-    return logp, d_hidden
+            error = delta(parts, place[own], weight[own])
+            grads["to_word"][c] += h.T @ error
+            grads["word_bias"][c] += error.sum(axis=0)
+            d_hidden[own] += error @ weights["to_word"][c].T
+    back = np.empty_like(order)
+    back[order] = every
+    return logp[back], d_hidden[back] if d_hidden is not None else None
+
+
+def _gates(weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """By gate: what each word puts in, and the weights of the state."""
+    table = weights["embed"] @ weights["input"] + weights["input_bias"]
+    return (
+        np.ascontiguousarray(table.reshape(-1, 3, HIDDEN).swapaxes(0, 1)),
+        np.ascontiguousarray(weights["state"].reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1)),
+    )
 
 
 def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -142,7 +160,7 @@ def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
     if not docs:
         return np.zeros(0)
     before, word, begins, doc = timelines(docs, LANES, end)
-    table = weights["embed"] @ weights["input"] + weights["input_bias"]
+    table, gates = _gates(weights)
     state = np.zeros((word.shape[1], HIDDEN), np.float32)
     out = np.zeros(len(docs))
     for at in range(0, len(word), STEPS):
@@ -153,9 +171,10 @@ def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
             before, word, begins, doc = before[:, alive], word[:, alive], begins[:, alive], doc[:, alive]
             state = state[alive]
         hidden = np.empty((len(word[rows]), *state.shape), np.float32)
-        for t, (x, fresh) in enumerate(zip(table[before[rows]], begins[rows])):
+        x = table[:, before[rows]]
+        for t, fresh in enumerate(begins[rows]):
             state[fresh] = 0
-            state = _step(weights, x, state)[0]
+            state = _step(weights, gates, x[:, t], state)[0]
             hidden[t] = state
         real = doc[rows].ravel() >= 0
         logp, _ = _outputs(weights, hidden.reshape(-1, HIDDEN)[real], word[rows].ravel()[real], None, None)
@@ -163,53 +182,61 @@ def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
     return out
 
 
-def _step(weights: Weights, x: np.ndarray, state: np.ndarray):
-    gates = state @ weights["state"]
-    update_reset = _sigmoid(x[:, : 2 * HIDDEN] + gates[:, : 2 * HIDDEN])
-    update, reset = update_reset[:, :HIDDEN], update_reset[:, HIDDEN:]
-    inner = gates[:, 2 * HIDDEN :] + weights["state_bias"]
-    new = np.tanh(x[:, 2 * HIDDEN :] + reset * inner)
+def _step(weights: Weights, gates: np.ndarray, x: np.ndarray, state: np.ndarray):
+    own = state @ gates
+    update, reset = _sigmoid(x[:2] + own[:2])
+    inner = own[2]
+    inner += weights["state_bias"]
+    new = np.tanh(x[2] + reset * inner)
     return new + update * (state - new), update, reset, inner, new
 
 
 def gradients(weights: Weights, before, word, begins, real, state) -> tuple[float, Weights, np.ndarray]:
     """Mean loss of a window's real tokens, its gradients within the window, and the state after it."""
     grads = {name: np.zeros_like(w) for name, w in weights.items()}
-    inputs = weights["embed"][before]
-    x = inputs @ weights["input"] + weights["input_bias"]
-    trace, hidden = [], []
+    table, gates = _gates(weights)
+    x = table[:, before]
+    olds = np.empty((*word.shape, HIDDEN), table.dtype)
+    hidden = np.empty_like(olds)
+    trace = []
     for t in range(len(word)):
         state = np.where(begins[t][:, None], np.float32(0), state)
-        after, *parts = _step(weights, x[t], state)
-        trace.append((state, *parts))
-        hidden.append(after)
-        state = after
-    flat = np.stack(hidden).reshape(-1, HIDDEN)
+        olds[t] = state
+        state, *parts = _step(weights, gates, x[:, t], state)
+        trace.append(parts)
+        hidden[t] = state
     weight = (real.ravel() / max(1, real.sum())).astype(np.float32)
-    logp, d_flat = _outputs(weights, flat, word.ravel(), grads, weight)
-    d_hidden = d_flat.reshape(len(word), -1, HIDDEN)
-    d_x = np.empty_like(x)
+    logp, d_flat = _outputs(weights, hidden.reshape(-1, HIDDEN), word.ravel(), grads, weight)
+    d_hidden = d_flat.reshape(hidden.shape)
+    d_x, d_gates = np.empty_like(x), np.empty_like(x)
+    back = gates.swapaxes(1, 2)
     d_state = np.zeros_like(state)
     for t in range(len(word) - 1, -1, -1):
-        old, update, reset, inner, new = trace[t]
+        old, (update, reset, inner, new) = olds[t], trace[t]
         d = d_hidden[t] + d_state
-        d_new = d * (1 - update) * (1 - new * new)
-        d_update = d * (old - new) * update * (1 - update)
-        d_reset = d_new * inner * reset * (1 - reset)
-        d_gates = np.concatenate([d_update, d_reset, d_new * reset], axis=1)
-        d_x[t] = np.concatenate([d_update, d_reset, d_new], axis=1)
-        grads["state"] += old.T @ d_gates
-        grads["state_bias"] += d_gates[:, 2 * HIDDEN :].sum(axis=0)
-        d_state = (d * update + d_gates @ weights["state"].T) * ~begins[t][:, None]
-    rows = d_x.reshape(-1, 3 * HIDDEN)
-    grads["input"] += inputs.reshape(-1, EMBED).T @ rows
+        kept = d * update
+        d_new = (d - kept) * (1 - new * new)
+        d_update = kept * (old - new) * (1 - update)
+        through = d_new * reset
+        d_reset = through * inner * (1 - reset)
+        d_x[0, t], d_x[1, t], d_x[2, t] = d_update, d_reset, d_new
+        d_gates[0, t], d_gates[1, t], d_gates[2, t] = d_update, d_reset, through
+        d_state = (kept + (d_gates[:, t] @ back).sum(axis=0)) * ~begins[t][:, None]
+    flat = olds.reshape(-1, HIDDEN).T
+    grads["state"] += np.concatenate([flat @ d.reshape(-1, HIDDEN) for d in d_gates], axis=1)
+    grads["state_bias"] += d_gates[2].sum(axis=(0, 1))
+    # Tokens of one word are added up before they meet its embedding.
+    order = np.argsort(before.ravel().astype(np.uint16), kind="stable")
+    words, starts = np.unique(before.ravel()[order], return_index=True)
+    rows = np.concatenate([np.add.reduceat(d.reshape(-1, HIDDEN)[order], starts, axis=0) for d in d_x], axis=1)
+    grads["input"] += weights["embed"][words].T @ rows
     grads["input_bias"] += rows.sum(axis=0)
-    np.add.at(grads["embed"], before.ravel(), rows @ weights["input"].T)
+    grads["embed"][words] = rows @ weights["input"].T
     return float(-(logp * weight).sum()), grads, state
 
 
 def train(weights: Weights, docs: list[np.ndarray], end: int) -> Weights:
-    """One pass of Adam over the documents by truncated backpropagation through time."""
+    """One pass of Adam over the documents by truncated backpropagation through time, at a rate that falls to nothing."""
     if not docs:
         return weights
     weights = {name: w.copy() for name, w in weights.items()}
@@ -219,10 +246,14 @@ def train(weights: Weights, docs: list[np.ndarray], end: int) -> Weights:
     state = np.zeros((word.shape[1], HIDDEN), np.float32)
     for step, at in enumerate(range(0, len(word), TRAIN_STEPS), 1):
         rows = slice(at, at + TRAIN_STEPS)
+        alive = np.flatnonzero(doc[at] >= 0)
+        if len(alive) < state.shape[0]:
+            before, word, begins, doc = before[:, alive], word[:, alive], begins[:, alive], doc[:, alive]
+            state = state[alive]
         _, grads, state = gradients(weights, before[rows], word[rows], begins[rows], doc[rows] >= 0, state)
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         shrink = np.float32(min(1.0, CLIP / (size + 1e-9)))
-        rate = np.float32(RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
+        rate = np.float32(RATE * (1 - at / len(begins)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
         for name, grad in grads.items():
             grad *= shrink
             first[name] += np.float32(0.1) * (grad - first[name])

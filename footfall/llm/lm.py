@@ -20,9 +20,9 @@ END = b"\n"
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
 CLASSES = 32
 VOCABULARY = CLASSES * gru.CLASS_WORDS
-# The recurrent weights are fitted on this share of the training documents, or on FIT_DOCS if that is more,
-# in ROUNDS parts; each part is dealt to tasks of about TASK_DOCS documents, whose weights are averaged.
-FIT_SHARE, FIT_DOCS, ROUNDS, TASK_DOCS = 0.04, 4_000, 3, 700
+# The recurrent weights are fitted on all training documents in ROUNDS parts; each part is dealt to tasks of
+# about TASK_WORDS words, whose weights are averaged.
+ROUNDS, TASK_WORDS = 3, 1_500_000
 FAN_IN = 32
 # Distinct words that a counting task holds, and words that a scoring task packs into lanes.
 COUNT_WORDS, SCORE_WORDS = 300_000, 2_000_000
@@ -113,28 +113,23 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon([w for w, _ in pairs], [n for _, n in pairs], total["e"] or 0, total["n"] or 0, total["v"])
 
 
-def fit(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> gru.Weights:
-    """The recurrent weights, by rounds of training in parallel and averaging; ``docs`` are those to learn from.
+def fit(encoded: DataFrame, words: Lexicon) -> gru.Weights:
+    """The recurrent weights, by rounds of training in parallel and averaging; ``encoded`` has the ``numbers`` and ``lot`` of every document to learn from.
 
-    A document's part is told by the hash of its id and text, so the sample is the same on every run and grows
-    with the corpus. Weights are averaged in a tree of tasks; the driver receives at most FAN_IN sets of them.
+    Each document is in one round, told by its lot, the hash of its id and text, so rounds are the same on every
+    run. Weights are averaged in a tree of tasks; the driver receives at most FAN_IN sets of them.
     """
-    spark = docs.sparkSession
+    spark = encoded.sparkSession
     weights = gru.initial(words.class_counts())
-    total = words.end_count
-    share = min(1.0, max(FIT_SHARE, FIT_DOCS / max(1, total)))
-    lot = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("fit")), F.lit(1_000_000))
-    sample = stored(
-        docs.select(F.col(text_col).cast("binary").alias("text"), lot.alias("lot")).where(F.col("lot") < round(share * 1_000_000)), "lm-sample"
-    )
-    tasks = max(1, round(total * share / ROUNDS / TASK_DOCS))
+    tasks = max(1, round(words.tokens / ROUNDS / TASK_WORDS))
     for part in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((words, weights))
+        shared = spark.sparkContext.broadcast(weights)
         trained = (
-            sample.where(F.col("lot") % ROUNDS == part)
+            encoded.where(F.col("lot") % ROUNDS == part)
+            .select("lot", "numbers")
             .repartition(tasks)
-            .sortWithinPartitions("lot", "text")
-            .select("text")
+            .sortWithinPartitions("lot", "numbers")
+            .select("numbers")
             .mapInArrow(_train(shared), "weights binary, size double")
         )
         means = _averaged(trained, tasks).toArrow()
@@ -146,18 +141,19 @@ def fit(docs: DataFrame, words: Lexicon, id_col: str = "doc_id", text_col: str =
 
 def _train(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = shared.value
-        docs, get = [], words.place.get
+        docs: list[np.ndarray] = []
         for batch in slices(batches):
-            for text in batch.column("text").to_pylist():
-                places = np.array([get(w, -1) for w in split_words(text)], np.int64)
-                docs.append(words.numbers(places))
+            docs += map(_unpacked, batch.column("numbers").to_pylist())
         if docs:
-            yield _weighted(gru.pack(gru.train(weights, docs, 0)), float(sum(map(len, docs))))
+            yield _weighted(gru.pack(gru.train(shared.value, docs, 0)), float(sum(map(len, docs))))
 
     return rows
 
 
+def _unpacked(numbers: bytes) -> np.ndarray:
+    return np.frombuffer(numbers, "<u2").astype(np.int32)
+
+
 def _averaged(trained: DataFrame, rows: int) -> DataFrame:
     """Weights of all tasks averaged FAN_IN at a time, until no more than that are left."""
     while rows > FAN_IN:
@@ -187,35 +183,39 @@ def _weighted(flat: np.ndarray, size: float) -> pa.RecordBatch:
     return pa.record_batch([pa.array([raw], pa.binary()), pa.array([size], pa.float64())], names=["weights", "size"])
 
 
-_SCORED = "row long, doc_id long, word binary, times long, n_tokens long, n_known long, head_log double, n_rare long, rare_log double, model_log double"
-_SCORED_ARROW = pa.schema(
+_ENCODED_ARROW = pa.schema(
     [
-        ("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-        ("head_log", pa.float64()), ("n_rare", pa.int64()), ("rare_log", pa.float64()), ("model_log", pa.float64()),
+        ("row", pa.int64()), ("doc_id", pa.int64()), ("lot", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), ("n_tokens", pa.int64()),
+        ("n_known", pa.int64()), ("head_log", pa.float64()), ("n_rare", pa.int64()), ("rare_log", pa.float64()), ("numbers", pa.binary()),
     ]
 )
+_ENCODED = "row long, doc_id long, lot long, word binary, times long, n_tokens long, n_known long, head_log double, n_rare long, rare_log double, numbers binary"
+_SCORED_ARROW = pa.schema([*(_ENCODED_ARROW.field(c) for c in ("row", "doc_id", "n_tokens", "n_known", "head_log", "n_rare", "rare_log")), ("model_log", pa.float64())])
+_SCORED = "row long, doc_id long, n_tokens long, n_known long, head_log double, n_rare long, rare_log double, model_log double"
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row.
 
     All rows whose ``held_out`` is false are learned from: their exact word counts give the base score and
-    the probability of rare words, a share of them fits the recurrent weights. ``score`` is the model's log10
+    the probability of rare words, and all of them fit the recurrent weights. ``score`` is the model's log10
     probability of the whole text: states go on from window to window to the document's end; a word outside
     the vocabulary costs the model's probability of "any other word" times its smoothed share among those.
     NULL and empty texts are the end alone; ids may be NULL or repeat.
 
-    Words outside the head are written once, counted by document, and joined with the counts by word; so no
-    task holds the vocabulary, and a document's rows meet only as sums.
+    Texts are turned into word numbers once, for training and scoring. Words outside the head are written beside
+    them, counted by document, and joined with the counts by word; so no task holds the vocabulary, and a
+    document's rows meet only as sums.
     """
-    training = docs.where(~held_out)
-    counts = stored(word_counts(training, text_col), "lm-counts")
+    counts = stored(word_counts(docs.where(~held_out), text_col), "lm-counts")
     words = lexicon(counts)
-    weights = fit(training, words, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
-    rows = stored(
-        texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared), _SCORED), "lm-rows"
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    # Rows that are not learned from have no lot.
+    lot = F.when(~held_out, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("fit")), F.lit(1_000_000)))
+    whole = docs.select(F.col(id_col).alias("doc_id"), lot.alias("lot"), F.col(text_col).cast("binary").alias("text"))
+    rows = stored(whole.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_encode(shared), _ENCODED), "lm-rows")
+    encoded = rows.where("numbers IS NOT NULL")
+    weights = fit(encoded.where("lot IS NOT NULL"), words)
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5)
     tail = (
         rows.where("word IS NOT NULL")
@@ -224,7 +224,8 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         .groupBy("row")
         .agg(F.sum(F.col("times") * log).alias("tail_log"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
     )
-    whole = rows.where("word IS NULL").drop("word", "times").join(tail, "row", "left")
+    scored = encoded.drop("lot", "word", "times").mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(weights)), _SCORED)
+    whole = scored.join(tail, "row", "left")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return whole.select(
         "doc_id",
@@ -244,47 +245,63 @@ def score_learned(docs: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _score(shared):
+def _encode(shared):
+    """A row for each text, with its word numbers and sums over the head, and one for each of its words outside the head."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, weights = shared.value
+        words = shared.value
         get, logs = words.place.get, np.log10(words.counts + 0.5)
         end_log = float(np.log10(words.end_count + 0.5))
-        held: list[tuple] = []
-        numbers: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            model = gru.score(weights, numbers, 0) / np.log(10)
-            columns = list(zip(*held))
-            nothing = [None] * len(held)
-            values = [columns[0], columns[1], nothing, nothing, *columns[2:], model]
-            yield pa.record_batch([pa.array(v, f.type) for v, f in zip(values, _SCORED_ARROW)], schema=_SCORED_ARROW)
+        def record(names: tuple[str, ...], found: list[tuple]) -> pa.RecordBatch:
+            columns = dict(zip(names, zip(*found)))
+            empty = pa.nulls(len(found))
+            return pa.record_batch(
+                [pa.array(columns[f.name], f.type) if f.name in columns else empty.cast(f.type) for f in _ENCODED_ARROW], schema=_ENCODED_ARROW
+            )
 
         for batch in slices(batches):
+            held: list[tuple] = []
             tail: list[tuple[int, bytes, int]] = []
-            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+            for row, doc, lot, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "lot", "text"))):
                 own = split_words(text)
                 places = np.fromiter([get(w, -1) for w in own], np.int64, len(own))
                 head = places[places >= 0]
                 known = logs[head]
                 rare = head >= words.frequent
-                held.append((row, doc, len(own) + 1, len(head) + (words.end_count > 0), float(known.sum()) + end_log,
-                             int(rare.sum()) + len(own) - len(head), float(known[rare].sum())))
-                numbers.append(words.numbers(places))
-                size += len(own) + 1
+                held.append((row, doc, lot, len(own) + 1, len(head) + (words.end_count > 0), float(known.sum()) + end_log,
+                             int(rare.sum()) + len(own) - len(head), float(known[rare].sum()), words.numbers(places).astype("<u2").tobytes()))
                 if len(head) < len(own):
                     missing = Counter([own[i] for i in np.flatnonzero(places < 0).tolist()])
                     tail += [(row, word, n) for word, n in missing.items()]
+            yield record(("row", "doc_id", "lot", "n_tokens", "n_known", "head_log", "n_rare", "rare_log", "numbers"), held)
             if tail:
-                empty = pa.nulls(len(tail))
-                columns = dict(zip(("row", "word", "times"), zip(*tail)))
-                yield pa.record_batch(
-                    [pa.array(columns[f.name], f.type) if f.name in columns else empty.cast(f.type) for f in _SCORED_ARROW], schema=_SCORED_ARROW
-                )
+                yield record(("row", "word", "times"), tail)
+
+    return rows
+
+
+def _score(shared):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        numbers: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            model = gru.score(shared.value, numbers, 0) / np.log(10)
+            table = pa.Table.from_batches(held).combine_chunks()
+            columns = [table.column(name).combine_chunks() for name in _SCORED_ARROW.names[:-1]]
+            return pa.record_batch([*columns, pa.array(model)], schema=_SCORED_ARROW)
+
+        for batch in slices(batches):
+            own = [_unpacked(n) for n in batch.column("numbers").to_pylist()]
+            held.append(batch.select(_SCORED_ARROW.names[:-1]))
+            numbers += own
+            size += sum(map(len, own))
             if size >= SCORE_WORDS:
-                yield from flush()
+                yield flush()
                 held, numbers, size = [], [], 0
         if held:
-            yield from flush()
+            yield flush()
 
     return rows

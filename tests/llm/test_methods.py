@@ -340,6 +340,23 @@ def test_lm_base_scores(spark, sample_rows):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_every_training_document(documents, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from footfall.llm import lm
+
+    sizes, averaged = [], lm._averaged
+
+    def counted(trained, rows):
+        sizes.append(trained.agg(F.sum("size")).first()[0])
+        return averaged(trained, rows)
+
+    monkeypatch.setattr(lm, "_averaged", counted)
+    docs = documents(*[(d, f"word{d % 7} and word{d % 5}") for d in range(9_000)])
+    found = lm.score_documents(docs, F.col("doc_id") % 5 == 1)
+    assert sum(sizes) == found.first().train_tokens == 7_200 * 4
+
+
 @sample
 def test_language_held_out(spark, sample_rows):
     from footfall.llm import registry
