@@ -58,8 +58,8 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substrings.without_repeats(read(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    cut = substrings.deduplicated(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_sentences", "n_removed", "n_run_words", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,6 +209,33 @@ def test_single_sentences_and_tails(documents):
     assert found == {2: "", 5: "Another lead here. ", 7: "Other. And so on and on."}
 
 
+def brute_runs(docs, run):
+    """The texts left when all but the first of each run of words go, and how many words each loses."""
+    first, gone = {}, {}
+    for doc, text in docs:
+        words = text.lower().split()
+        own = {}
+        for i in range(len(words) - run + 1):
+            key = tuple(words[i : i + run])
+            if first.setdefault(key, doc) != doc or i >= own.setdefault(key, i) + run:
+                gone.setdefault(doc, set()).update(range(i, i + run))
+    return {d: (" ".join(w for i, w in enumerate(t.split()) if i not in gone.get(d, ())), len(gone.get(d, ()))) for d, t in docs}
+
+
+def test_runs_of_words_wherever_they_begin(documents):
+    rng = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    shared = [words(n) for n in (11, 12, 30, 50)]
+    docs = [(d, f"{words(3 + d)} {shared[d % 4].upper()} {words(4)}") for d in range(1, 24)]
+    docs += [(30, "der " * 40), (31, "x " + "der " * 21), (32, "a b c d e " * 6), (33, "a b c d e " * 3), (34, words(11)), (35, ""), (36, "die " * 23)]
+    rows = documents(*docs, (40, None), (None, shared[3])).repartition(3)
+    found = {r.doc_id: r for r in substrings.deduplicated(rows, run_words=12, seed_words=5, words=1000).collect()}
+    left = brute_runs(docs, 12)
+    assert {d: (bytes(found[d].kept).decode().strip(), found[d].n_run_words) for d in left} == left
+    assert set(found) == {*left, 40, None} and found[40].kept is None and bytes(found[None].kept).decode() == shared[3]
+    assert sum(n > 0 for _, n in left.values()) > 15 and left[5][1] == 12 and left[30] == ("der " * 11 + "der", 28)
+
+
 # Embeddings
 
 
@@ -357,6 +384,14 @@ def test_lm_learns_from_every_training_document(documents, monkeypatch):
     assert sum(sizes) == found.first().train_tokens == 7_200 * 4
 
 
+@sample
+def test_substring_query_returns_every_document(spark, sample_rows):
+    from footfall.llm import registry
+
+    found = [r.doc_id for r in registry.op10_substring_dedup(spark, SAMPLE).collect()]
+    assert sorted(found) == sorted(r["doc_id"] for r in sample_rows["documents"])
+
+
 @sample
 def test_language_held_out(spark, sample_rows):
     from footfall.llm import registry
