@@ -1,4 +1,7 @@
-"""Near copies: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by a prefix join.
+"""Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by SimHash, then by a prefix join.
+
+SimHash fingerprints of the shingles link most copies; their pairs are checked exactly. Similar sets can differ in
+many more bits than fingerprints can be joined on, so what they do not join is found by a prefix join.
 
 Shingles go through one exchange, in which only the smallest and largest set of each is kept; what follows meets
 no more than the shingles that two sets share, the sets that may be similar by what is known of them, and the
@@ -19,10 +22,12 @@ from pyspark.sql import functions as F
 from footfall.llm.components import connected_components
 from footfall.llm.decontaminate import FILTER_BITS, _filter
 from footfall.llm.frames import forget, slices, small_batches, stored, texts
-from footfall.llm.simhash import members
+from footfall.llm.simhash import _bit_counts, members, near_fingerprints
 from footfall.llm.words import window_hashes, word_hashes
 
 WIDTH = 5
+# Bits in which SimHash fingerprints of likely copies differ at most.
+SIMHASH_BITS = 3
 # Similarity as a fraction.
 SIMILAR, OF = 4, 5
 # Shingles that COMMON of about SAMPLE documents hold, and the most common ones of these, are looked up last.
@@ -105,7 +110,7 @@ def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stored: ``doc_id``, ``version``, ``fingerprint`` (of the shingle set), ``size`` of the set, its ``sketch`` and its first ``keys``.
+    """Stored: ``doc_id``, ``version``, ``fingerprint`` (a hash of the shingle set), its ``simhash``, ``size``, ``sketch`` and first ``keys``.
 
     All sets are put in one order, common shingles last. Two sets whose similarity is 4/5 or more share 4/5 of
     either's shingles, so they share one of the first ``size - ceil(4/5 size) + 1`` of either.
@@ -119,7 +124,7 @@ def prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     common = counted.select("key").toArrow().column("key").to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
     rows = whole.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(
-        _prefix_rows(shared), "doc_id long, version long, fingerprint long, size int, sketch array<long>, rare int, keys array<long>"
+        _prefix_rows(shared), "doc_id long, version long, fingerprint long, simhash long, size int, sketch array<long>, rare int, keys array<long>"
     )
     return stored(rows, "near-prefixes")
 
@@ -127,7 +132,8 @@ def prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def links(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``a``, ``b``: pairs of shingle sets that are similar, enough of them to join all that belong together.
 
-    Sets that share a prefix key may be similar. ``ROUNDS`` times, each is compared with one other: of the smallest sets of its keys,
+    First, sets whose SimHash fingerprints are near are compared, see `simhash_pairs`. Then those that share a prefix key,
+    which any similar sets do: ``ROUNDS`` times, each is compared with one other: of the smallest sets of its keys,
     that it is not joined with, the one it shares most keys with. Then all pairs of a key that are not of one
     component by now and whose sketches may be those of similar sets. What is left out would join no components.
     """
@@ -141,11 +147,11 @@ def links(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col:
     some = prints.select("fingerprint", "size", "keys").mapInArrow(_keys_in(shared), "key long, fingerprint long, size int, place int")
     held = stored(some.join(met, "key").distinct(), "near-held")
     forget(met)
-    tried = stored(_best(held.where("fingerprint <> low").groupBy(F.col("fingerprint").alias("b"), F.col("low").alias("a"))), "near-tried")
+    tried = stored(simhash_pairs(prints), "near-tried")
     found = stored(_similar(tried, docs, prints, id_col, text_col), "near-links")
-    # Of a large group nearly all are joined now. Again for what is left, then all pairs of what is left then.
+    # Each time, most of a large group is joined. Then all pairs of what is left.
     open_ = _open_keys(held, found)
-    for _ in range(ROUNDS - 1):
+    for _ in range(ROUNDS):
         lows = open_.groupBy("key").agg(F.min(F.struct("fingerprint", "root")).alias("low"))
         others = open_.join(lows, "key").where("root <> low.root").select(F.col("fingerprint").alias("b"), F.col("low.fingerprint").alias("a"))
         others = stored(_best(others.join(tried, ["a", "b"], "left_anti").groupBy("b", "a")), "near-tried")
@@ -168,6 +174,22 @@ def links(docs: DataFrame, prints: DataFrame, id_col: str = "doc_id", text_col:
     return found.unionByName(last)
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """``a``, ``b``: sets whose SimHash fingerprints differ in at most ``SIMHASH_BITS`` bits.
+
+    Of the sets of one fingerprint, each is with the smallest; of each fingerprint, the smallest set is with that of
+    the smallest near fingerprint.
+    """
+    values = prints.select("simhash", "fingerprint").distinct()
+    lows = stored(values.groupBy("simhash").agg(F.min("fingerprint").alias("low")), "near-simhash")
+    near = near_fingerprints(lows.select(F.col("simhash").alias("fingerprint")), SIMHASH_BITS).groupBy("b").agg(F.min("a").alias("a"))
+    for side in "ab":
+        near = near.join(lows.select(F.col("simhash").alias(side), F.col("low").alias(f"low_{side}")), side)
+    equal = values.join(lows, "simhash").where("fingerprint <> low").select(F.col("low").alias("low_a"), F.col("fingerprint").alias("low_b"))
+    pairs = near.select("low_a", "low_b").unionByName(equal)
+    return pairs.select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b")).distinct()
+
+
 def _best(candidates: GroupedData) -> DataFrame:
     """``a``, ``b``: for every set ``b`` the one ``a`` that it shares most keys with."""
     counted = candidates.agg(F.count("*").alias("n")).groupBy("b").agg(F.max(F.struct("n", "a")).alias("best"))
@@ -329,6 +351,11 @@ def _set_hash(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes())
 
 
+def simhash(found: np.ndarray) -> int:
+    """The 64-bit SimHash fingerprint of a set: a bit is 1 if more than half of the hashes have it."""
+    return int(np.packbits(_bit_counts(found) * 2 > len(found), bitorder="little").view("<u8")[0])
+
+
 def sketch(found: np.ndarray) -> np.ndarray:
     """For each of ``64 * SKETCH`` buckets of hashes one bit: whether the set holds an odd number of them."""
     bucket = (found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(64 * SKETCH)
@@ -340,10 +367,11 @@ def _prefix_rows(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in slices(batches):
-            nodes, sizes, sketches, rare, keys = [], [], [], [], []
+            nodes, prints, sizes, sketches, rare, keys = [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
                 nodes.append(_set_hash(found))
+                prints.append(simhash(found))
                 sizes.append(len(found))
                 sketches.append(sketch(found))
                 first, own = prefix(found, common)
@@ -353,10 +381,10 @@ def _prefix_rows(shared):
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys).view(np.int64)))
             ends = pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH)
             sketched = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches)))
-            nodes = pa.array(np.array(nodes, np.uint64).view(np.int64))
+            nodes, prints = (pa.array(np.array(values, np.uint64).view(np.int64)) for values in (nodes, prints))
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("version"), nodes, pa.array(sizes, pa.int32()), sketched, pa.array(rare, pa.int32()), lists],
-                names=["doc_id", "version", "fingerprint", "size", "sketch", "rare", "keys"],
+                [batch.column("doc_id"), batch.column("version"), nodes, prints, pa.array(sizes, pa.int32()), sketched, pa.array(rare, pa.int32()), lists],
+                names=["doc_id", "version", "fingerprint", "simhash", "size", "sketch", "rare", "keys"],
             )
 
     return rows

@@ -106,6 +106,33 @@ def test_near_copies_of_every_degree(documents, seed):
     assert {r.doc_id for r in kept.collect()} == keepers(rows)
 
 
+def test_near_copies_go_through_simhash(documents, spark, monkeypatch):
+    """The first pairs compared are those of near SimHash fingerprints of five-word shingles, which link the copies."""
+    rng = random.Random(8)
+    rows = []
+    for group in range(10):
+        text = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(3 * group + n, " ".join(text[: len(text) - n])) for n in range(3)]
+    asked, similar = [], near_copies._similar
+
+    def spied(pairs, *rest):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(near_copies, "_similar", spied)
+    kept = corpus_pipeline.distinct_documents(spark, documents(*rows), "")
+    assert {r.doc_id for r in kept.collect()} == keepers(rows) == set(range(0, 30, 3))
+    prints = {}
+    for doc, text in rows:
+        found = near_copies.shingles(text.encode())
+        ones = [sum(int(h) >> bit & 1 for h in found) for bit in range(64)]
+        node = int(np.array([near_copies._set_hash(found)], np.uint64).view(np.int64)[0])
+        prints[node] = sum(1 << bit for bit in range(64) if ones[bit] * 2 > len(found)), doc // 3
+    near = {(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a][0] ^ prints[b][0]).bit_count() <= near_copies.SIMHASH_BITS}
+    assert asked[0] and asked[0] <= near and {prints[a][1] for a, _ in asked[0]} == {prints[a][1] for a, _ in near}
+    assert {n for pair in near for n in pair} == {n for pair in asked[0] for n in pair}
+
+
 def test_the_limit_by_prefixes_is_one():
     rng = np.random.default_rng(0)
     for trial in range(300):
