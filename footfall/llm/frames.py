@@ -74,6 +74,16 @@ def give_back() -> None:
         pass
 
 
+def keep_freed() -> None:
+    """Let the C library reuse freed memory for large arrays, which it else maps anew, page by page; ``give_back`` still returns it."""
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+    except AttributeError:
+        pass
+
+
 def fold_bucket(id_col: str | Column, parts: int = 5) -> Column:
     """crc32 of the id's text modulo ``parts``; NULL for a NULL id."""
     column = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -5,13 +5,17 @@ from __future__ import annotations
 import numpy as np
 
 EMBED, HIDDEN = 32, 32
-# Words of a class; the words of the vocabulary, by falling frequency, fill one class after the other.
+# Places of a class. A class may fill only the first of them, so that frequent words share theirs with few others.
 CLASS_WORDS = 64
-# Lanes and steps of a training window, over which gradients flow; states are carried from window to window.
-TRAIN_LANES, TRAIN_STEPS = 64, 32
+# Steps of a training window, over which gradients flow; states are carried from window to window. As many lanes
+# (within bounds) as give about UPDATES windows a pass: more are cheaper a word, fewer learn more from few words.
+TRAIN_STEPS, TRAIN_LANES, UPDATES = 32, (32, 256), 512
 # Lanes and steps of a scoring window.
 LANES, STEPS = 256, 64
-RATE, CLIP = 8e-3, 1.0
+# The rate is that of one lane; it grows with the square root of their number.
+RATE, CLIP = 1e-3, 1.0
+# Tokens whose softmax is worked out at a time.
+TOKENS = 2_048
 
 Weights = dict[str, np.ndarray]
 
@@ -32,20 +36,25 @@ def shapes(classes: int) -> dict[str, tuple[int, ...]]:
 
 
 def initial(counts: np.ndarray) -> Weights:
-    """Small random gates; outputs that say the words' relative frequencies (``counts``, a row for each class)."""
+    """Small random gates; outputs that say the words' relative frequencies (``counts``, a row for each class; -1 where no word is)."""
     rng = np.random.default_rng(11)
     out: Weights = {}
     for name, shape in shapes(len(counts)).items():
         scale = {"embed": 0.1, "input": EMBED**-0.5, "state": HIDDEN**-0.5}.get(name, 0.0)
         out[name] = (rng.standard_normal(shape) * scale).astype(np.float32)
-    # Places that no word fills (-1) have no probability to speak of.
-    smooth = np.where(counts < 0, 1e-9, counts + 0.5)
+    # Places behind the last word of a class have no probability, and a bias of minus infinity.
+    smooth = np.where(counts < 0, 0, counts + 0.5)
     of_class = smooth.sum(axis=1, keepdims=True)
-    out["class_bias"] = np.log(of_class[:, 0] / smooth.sum()).astype(np.float32)
-    out["word_bias"] = np.log(smooth / of_class).astype(np.float32)
+    with np.errstate(divide="ignore"):
+        out["class_bias"] = np.log(of_class[:, 0] / smooth.sum()).astype(np.float32)
+        out["word_bias"] = np.log(smooth / np.where(of_class > 0, of_class, 1)).astype(np.float32)
     return out
 
 
+def class_sizes(weights: Weights) -> np.ndarray:
+    return np.isfinite(weights["word_bias"]).sum(axis=1)
+
+
 def pack(weights: Weights) -> np.ndarray:
     return np.concatenate([weights[name].ravel() for name in shapes(len(weights["class_bias"]))])
 
@@ -75,8 +84,8 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
 def timelines(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Steps by lanes: the word before, the word, whether a document begins, the document (-1 behind the last)."""
     lengths = np.array([len(d) for d in docs])
-    # Fewer lanes beside a very long document, so that what is held grows with the words.
-    dealt = lanes_of(lengths, min(lanes, max(1, 4 * int(lengths.sum()) // max(1, int(lengths.max())))))
+    # Fewer lanes beside a very long document: all end at about the same step, and what is held grows with the words.
+    dealt = lanes_of(lengths, min(lanes, -(-int(lengths.sum()) // max(1, int(lengths.max())))))
     steps = max(sum(len(docs[d]) for d in own) for own in dealt)
     shape = (steps, len(dealt))
     before, word = np.full(shape, end, np.int32), np.full(shape, end, np.int32)
@@ -94,65 +103,77 @@ def timelines(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+    """In place where the argument is no longer needed; callers use what is returned."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 def _outputs(weights: Weights, hidden: np.ndarray, word: np.ndarray, grads: Weights | None, weight: np.ndarray | None):
-    """Log-probability (natural) of each word after each state; with ``grads``, the gradients too.
+    """Log-probability (natural) of each word after each state (a column); with ``grads``, the gradients too.
 
     The softmax over classes and the softmax over the words of the true class; tokens of one class are
     worked on together. ``weight`` scales a token's loss.
     """
     order = np.argsort((word // CLASS_WORDS).astype(np.uint16), kind="stable")
-    hidden, word = hidden[order], word[order]
-    weight = weight[order][:, None] if weight is not None else None
+    hidden, word = hidden.take(order, axis=1), word[order]
+    weight = weight[order] if weight is not None else None
     cls, place = word // CLASS_WORDS, word % CLASS_WORDS
-    every = np.arange(len(word))
-
-    def softmax(logits: np.ndarray, true: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        logits -= logits.max(axis=1, keepdims=True)
-        at = every[: len(true)]
-        own = logits[at, true]
+    logp = np.empty(len(word), hidden.dtype)
+    d_hidden = np.empty_like(hidden) if grads is not None else None
+
+    def softmax(own: slice, true: np.ndarray, matrix: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-probabilities of the true entries, and the gradient of the logits (a row for each entry)."""
+        logits = matrix.T @ hidden[:, own]
+        logits += bias[:, None]
+        logits -= logits.max(axis=0)
+        at = np.arange(len(true))
+        logp = logits[true, at]
         exp = np.exp(logits, out=logits)
-        total = exp.sum(axis=1)
-        return own - np.log(total), (exp, total, at)
-
-    def delta(parts: tuple, true: np.ndarray, scale: np.ndarray) -> np.ndarray:
-        exp, total, at = parts
-        exp *= scale / total[:, None]
-        exp[at, true] -= scale[:, 0]
-        return exp
-
-    logp, parts = softmax(hidden @ weights["to_class"] + weights["class_bias"], cls)
-    d_hidden = None
-    if grads is not None:
-        error = delta(parts, cls, weight)
-        grads["to_class"] += hidden.T @ error
-        grads["class_bias"] += error.sum(axis=0)
-        d_hidden = error @ weights["to_class"].T
-    bounds = np.searchsorted(cls, np.arange(len(weights["class_bias"]) + 1))
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        own = slice(bounds[c], bounds[c + 1])
-        h = hidden[own]
-        more, parts = softmax(h @ weights["to_word"][c] + weights["word_bias"][c], place[own])
-        logp[own] += more
+        total = exp.sum(axis=0)
+        logp -= np.log(total)
+        if grads is None:
+            return logp, None
+        exp *= weight[own] / total
+        exp[true, at] -= weight[own]
+        return logp, exp
+
+    for at in range(0, len(word), TOKENS):
+        own = slice(at, at + TOKENS)
+        logp[own], error = softmax(own, cls[own], weights["to_class"], weights["class_bias"])
         if grads is not None:
-            error = delta(parts, place[own], weight[own])
-            grads["to_word"][c] += h.T @ error
-            grads["word_bias"][c] += error.sum(axis=0)
-            d_hidden[own] += error @ weights["to_word"][c].T
+            grads["to_class"] += hidden[:, own] @ error.T
+            grads["class_bias"] += error.sum(axis=1)
+            np.matmul(weights["to_class"], error, out=d_hidden[:, own])
+    sizes = class_sizes(weights)
+    bounds = np.searchsorted(cls, np.arange(len(sizes) + 1))
+    for c in np.flatnonzero((np.diff(bounds) > 0) & (sizes > 1)).tolist():
+        matrix, bias = weights["to_word"][c, :, : sizes[c]], weights["word_bias"][c, : sizes[c]]
+        for at in range(bounds[c], bounds[c + 1], TOKENS):
+            own = slice(at, min(at + TOKENS, bounds[c + 1]))
+            more, error = softmax(own, place[own], matrix, bias)
+            logp[own] += more
+            if grads is not None:
+                grads["to_word"][c, :, : sizes[c]] += hidden[:, own] @ error.T
+                grads["word_bias"][c, : sizes[c]] += error.sum(axis=1)
+                d_hidden[:, own] += matrix @ error
     back = np.empty_like(order)
-    back[order] = every
-    return logp[back], d_hidden[back] if d_hidden is not None else None
+    back[order] = np.arange(len(order))
+    return logp[back], d_hidden.take(back, axis=1) if d_hidden is not None else None
+
 
+def _inputs(weights: Weights, embedded: np.ndarray) -> np.ndarray:
+    """What embedded words (steps by lanes) put into the gates, steps by gates by lanes: each gate of a step lies together."""
+    x = weights["input"].T @ embedded.swapaxes(1, 2)
+    x += weights["input_bias"][:, None]
+    return x
 
-def _gates(weights: Weights) -> tuple[np.ndarray, np.ndarray]:
-    """By gate: what each word puts in, and the weights of the state."""
-    table = weights["embed"] @ weights["input"] + weights["input_bias"]
-    return (
-        np.ascontiguousarray(table.reshape(-1, 3, HIDDEN).swapaxes(0, 1)),
-        np.ascontiguousarray(weights["state"].reshape(HIDDEN, 3, HIDDEN).swapaxes(0, 1)),
-    )
+
+def _columns(steps: np.ndarray) -> np.ndarray:
+    """Steps by hidden by lanes to hidden by tokens."""
+    return np.ascontiguousarray(steps.swapaxes(0, 1)).reshape(steps.shape[1], -1)
 
 
 def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
@@ -160,79 +181,107 @@ def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
     if not docs:
         return np.zeros(0)
     before, word, begins, doc = timelines(docs, LANES, end)
-    table, gates = _gates(weights)
-    state = np.zeros((word.shape[1], HIDDEN), np.float32)
+    gates = np.ascontiguousarray(weights["state"].T)
+    state = np.zeros((HIDDEN, word.shape[1]), np.float32)
     out = np.zeros(len(docs))
     for at in range(0, len(word), STEPS):
         rows = slice(at, at + STEPS)
         # Lanes that are at their end drop out.
         alive = np.flatnonzero(doc[at] >= 0)
-        if len(alive) < state.shape[0]:
+        if len(alive) < state.shape[1]:
             before, word, begins, doc = before[:, alive], word[:, alive], begins[:, alive], doc[:, alive]
-            state = state[alive]
+            state = state[:, alive]
         hidden = np.empty((len(word[rows]), *state.shape), np.float32)
-        x = table[:, before[rows]]
+        x = _inputs(weights, weights["embed"][before[rows]])
         for t, fresh in enumerate(begins[rows]):
-            state[fresh] = 0
-            state = _step(weights, gates, x[:, t], state)[0]
-            hidden[t] = state
+            if fresh.any():
+                state = np.where(fresh, np.float32(0), state)
+            _step(weights, gates, x[t], state, hidden[t])
+            state = hidden[t]
         real = doc[rows].ravel() >= 0
-        logp, _ = _outputs(weights, hidden.reshape(-1, HIDDEN)[real], word[rows].ravel()[real], None, None)
-        out += np.bincount(doc[rows].ravel()[real], logp, len(docs))
+        columns, words, docs_at = _columns(hidden), word[rows].ravel(), doc[rows].ravel()
+        if not real.all():
+            columns, words, docs_at = columns[:, real], words[real], docs_at[real]
+        logp, _ = _outputs(weights, columns, words, None, None)
+        out += np.bincount(docs_at, logp, len(docs))
     return out
 
 
-def _step(weights: Weights, gates: np.ndarray, x: np.ndarray, state: np.ndarray):
-    own = state @ gates
-    update, reset = _sigmoid(x[:2] + own[:2])
-    inner = own[2]
-    inner += weights["state_bias"]
-    new = np.tanh(x[2] + reset * inner)
-    return new + update * (state - new), update, reset, inner, new
+def _step(weights: Weights, gates: np.ndarray, x: np.ndarray, state: np.ndarray, hidden: np.ndarray):
+    """A step of all lanes (columns), its state written to ``hidden``; returns what going back needs. ``x`` is used up."""
+    own = gates @ state
+    both = x[: 2 * HIDDEN]
+    both += own[: 2 * HIDDEN]
+    both = _sigmoid(both)
+    update, reset = both[:HIDDEN], both[HIDDEN:]
+    inner = own[2 * HIDDEN :]
+    inner += weights["state_bias"][:, None]
+    new = reset * inner
+    new += x[2 * HIDDEN :]
+    np.tanh(new, out=new)
+    np.subtract(state, new, out=hidden)
+    hidden *= update
+    hidden += new
+    return update, reset, inner, new
 
 
 def gradients(weights: Weights, before, word, begins, real, state) -> tuple[float, Weights, np.ndarray]:
-    """Mean loss of a window's real tokens, its gradients within the window, and the state after it."""
+    """Mean loss of a window's real tokens, its gradients within the window, and the state (lanes by hidden) after it."""
     grads = {name: np.zeros_like(w) for name, w in weights.items()}
-    table, gates = _gates(weights)
-    x = table[:, before]
-    olds = np.empty((*word.shape, HIDDEN), table.dtype)
+    gates = np.ascontiguousarray(weights["state"].T)
+    embedded = weights["embed"][before]
+    x = _inputs(weights, embedded)
+    olds = np.empty((len(word), HIDDEN, word.shape[1]), x.dtype)
     hidden = np.empty_like(olds)
+    state = state.T
     trace = []
-    for t in range(len(word)):
-        state = np.where(begins[t][:, None], np.float32(0), state)
+    for t, fresh in enumerate(begins):
         olds[t] = state
-        state, *parts = _step(weights, gates, x[:, t], state)
-        trace.append(parts)
-        hidden[t] = state
+        if fresh.any():
+            olds[t][:, fresh] = 0
+        trace.append(_step(weights, gates, x[t], olds[t], hidden[t]))
+        state = hidden[t]
     weight = (real.ravel() / max(1, real.sum())).astype(np.float32)
-    logp, d_flat = _outputs(weights, hidden.reshape(-1, HIDDEN), word.ravel(), grads, weight)
-    d_hidden = d_flat.reshape(hidden.shape)
-    d_x, d_gates = np.empty_like(x), np.empty_like(x)
-    back = gates.swapaxes(1, 2)
+    logp, d_flat = _outputs(weights, _columns(hidden), word.ravel(), grads, weight)
+    d_hidden = d_flat.reshape(HIDDEN, *word.shape).swapaxes(0, 1)
+    # Of the sums that go into the gates: d_x of those from the words, `through` of the state's part of the new state.
+    d_x = np.empty_like(x)
+    through = np.empty_like(olds)
     d_state = np.zeros_like(state)
+    to_both, to_new = weights["state"][:, : 2 * HIDDEN], weights["state"][:, 2 * HIDDEN :]
     for t in range(len(word) - 1, -1, -1):
         old, (update, reset, inner, new) = olds[t], trace[t]
-        d = d_hidden[t] + d_state
-        kept = d * update
-        d_new = (d - kept) * (1 - new * new)
-        d_update = kept * (old - new) * (1 - update)
-        through = d_new * reset
-        d_reset = through * inner * (1 - reset)
-        d_x[0, t], d_x[1, t], d_x[2, t] = d_update, d_reset, d_new
-        d_gates[0, t], d_gates[1, t], d_gates[2, t] = d_update, d_reset, through
-        d_state = (kept + (d_gates[:, t] @ back).sum(axis=0)) * ~begins[t][:, None]
-    flat = olds.reshape(-1, HIDDEN).T
-    grads["state"] += np.concatenate([flat @ d.reshape(-1, HIDDEN) for d in d_gates], axis=1)
-    grads["state_bias"] += d_gates[2].sum(axis=(0, 1))
-    # Tokens of one word are added up before they meet its embedding.
+        d_update, d_reset, d_new = d_x[t, :HIDDEN], d_x[t, HIDDEN : 2 * HIDDEN], d_x[t, 2 * HIDDEN :]
+        d_state += d_hidden[t]
+        kept = d_state * update
+        np.subtract(d_state, kept, out=d_state)
+        np.multiply(new, new, out=d_new)
+        np.subtract(1, d_new, out=d_new)
+        d_new *= d_state
+        np.subtract(old, new, out=d_update)
+        d_update *= kept
+        np.subtract(1, update, out=update)
+        d_update *= update
+        np.multiply(d_new, reset, out=through[t])
+        np.multiply(through[t], inner, out=d_reset)
+        np.subtract(1, reset, out=reset)
+        d_reset *= reset
+        d_state = to_both @ d_x[t, : 2 * HIDDEN]
+        d_state += to_new @ through[t]
+        d_state += kept
+        if begins[t].any():
+            d_state[:, begins[t]] = 0
+    grads["state"][:, : 2 * HIDDEN] = (olds @ d_x[:, : 2 * HIDDEN].swapaxes(1, 2)).sum(axis=0)
+    grads["state"][:, 2 * HIDDEN :] = (olds @ through.swapaxes(1, 2)).sum(axis=0)
+    grads["state_bias"] += through.sum(axis=(0, 2))
+    back = d_x.swapaxes(1, 2)
+    grads["input"] = (embedded.swapaxes(1, 2) @ back).sum(axis=0)
+    grads["input_bias"] = d_x.sum(axis=(0, 2))
+    # Tokens of one word are added up.
     order = np.argsort(before.ravel().astype(np.uint16), kind="stable")
     words, starts = np.unique(before.ravel()[order], return_index=True)
-    rows = np.concatenate([np.add.reduceat(d.reshape(-1, HIDDEN)[order], starts, axis=0) for d in d_x], axis=1)
-    grads["input"] += weights["embed"][words].T @ rows
-    grads["input_bias"] += rows.sum(axis=0)
-    grads["embed"][words] = rows @ weights["input"].T
-    return float(-(logp * weight).sum()), grads, state
+    grads["embed"][words] = np.add.reduceat((back @ weights["input"].T).reshape(-1, EMBED)[order], starts, axis=0)
+    return float(-(logp * weight).sum()), grads, state.T
 
 
 def train(weights: Weights, docs: list[np.ndarray], end: int) -> Weights:
@@ -242,7 +291,9 @@ def train(weights: Weights, docs: list[np.ndarray], end: int) -> Weights:
     weights = {name: w.copy() for name, w in weights.items()}
     first = {name: np.zeros_like(w) for name, w in weights.items()}
     second = {name: np.zeros_like(w) for name, w in weights.items()}
-    before, word, begins, doc = timelines(docs, TRAIN_LANES, end)
+    lanes = int(np.clip(sum(map(len, docs)) // (TRAIN_STEPS * UPDATES), *TRAIN_LANES))
+    before, word, begins, doc = timelines(docs, lanes, end)
+    full_rate = RATE * word.shape[1] ** 0.5
     state = np.zeros((word.shape[1], HIDDEN), np.float32)
     for step, at in enumerate(range(0, len(word), TRAIN_STEPS), 1):
         rows = slice(at, at + TRAIN_STEPS)
@@ -253,7 +304,7 @@ def train(weights: Weights, docs: list[np.ndarray], end: int) -> Weights:
         _, grads, state = gradients(weights, before[rows], word[rows], begins[rows], doc[rows] >= 0, state)
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         shrink = np.float32(min(1.0, CLIP / (size + 1e-9)))
-        rate = np.float32(RATE * (1 - at / len(begins)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
+        rate = np.float32(full_rate * (1 - at / len(begins)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
         for name, grad in grads.items():
             grad *= shrink
             first[name] += np.float32(0.1) * (grad - first[name])

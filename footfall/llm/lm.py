@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,23 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import gru
-from footfall.llm.frames import fold_bucket, slices, stored, texts
+from footfall.llm.frames import fold_bucket, keep_freed, slices, stored
 
 # The end of a document as a word; no word holds a line end.
 END = b"\n"
 # Words whose counts are sent to every task: the most frequent ones of at most HEAD_BYTES. All others are
 # joined. The first of them, with the end and the sum of all other words, are the model's vocabulary.
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
-CLASSES = 32
-VOCABULARY = CLASSES * gru.CLASS_WORDS
+# Words of each class of the vocabulary: "any other word" alone, then the end and the words by falling frequency.
+CLASS_SIZES = (1, 7, 8, 16, 16, 16, 32, 32, *[gru.CLASS_WORDS] * 30)
+CLASSES, VOCABULARY = len(CLASS_SIZES), sum(CLASS_SIZES)
+# The model's number of each entry of the vocabulary.
+NUMBERS = np.concatenate([c * gru.CLASS_WORDS + np.arange(size) for c, size in enumerate(CLASS_SIZES)]).astype(np.int32)
 # The recurrent weights are fitted on all training documents in ROUNDS parts; each part is dealt to tasks of
 # about TASK_WORDS words, whose weights are averaged.
-ROUNDS, TASK_WORDS = 3, 1_500_000
+ROUNDS, TASK_WORDS = 3, 4_000_000
 FAN_IN = 32
 # Distinct words that a counting task holds, and words that a scoring task packs into lanes.
-COUNT_WORDS, SCORE_WORDS = 300_000, 2_000_000
+COUNT_WORDS, SCORE_WORDS = 300_000, 4_000_000
 
-_RARE = 1  # the number of "any other word"; 0 is the end
+_RARE, _END = NUMBERS[:2].tolist()  # "any other word", and the end
 
 
 class Lexicon:
@@ -51,15 +55,15 @@ class Lexicon:
 
     def class_counts(self) -> np.ndarray:
         """Counts of the vocabulary by class; -1 where no word is."""
-        flat = np.full(VOCABULARY, -1.0)
-        flat[0], flat[_RARE] = self.end_count, self.rare_tokens
-        flat[2 : 2 + self.frequent] = self.counts[: self.frequent]
+        flat = np.full(CLASSES * gru.CLASS_WORDS, -1.0)
+        flat[_RARE], flat[_END] = self.rare_tokens, self.end_count
+        flat[NUMBERS[2 : 2 + self.frequent]] = self.counts[: self.frequent]
         return flat.reshape(CLASSES, gru.CLASS_WORDS)
 
     def numbers(self, places: np.ndarray) -> np.ndarray:
         """The model's word numbers of head places (-1: not in the head), with the end behind them."""
-        out = np.where((places >= 0) & (places < self.frequent), places + 2, _RARE)
-        return np.append(out, 0).astype(np.int32)
+        own = (places >= 0) & (places < self.frequent)
+        return np.append(NUMBERS[np.where(own, places + 2, 0)], _END)
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -142,16 +146,17 @@ def fit(encoded: DataFrame, words: Lexicon) -> gru.Weights:
 def _train(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[np.ndarray] = []
+        keep_freed()
         for batch in slices(batches):
             docs += map(_unpacked, batch.column("numbers").to_pylist())
         if docs:
-            yield _weighted(gru.pack(gru.train(shared.value, docs, 0)), float(sum(map(len, docs))))
+            yield _weighted(gru.pack(gru.train(shared.value, docs, _END)), float(sum(map(len, docs))))
 
     return rows
 
 
 def _unpacked(numbers: bytes) -> np.ndarray:
-    return np.frombuffer(numbers, "<u2").astype(np.int32)
+    return np.frombuffer(numbers, "<u2")
 
 
 def _averaged(trained: DataFrame, rows: int) -> DataFrame:
@@ -265,7 +270,7 @@ def _encode(shared):
             tail: list[tuple[int, bytes, int]] = []
             for row, doc, lot, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "lot", "text"))):
                 own = split_words(text)
-                places = np.fromiter([get(w, -1) for w in own], np.int64, len(own))
+                places = np.fromiter(map(get, own, repeat(-1)), np.int64, len(own))
                 head = places[places >= 0]
                 known = logs[head]
                 rare = head >= words.frequent
@@ -286,9 +291,10 @@ def _score(shared):
         held: list[pa.RecordBatch] = []
         numbers: list[np.ndarray] = []
         size = 0
+        keep_freed()
 
         def flush() -> pa.RecordBatch:
-            model = gru.score(shared.value, numbers, 0) / np.log(10)
+            model = gru.score(shared.value, numbers, _END) / np.log(10)
             table = pa.Table.from_batches(held).combine_chunks()
             columns = [table.column(name).combine_chunks() for name in _SCORED_ARROW.names[:-1]]
             return pa.record_batch([*columns, pa.array(model)], schema=_SCORED_ARROW)

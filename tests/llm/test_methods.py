@@ -329,6 +329,53 @@ def test_training_learns_an_order():
     assert gru.score(trained, docs[:1], 0)[0] > 0.5 * gru.score(start, docs[:1], 0)[0]
 
 
+def test_scores_against_a_plain_model_of_single_words():
+    rng = np.random.default_rng(5)
+    counts = np.full((4, gru.CLASS_WORDS), -1.0)
+    for c, size in enumerate((1, 3, gru.CLASS_WORDS, 0)):  # classes of one word, of some, full and empty
+        counts[c, :size] = rng.integers(1, 50, size)
+    words = np.flatnonzero(counts.ravel() >= 0)
+    weights = {k: (w + rng.standard_normal(w.shape) * 0.2).astype(np.float32) for k, w in gru.initial(counts).items()}
+    docs = [rng.choice(words, n) for n in (9, 1, 40)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def plain(doc):
+        state, before, total = np.zeros(gru.HIDDEN), int(words[0]), 0.0
+        for word in doc.tolist():
+            x, own = weights["embed"][before] @ weights["input"] + weights["input_bias"], state @ weights["state"]
+            (xu, xr, xn), (su, sr, sn) = np.split(x.astype(float), 3), np.split(own, 3)
+            new = np.tanh(xn + sigmoid(xr + sr) * (sn + weights["state_bias"]))
+            update = sigmoid(xu + su)
+            state = update * state + (1 - update) * new
+            c, place = divmod(word, gru.CLASS_WORDS)
+            of_class = state @ weights["to_class"] + weights["class_bias"]
+            size = int((counts[c] >= 0).sum())
+            of_word = (state @ weights["to_word"][c] + weights["word_bias"][c])[:size]
+            total += of_class[c] - np.log(np.exp(of_class).sum()) + of_word[place] - np.log(np.exp(of_word).sum())
+            before = word
+        return total
+
+    assert np.allclose(gru.score(weights, docs, int(words[0])), [plain(d) for d in docs], rtol=1e-4)
+    trained = gru.train(weights, docs, int(words[0]))
+    assert all(np.isfinite(w[np.isfinite(weights[name])]).all() for name, w in trained.items())
+
+
+def test_large_tasks_train_in_few_wide_windows(monkeypatch):
+    seen = []
+
+    def counted(weights, before, word, begins, real, state):
+        seen.append((int(real.sum()), real.size))
+        return 0.0, {name: np.zeros_like(w) for name, w in weights.items()}, state
+
+    monkeypatch.setattr(gru, "gradients", counted)
+    # A long document keeps no lanes waiting.
+    docs = [np.zeros(20_000, np.int32)] + [np.full(n, 3, np.int32) for n in np.random.default_rng(2).integers(1, 2_000, 2_000)]
+    gru.train(gru.initial(np.ones((1, gru.CLASS_WORDS))), docs, 0)
+    words = sum(map(len, docs))
+    assert sum(n for n, _ in seen) == words
+    assert len(seen) < 700 and sum(n for _, n in seen) < 1.05 * words
+
+
 # Word counts and queries over the smallest sample
 
 
