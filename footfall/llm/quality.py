@@ -199,8 +199,10 @@ def train(docs: DataFrame, trusted: DataFrame, rows: int = FIT_ROWS) -> Classifi
         picked_p.withColumn("trusted", F.lit(True)).unionByName(picked_u.withColumn("trusted", F.lit(False))), "quality-rows"
     )
     sample = known.join(F.broadcast(picked.select("doc_id", "version").distinct()), ["doc_id", "version"])
-    sample = stored(featured(sample.dropDuplicates(["doc_id", "version"])), "quality-sample")
-    table = sample.join(picked, ["doc_id", "version"]).withColumn("half", half).orderBy(*order, "trusted").toArrow()
+    sample = featured(sample.dropDuplicates(["doc_id", "version"])).join(F.broadcast(picked), ["doc_id", "version"])
+    # Sorted here, where the bounded sample goes anyway: Spark would measure its texts twice or write a file for each partition.
+    table = sample.select("*", half.alias("half"), order[0].alias("lot")).toArrow()
+    table = table.sort_by([(c, "ascending") for c in ("lot", "doc_id", "version", "trusted")])
     matrix = table.column("features").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES)
     positive, halves = (table.column(c).to_numpy().astype(bool) for c in ("trusted", "half"))
     fit_p, test_p = matrix[positive & ~halves], matrix[positive & halves]

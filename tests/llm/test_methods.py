@@ -476,6 +476,22 @@ def test_quality_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
     assert fitted == [(40, 40)] and 0 < model.prior < 1
 
 
+def test_quality_writes_no_file_for_each_partition(spark, monkeypatch):
+    tables, kept = [], quality.stored
+    monkeypatch.setattr(quality, "stored", lambda frame, purpose: tables.append(kept(frame, purpose)) or tables[-1])
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('some word ', id, '. '), 5) AS text").repartition(40)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        quality.train(docs, docs.where("doc_id % 3 = 0").select("doc_id"), rows=80)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert sum(len(table.inputFiles()) for table in tables) < 10
+
+
 def test_quality_prior_counts_all_unlabelled_rows(spark):
     """A third of the rows shout, and some of these are trusted; however small the sample, all rows are counted."""
     text = "CASE WHEN id % 3 = 0 THEN repeat(concat('LOUD WORDS ', id, '! '), 9) ELSE repeat(concat('plain words ', id, ', '), 9) END AS text"
