@@ -240,7 +240,8 @@ def _sets(docs: DataFrame, prints: DataFrame, asked: DataFrame, id_col: str, tex
     passed = _passes(docs.sparkSession.sparkContext.broadcast(_filter(seeds)))
     match = F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("version") == F.col("k_version"))
     found = texts(docs, id_col, text_col).withColumn("version", F.xxhash64("text"))
-    found = found.where(passed(F.xxhash64("doc_id", "version"))).join(rows, match).select("fingerprint", "text")
+    # An exchange after the filter: a task with two steps in Python has two workers, and both stay when it ends.
+    found = found.where(passed(F.xxhash64("doc_id", "version"))).join(rows.hint("merge"), match).select("fingerprint", "text")
     return stored(found.mapInArrow(_set_rows, "fingerprint long, hashes binary").dropDuplicates(["fingerprint"]), "near-sets")
 
 

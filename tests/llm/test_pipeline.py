@@ -133,6 +133,22 @@ def test_near_copies_go_through_simhash(documents, spark, monkeypatch):
     assert {n for pair in near for n in pair} == {n for pair in asked[0] for n in pair}
 
 
+def test_no_task_of_the_sets_runs_python_twice(documents, monkeypatch):
+    plans = []
+
+    def spied(frame, purpose):
+        if purpose == "near-sets":
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stored(frame, purpose)
+
+    monkeypatch.setattr(near_copies, "stored", spied)
+    text = "one two three four five six seven eight nine ten"
+    assert near_copies.one_of_each(documents((1, text), (2, text + " "), (3, text + " ten ten"))).count() > 0
+    assert plans
+    for plan in plans:
+        assert "Exchange hashpartitioning" in plan[plan.index("MapInArrow") : plan.index("ArrowEvalPython")]
+
+
 def test_the_limit_by_prefixes_is_one():
     rng = np.random.default_rng(0)
     for trial in range(300):
