@@ -14,8 +14,8 @@ TRAIN_STEPS, TRAIN_LANES, UPDATES = 32, (32, 256), 512
 LANES, STEPS = 256, 64
 # The rate is that of one lane; it grows with the square root of their number.
 RATE, CLIP = 1e-3, 1.0
-# Tokens whose softmax is worked out at a time.
-TOKENS = 2_048
+# Tokens whose softmax is worked out at a time, and the logits whose exponential is taken as they are.
+TOKENS, PLAIN = 2_048, 60.0
 
 Weights = dict[str, np.ndarray]
 
@@ -103,12 +103,22 @@ def timelines(docs: list[np.ndarray], lanes: int, end: int) -> tuple[np.ndarray,
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place where the argument is no longer needed; callers use what is returned."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
+    """In place where the argument is no longer needed; callers use what is returned. An exponential of infinity gives 0."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):
+        np.exp(x, out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
+
+
+def _with_bias(matrix: np.ndarray, bias: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The matrices with the bias as a last row, and whether no logit of theirs needs scaling if no state is beyond ``most``.
+
+    Entries without probability (a bias of minus infinity) get a bias whose exponential is 0.
+    """
+    both = np.concatenate([matrix, np.maximum(bias, -1e30)[..., None, :]], axis=-2)
+    reach = np.abs(matrix).sum(axis=-2) * most
+    return both, ((bias + reach).max(axis=-1) < PLAIN) & ((bias - reach).max(axis=-1) > -PLAIN)
 
 
 def _outputs(weights: Weights, hidden: np.ndarray, word: np.ndarray, grads: Weights | None, weight: np.ndarray | None):
@@ -118,17 +128,21 @@ def _outputs(weights: Weights, hidden: np.ndarray, word: np.ndarray, grads: Weig
     worked on together. ``weight`` scales a token's loss.
     """
     order = np.argsort((word // CLASS_WORDS).astype(np.uint16), kind="stable")
-    hidden, word = hidden.take(order, axis=1), word[order]
+    most = max(1.0, float(hidden.max()), -float(hidden.min()))
+    # A last row of ones, for the bias.
+    held = np.ones((HIDDEN + 1, len(word)), hidden.dtype)
+    np.take(hidden, order, axis=1, out=held[:HIDDEN], mode="clip")
+    word = word[order]
     weight = weight[order] if weight is not None else None
     cls, place = word // CLASS_WORDS, word % CLASS_WORDS
     logp = np.empty(len(word), hidden.dtype)
     d_hidden = np.empty_like(hidden) if grads is not None else None
 
-    def softmax(own: slice, true: np.ndarray, matrix: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    def softmax(own: slice, true: np.ndarray, matrix: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probabilities of the true entries, and the gradient of the logits (a row for each entry)."""
-        logits = matrix.T @ hidden[:, own]
-        logits += bias[:, None]
-        logits -= logits.max(axis=0)
+        logits = matrix.T @ held[:, own]
+        if not plain:
+            logits -= logits.max(axis=0)
         at = np.arange(len(true))
         logp = logits[true, at]
         exp = np.exp(logits, out=logits)
@@ -140,25 +154,29 @@ def _outputs(weights: Weights, hidden: np.ndarray, word: np.ndarray, grads: Weig
         exp[true, at] -= weight[own]
         return logp, exp
 
+    matrix, plain = _with_bias(weights["to_class"], weights["class_bias"], most)
     for at in range(0, len(word), TOKENS):
         own = slice(at, at + TOKENS)
-        logp[own], error = softmax(own, cls[own], weights["to_class"], weights["class_bias"])
+        logp[own], error = softmax(own, cls[own], matrix, plain)
         if grads is not None:
-            grads["to_class"] += hidden[:, own] @ error.T
-            grads["class_bias"] += error.sum(axis=1)
+            grad = held[:, own] @ error.T
+            grads["to_class"] += grad[:HIDDEN]
+            grads["class_bias"] += grad[HIDDEN]
             np.matmul(weights["to_class"], error, out=d_hidden[:, own])
     sizes = class_sizes(weights)
     bounds = np.searchsorted(cls, np.arange(len(sizes) + 1))
+    matrices, plain = _with_bias(weights["to_word"], weights["word_bias"], most)
     for c in np.flatnonzero((np.diff(bounds) > 0) & (sizes > 1)).tolist():
-        matrix, bias = weights["to_word"][c, :, : sizes[c]], weights["word_bias"][c, : sizes[c]]
+        matrix = matrices[c, :, : sizes[c]]
         for at in range(bounds[c], bounds[c + 1], TOKENS):
             own = slice(at, min(at + TOKENS, bounds[c + 1]))
-            more, error = softmax(own, place[own], matrix, bias)
+            more, error = softmax(own, place[own], matrix, plain[c])
             logp[own] += more
             if grads is not None:
-                grads["to_word"][c, :, : sizes[c]] += hidden[:, own] @ error.T
-                grads["word_bias"][c, : sizes[c]] += error.sum(axis=1)
-                d_hidden[:, own] += matrix @ error
+                grad = held[:, own] @ error.T
+                grads["to_word"][c, :, : sizes[c]] += grad[:HIDDEN]
+                grads["word_bias"][c, : sizes[c]] += grad[HIDDEN]
+                d_hidden[:, own] += matrix[:HIDDEN] @ error
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     return logp[back], d_hidden.take(back, axis=1) if d_hidden is not None else None
@@ -182,6 +200,8 @@ def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
         return np.zeros(0)
     before, word, begins, doc = timelines(docs, LANES, end)
     gates = np.ascontiguousarray(weights["state"].T)
+    # Each word's part of the gates, once for the whole vocabulary.
+    of_word = weights["embed"] @ weights["input"] + weights["input_bias"]
     state = np.zeros((HIDDEN, word.shape[1]), np.float32)
     out = np.zeros(len(docs))
     for at in range(0, len(word), STEPS):
@@ -192,11 +212,12 @@ def score(weights: Weights, docs: list[np.ndarray], end: int) -> np.ndarray:
             before, word, begins, doc = before[:, alive], word[:, alive], begins[:, alive], doc[:, alive]
             state = state[:, alive]
         hidden = np.empty((len(word[rows]), *state.shape), np.float32)
-        x = _inputs(weights, weights["embed"][before[rows]])
+        x = np.empty((len(gates), state.shape[1]), np.float32)
         for t, fresh in enumerate(begins[rows]):
             if fresh.any():
                 state = np.where(fresh, np.float32(0), state)
-            _step(weights, gates, x[t], state, hidden[t])
+            x[:] = of_word[before[at + t]].T
+            _step(weights, gates, x, state, hidden[t])
             state = hidden[t]
         real = doc[rows].ravel() >= 0
         columns, words, docs_at = _columns(hidden), word[rows].ravel(), doc[rows].ravel()
@@ -302,12 +323,20 @@ def train(weights: Weights, docs: list[np.ndarray], end: int) -> Weights:
             before, word, begins, doc = before[:, alive], word[:, alive], begins[:, alive], doc[:, alive]
             state = state[alive]
         _, grads, state = gradients(weights, before[rows], word[rows], begins[rows], doc[rows] >= 0, state)
-        size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        size = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         shrink = np.float32(min(1.0, CLIP / (size + 1e-9)))
         rate = np.float32(full_rate * (1 - at / len(begins)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
         for name, grad in grads.items():
             grad *= shrink
-            first[name] += np.float32(0.1) * (grad - first[name])
-            second[name] += np.float32(0.001) * (grad * grad - second[name])
-            weights[name] -= rate * first[name] / (np.sqrt(second[name]) + np.float32(1e-8))
+            first[name] *= np.float32(0.9)
+            first[name] += np.float32(0.1) * grad
+            second[name] *= np.float32(0.999)
+            grad *= grad
+            grad *= np.float32(0.001)
+            second[name] += grad
+            move = np.sqrt(second[name], out=grad)
+            move += np.float32(1e-8)
+            np.divide(first[name], move, out=move)
+            move *= rate
+            weights[name] -= move
     return weights

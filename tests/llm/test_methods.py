@@ -329,6 +329,41 @@ def test_training_learns_an_order():
     assert gru.score(trained, docs[:1], 0)[0] > 0.5 * gru.score(start, docs[:1], 0)[0]
 
 
+def test_scoring_embeds_the_vocabulary_not_the_tokens():
+    class Counted(np.ndarray):
+        looked_up = 0
+
+        def __getitem__(self, at):
+            Counted.looked_up += np.size(at) if self.shape[-1] == gru.EMBED else 0
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(6)
+    weights = gru.initial(rng.integers(1, 50, (3, gru.CLASS_WORDS)).astype(float))
+    docs = [rng.integers(0, 3 * gru.CLASS_WORDS, 50).astype(np.int32) for _ in range(9)]
+    expected = gru.score(weights, docs, 0)
+    assert np.allclose(gru.score(weights | {"embed": weights["embed"].view(Counted)}, docs, 0), expected)
+    assert Counted.looked_up == 0
+
+
+@pytest.mark.parametrize("scale", (0.2, 40.0))
+def test_softmax_of_small_and_huge_logits(scale):
+    rng = np.random.default_rng(7)
+    counts = np.full((3, gru.CLASS_WORDS), -1.0)
+    counts[0, :5], counts[1, :] = 3, 7  # the last class is empty
+    weights = gru.initial(counts)
+    for name in ("to_class", "to_word"):
+        weights[name] += (rng.standard_normal(weights[name].shape) * scale).astype(np.float32)
+    hidden = np.tanh(rng.standard_normal((gru.HIDDEN, 400))).astype(np.float32)
+    word = rng.choice(np.flatnonzero(counts.ravel() >= 0), 400)
+    found, _ = gru._outputs(weights, hidden, word, None, None)
+    exact = {k: v.astype(float) for k, v in weights.items()}
+    for h, w, logp in zip(hidden.T.astype(float), word.tolist(), found):
+        c, place = divmod(w, gru.CLASS_WORDS)
+        logits = [h @ exact["to_class"] + exact["class_bias"], h @ exact["to_word"][c] + exact["word_bias"][c]]
+        plain = sum(x[at] - x.max() - np.log(np.exp(x - x.max()).sum()) for x, at in zip(logits, (c, place)))
+        assert abs(plain - logp) < 1e-3 + 1e-4 * abs(plain)
+
+
 def test_scores_against_a_plain_model_of_single_words():
     rng = np.random.default_rng(5)
     counts = np.full((4, gru.CLASS_WORDS), -1.0)
