@@ -22,11 +22,12 @@ _SAFE_BYTES = 64
 # A blank that compact JSON would not have (or one in a string that looks like it), or an escape.
 _LOOSE = r"[{,:]\s|\s[},:]|\\"
 _INFINITE = ['"Infinity"', '"-Infinity"']
-_OVERFLOW = r"\d[eE]\+?\d{3}|\d{309}"
+_OVERFLOW = r"\d(?:[eE]\+?\d{3}|\d{308})"
 
 
-# Containers in this depth of a body lose their content; so many brackets are needed to get there.
-_DEEP, _MANY = 40, r"(?:[\[{][^\[{]*+){400}"
+# Containers in this depth of a body lose their content; text with so many brackets is looked at. They are counted once,
+# from the start, and not from every bracket on.
+_DEEP, _MANY = 40, r"^[^\[{]*+(?:[\[{][^\[{]*+){400}"
 _PIECE = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}]|[^"\[\]{}]++'
 # Pieces whose kept text is put together at a time.
 _RUN = 128

@@ -23,22 +23,31 @@ from footfall.sources.entities import BUCKETS, merge_entities, read_entities
 
 
 def _write_batch(rows: DataFrame, folder: str, batch_no: int, by_date: bool = False) -> None:
+    if by_date:
+        rows = rows.hint("rebalance", "event_date")
     writer = rows.write.mode("overwrite")
     if by_date:
         writer = writer.partitionBy("event_date")
     writer.parquet(f"{folder}/batch_no={batch_no}")
 
 
+def _dealt_out(batch: DataFrame) -> DataFrame:
+    """A micro-batch in two partitions for each core at least; the cached events keep these, so small ones are not many."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(max(2 * cores, batch.rdd.getNumPartitions()))
+
+
 def stream_ingest(
     payloads: DataFrame, folder: str, *, trust_client_country: bool = False
 ) -> DataStreamWriter:
     """Validate and enrich a stream of payloads into ``folder``/events and /quarantine.
 
-    ``payloads`` has batch_id, body, client_ip, user_agent, server_country and received_at.
+    ``payloads`` has batch_id, body, client_ip, user_agent, server_country and received_at. The bodies of a
+    micro-batch are dealt out first: one file may be all of it, and would be parsed by one task.
     """
 
     def store(batch: DataFrame, batch_no: int) -> None:
-        checked = validate_events(parse_payloads(batch)).persist()
+        checked = validate_events(parse_payloads(_dealt_out(batch))).persist()
         try:
             events = enrich_events(valid_events(checked), trust_client_country)
             dated = events.withColumn("event_date", events["timestamp"].cast("date"))

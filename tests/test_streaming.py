@@ -121,3 +121,30 @@ def test_ingest(spark, tmp_path):
     ]
     # Raw addresses are stored nowhere.
     assert [r.ip for r in stored.collect()] == ["203.0.113.0"] * 2
+
+
+def test_bodies_of_one_file_are_parsed_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A micro-batch that is one file, of one row group; its events go to few files a date."""
+    rng = random.Random(5)
+    schema = (
+        "batch_id long, body string, client_ip string, user_agent string, server_country string, "
+        "received_at timestamp_ntz"
+    )
+    rows = [
+        (n, f'[{{"event_type":"{rng.randbytes(800).hex()[:100]}","url":"{rng.randbytes(2000).hex()}"}}]', None, None, None, START + timedelta(days=n % 2))
+        for n in range(400)
+    ]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    holders, parse = [], ingest.parse_payloads
+
+    def spied(batch):
+        holders.append(sum(size > 0 for size in batch.rdd.glom().map(len).collect()))
+        return parse(batch)
+
+    monkeypatch.setattr(stream_in, "parse_payloads", spied)
+    folder = str(tmp_path / "store")
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    finish(stream_in.stream_ingest(stream, folder), tmp_path)
+    assert len(holders) == 1 and holders[0] > 1
+    stored = stream_in.read_ingested(spark, folder)
+    assert stored.count() == 400 and len(stored.inputFiles()) <= 4
