@@ -46,8 +46,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` with one row of each group of near copies, the one of the smallest id (then of the smallest text hash).
 
     Groups are the connected components of pairs with a Jaccard similarity of ``SIMILAR / OF`` or more. NULL
-    and blank texts are copies of each other. Rows that are equal in id and text are one row. Where no row of
-    a group has an id, one row of each of its shingle sets stays.
+    and blank texts are copies of each other. Rows that are equal in id and text are one row. A row without an id
+    stays only where no row of its group has one.
     """
     small_batches(docs.sparkSession)
     prints = prefixes(docs, id_col, text_col)
@@ -61,14 +61,12 @@ def first_of_groups(docs: DataFrame, prints: DataFrame, members: DataFrame, id_c
     Rows that are alone in their group stay where they are; only those that the filter of all others lets pass
     are looked up.
     """
-    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
     rows = prints.select("doc_id", "version", "fingerprint").join(members, "fingerprint")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "version")
     # Rows of one group meet in map tasks first and are one row in the exchange.
-    groups = rows.groupBy("root", alone.alias("alone")).agg(F.min(rank).alias("low"), F.count("*").alias("size"))
+    groups = rows.groupBy("root").agg(F.min(rank).alias("low"), F.count("*").alias("size"))
     groups = stored(groups.where("size > 1"), "near-groups")
-    several = groups.select(F.col("root").alias("g_root"), F.col("alone").alias("g_alone"))
-    crowded = rows.join(several, (F.col("root") == F.col("g_root")) & alone.eqNullSafe(F.col("g_alone")))
+    crowded = rows.join(groups.select("root"), "root")
     special = stored(crowded.select("doc_id", "version").distinct(), "near-special")
     row_hash = F.xxhash64("doc_id", "version")
     passed = _passes(docs.sparkSession.sparkContext.broadcast(_filter(special.select(row_hash.alias("seed")))))

@@ -106,6 +106,18 @@ def test_near_copies_of_every_degree(documents, seed):
     assert {r.doc_id for r in kept.collect()} == keepers(rows)
 
 
+def test_near_copies_without_ids(documents):
+    """A group in which no row has an id keeps one row too, not one of each of its shingle sets."""
+    text = " ".join(f"w{n}" for n in range(60))
+    copies = [text, text + " more", text + " even more", text]
+    rows = [(None, copy) for copy in copies] + [(None, "something else that is alone here"), (None, None), (None, " ")]
+    rows += [(None, "red " + text[::-1]), (4, "red " + text[::-1] + " green"), (3, text[::-1])]
+    kept = [(r.doc_id, r.text) for r in near_copies.one_of_each(documents(*rows)).collect()]
+    assert sorted(doc for doc, _ in kept if doc is not None) == [3]
+    without = [t for doc, t in kept if doc is None]
+    assert len(without) == 3 and len([t for t in without if t in copies]) == 1 and "something else that is alone here" in without
+
+
 def test_near_copies_go_through_simhash(documents, spark, monkeypatch):
     """The first pairs compared are those of near SimHash fingerprints of five-word shingles, which link the copies."""
     rng = random.Random(8)
